@@ -35,8 +35,8 @@ from trackloom.llm.common import TwoAges, small_batches
 MARK = "▁"
 
 #: Words whose encodings a worker remembers, twice over at most; longer words are encoded anew.
-MEMO = 100_000
-MEMO_CHARS = 64
+MEMO = 200_000
+MEMO_CHARS = 48
 #: Pairs of tokens whose compatibility a worker remembers, twice over at most.
 MEMO_PAIRS = 250_000
 
@@ -107,7 +107,12 @@ class PrefixTable:
         self.ends.make_automaton()
         self.pairs = TwoAges(MEMO_PAIRS)
         self.memo = TwoAges(MEMO)
-        self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
+        self.name = [str(i) for i in range(n)]
+        #: Text of each id, None for bytes.
+        self.text = [None if kinds[i][1] else p.replace(MARK, " ") for i, p in enumerate(self.piece)]
+        #: Nothing merges with a character that no piece has, so texts are also cut at line ends if that is one.
+        self.cut_lines = not any("\n" in self.piece[i] for i in ids)
+        self.words = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if self.cut_lines else f"{MARK}*[^{MARK}]+|{MARK}+").findall
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether encoding the text of ``a`` followed by that of ``b`` gives just these two."""
@@ -130,99 +135,96 @@ class PrefixTable:
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of a stretch of text whose marks are all at its beginning."""
-        width, pairs = self.width, self.pairs
-        last = [-1] * (len(word) + 1)  # by length of the prefix; -1: none, a character without a piece ends here
-        at, found = 0, []
-        for end, hit in self.ends.iter(word):
-            if end + 1 != at:
-                if at:
-                    self._choose(last, at, found, pairs, width)
-                at, found = end + 1, []
-            found.append(hit)
-        if at:
-            self._choose(last, at, found, pairs, width)
-        ids, k = [], len(word)
+        width, pairs, compatible = self.width, self.pairs, self.compatible
+        known, known_before = pairs.young, pairs.old
+        last = [-1] * (len(word) + 1)  # by length of the prefix; -1: none, or a character without a piece ends here
+        done = 0
+        for end, (size, t) in self.ends.iter(word):
+            if end < done:
+                continue  # this prefix has its last token
+            before = last[end + 1 - size]
+            if before >= 0:
+                key = before * width + t
+                ok = known.get(key)
+                if ok is None:
+                    ok = known_before.get(key)
+                    if ok is None:
+                        ok = compatible(before, t)
+                    pairs.put(key, ok)
+                    known, known_before = pairs.young, pairs.old
+                if not ok:
+                    continue
+            # else the word begins with the token, or a character without a piece, with which nothing merges, comes before
+            done = end + 1
+            last[done] = t
+        ids, k, piece = [], len(word), self.piece
         while k:
             t = last[k]
             if t >= 0:
                 ids.append(t)
-                k -= len(self.piece[t])
+                k -= len(piece[t])
             else:
                 k -= 1
                 if self.byte_id:
-                    ids.extend(self.byte_id[b] for b in reversed(word[k].encode()))
+                    ids.extend([self.byte_id[b] for b in reversed(word[k].encode())])
                 else:
                     ids.append(self.unknown)
         ids.reverse()
         return ids
 
-    def _choose(self, last: list[int], at: int, found: list, pairs: TwoAges, width: int) -> None:
-        for size, t in found:
-            before = last[at - size] if at > size else -1
-            if before < 0:
-                # a word's beginning, or a character without a piece, with which nothing merges
-                if at == size or self._stands(last, at - size):
-                    last[at] = t
-                    return
-                continue
-            key = before * width + t
-            ok = pairs.young.get(key)
-            if ok is None:
-                ok = pairs.old.get(key)
-                if ok is None:
-                    ok = self.compatible(before, t)
-                pairs.put(key, ok)
-            if ok:
-                last[at] = t
-                return
-
-    def _stands(self, last: list[int], at: int) -> bool:
-        return last[at] < 0
-
-    def encode_marked(self, text: str) -> list[str]:
-        return self.words(text)
-
-    def decode(self, ids: list[int]) -> str:
-        """Text of ids: byte pieces are joined to UTF-8, marks become spaces, the mark put in front goes."""
+    def plain(self, ids: list[int]) -> str:
+        """Text of ids with all marks as spaces; byte pieces are joined to UTF-8."""
+        try:
+            return "".join([self.text[i] for i in ids])
+        except TypeError:
+            pass
         out, raw = [], bytearray()
         for i in ids:
-            p = self.piece[i]
-            if len(p) == 6 and p[:3] == "<0x" and self.byte_id.get(int(p[3:5], 16)) == i:
-                raw.append(int(p[3:5], 16))
+            t = self.text[i]
+            if t is None:
+                raw.append(int(self.piece[i][3:5], 16))
                 continue
             if raw:
                 out.append(raw.decode("utf-8", "replace"))
                 raw.clear()
-            out.append(p)
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out).replace(MARK, " ")
+            out.append(t)
+        return "".join(out) + raw.decode("utf-8", "replace")
+
+    def decode(self, ids: list[int]) -> str:
+        """Text of ids without the space that stands for the mark put in front."""
+        text = self.plain(ids)
         return text[1:] if text.startswith(" ") else text
 
-    def _entry(self, word: str) -> tuple[int, str, str]:
+    def _entry(self, key: str) -> tuple[int, str, str]:
+        """What a word's key stands for: see ``entries``."""
         memo = self.memo
-        got = memo.old.get(word)
-        if got is None:
-            ids = self.encode_word(word)
-            # decode() takes one space off a text's beginning, so a word is decoded behind one more
-            got = (len(ids), ",".join(map(str, ids)), self.decode([self.space, *ids]) if self.space >= 0 else self.decode(ids))
-        if len(word) <= MEMO_CHARS:
-            memo.put(word, got)
-        return got
-
-    @property
-    def space(self) -> int:
-        got = self.__dict__.get("_space")
+        got = memo.old.get(key)
         if got is None:
-            got = self.__dict__["_space"] = next((i for i, p in enumerate(self.piece) if p == MARK), -1)
+            ids = self.encode_word(key[2:] if key.startswith("\n\n") else key if key.startswith("\n") else MARK + key)
+            got = (len(ids), ",".join([self.name[i] for i in ids]), self.plain(ids))
+        if len(key) <= MEMO_CHARS:
+            memo.put(key, got)
         return got
 
     def entries(self, text: str) -> list[tuple[int, str, str]]:
-        """(number of ids, ids joined by commas, text they decode to) of each word, in order."""
-        memo, out = self.memo, []
-        for w in self.words(MARK + text.replace(" ", MARK)):
-            got = memo.young.get(w)
-            out.append(self._entry(w) if got is None else got)
+        """(number of ids, ids joined by commas, text they stand for) of each word, in order.
+
+        Words are looked up by keys: a word alone has a mark before it; a word after
+        a line end comes with that; any other stretch has two line ends before it.
+        """
+        young, entry = self.memo.young.get, self._entry
+        spaced = text.replace("\n", " \n")
+        if self.cut_lines and "  " not in spaced and MARK not in spaced and spaced[0] != " ":
+            keys = spaced.split(" ")
+        else:
+            keys = ["\n\n" + w for w in self.words(MARK + text.replace(" ", MARK))]
+        out = []
+        for w in keys:
+            got = young(w)
+            if got is None:
+                got = entry(w)
+                young = self.memo.young.get
+            out.append(got)
         return out
 
     def encode(self, text: str | None) -> list[int]:

@@ -13,8 +13,8 @@ writer reads the newest manifest and tries anew. Readers see only what a manifes
 lists: files of tasks or jobs that failed are never listed, so losing an executor
 or the driver midway loses nothing. Superseded shards are deleted by ``vacuum``.
 
-Merging is a union of one-partition scans, so text doesn't move between
-executors. Rows, nulls and extra columns are kept as they are, repeated rows too.
+Each merge is a scan of one run that one task writes, so text doesn't move
+between executors; merges run beside each other. Rows, nulls and extra columns are kept as they are, repeated rows too.
 An empty arrival adds no shard; a store without arrivals is empty.
 """
 
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +31,8 @@ from pyspark.sql import types as T
 
 TARGET_BYTES = 64 << 20
 FAN = 4
-#: Merges that one job makes.
-JOB_MERGES = 64
+#: Merges that run beside each other.
+AT_ONCE = 16
 
 
 @dataclass(frozen=True)
@@ -126,13 +127,15 @@ class ShardStore:
 
     # files
 
-    def _written(self, folder: str) -> list[tuple[str, int, int]]:
-        """(path under the store, bytes, rows) of a finished job's files, in order of their names."""
-        found = [s for s in self._fs.listStatus(self._path(f"{self.root}/{folder}")) if s.getPath().getName().endswith(".parquet")]
-        if not found:
-            return []
-        rows = {r.name: r.n for r in self.spark.read.parquet(f"{self.root}/{folder}").groupBy(F.col("_metadata.file_name").alias("name")).agg(F.count(F.lit(1)).alias("n")).collect()}
-        return [(f"{folder}/{n}", s.getLen(), rows[n]) for s, n in sorted(((s, s.getPath().getName()) for s in found), key=lambda x: x[1]) if rows.get(n)]
+    def _written(self, folders: list[str]) -> dict[str, list[tuple[str, int, int]]]:
+        """By finished folder its files in order of their names: path under the store, bytes, rows. Rows come from file footers."""
+        sizes = {f"{d}/{s.getPath().getName()}": s.getLen() for d in folders for s in self._fs.listStatus(self._path(f"{self.root}/{d}")) if s.getPath().getName().endswith(".parquet")}
+        out: dict[str, list[tuple[str, int, int]]] = {d: [] for d in folders}
+        if sizes:
+            last = F.substring_index(F.col("_metadata.file_path"), "/", -3)
+            for r in self.spark.read.parquet(*[f"{self.root}/{d}" for d in folders]).groupBy(last.alias("path")).agg(F.count(F.lit(1)).alias("n")).orderBy("path").collect():
+                out[r.path.rpartition("/")[0]].append((r.path, sizes[r.path], r.n))
+        return out
 
     def _write(self, df: DataFrame) -> str:
         folder = f"shards/{uuid.uuid4().hex}"
@@ -142,7 +145,8 @@ class ShardStore:
     def append(self, arrivals: DataFrame) -> Manifest:
         """Add rows as small shards, a file for each partition of ``arrivals``, and commit them."""
         schema = arrivals.schema.json()
-        files = self._written(self._write(arrivals))
+        folder = self._write(arrivals)
+        files = self._written([folder])[folder]
 
         def edit(now: Manifest) -> Manifest:
             if now.schema is not None and T.StructType.fromJson(json.loads(now.schema)).names != arrivals.columns:
@@ -158,7 +162,7 @@ class ShardStore:
         by_tier: dict[int, list[Shard]] = {}
         for s in sorted(now.shards, key=lambda s: s.order):
             if s.size < self.target / 2:
-                by_tier.setdefault(self.tier(s.size), []).append(s)
+                by_tier.setdefault(self.size_class(s.size), []).append(s)
         for own in by_tier.values():
             run: list[Shard] = []
             for s in own:
@@ -170,7 +174,7 @@ class ShardStore:
                 runs.append(run)
         return [r for r in runs if len(r) > 1]
 
-    def tier(self, size: int) -> int:
+    def size_class(self, size: int) -> int:
         """0 for the smallest shards, one more for each factor of ``fan``."""
         t = 0
         while size >= self.target / self.fan ** (8 - t) and t < 8:
@@ -182,18 +186,16 @@ class ShardStore:
         now = self.manifest()
         while runs := self.plan(now):
             schema = T.StructType.fromJson(json.loads(now.schema))
+            read = self.spark.read.schema(schema).parquet
+            with ThreadPoolExecutor(AT_ONCE) as pool:
+                folders = list(pool.map(lambda r: self._write(read(*[f"{self.root}/{s.path}" for s in r]).coalesce(1)), runs))
+            files = self._written(folders)
             made: dict[str, Shard] = {}
-            for at in range(0, len(runs), JOB_MERGES):
-                own = runs[at : at + JOB_MERGES]
-                parts = [self.spark.read.schema(schema).parquet(*[f"{self.root}/{s.path}" for s in r]).coalesce(1) for r in own]
-                whole = parts[0]
-                for p in parts[1:]:
-                    whole = whole.union(p)
-                files = self._written(self._write(whole))
-                if len(files) != len(own) or any(f[2] != sum(s.rows for s in r) for f, r in zip(files, own, strict=True)):
+            for r, folder in zip(runs, folders, strict=True):
+                if sum(f[2] for f in files[folder]) != sum(s.rows for s in r):
                     raise RuntimeError("a merge lost or gained rows; nothing was committed")
-                for (p, size, rows), r in zip(files, own, strict=True):
-                    made[r[0].path] = Shard(p, size, rows, r[0].order, max(s.tier for s in r) + 1)
+                for k, (path, size, rows) in enumerate(files[folder]):
+                    made[path] = Shard(path, size, rows, r[min(k, len(r) - 1)].order, max(s.tier for s in r) + 1)
             gone = {s.path for r in runs for s in r}
 
             def edit(newest: Manifest, made=made, gone=gone) -> Manifest:

@@ -137,20 +137,42 @@ class Slots:
         return np.where(self.check[slot] == h.astype(np.uint32), self.index[slot], 0)
 
 
-def contrast(keys: np.ndarray, docs: np.ndarray, toxic: np.ndarray, most: int) -> tuple[Slots, np.ndarray]:
-    """The most telling and most frequent keys, and how much oftener toxic documents have them (log, shrunk; 0 for unknown)."""
-    pair = np.unique(np.stack([keys, docs.astype(np.uint64)], 1), axis=0)
-    own, at = np.unique(pair[:, 0], return_inverse=True)
-    bad = toxic[pair[:, 1].astype(np.int64)]
-    a = np.bincount(at, weights=bad, minlength=len(own))
-    n = np.bincount(at, minlength=len(own))
-    b = n - a
-    told = (np.log((a + 0.5) / (toxic.sum() + 1)) - np.log((b + 0.5) / ((1 - toxic).sum() + 1))) * n / (n + 6)
-    order = np.argsort(-(np.abs(told) * np.sqrt(n)) - 1e-3 * n, kind="stable")
-    order = order[n[order] >= 2][:most]
-    slots = Slots(own[order])
-    known = dict(zip(own.tolist(), told.tolist(), strict=True))
-    return slots, np.array([0.0, *(known[k] for k in slots.keys.tolist())], np.float32)
+class Contrast:
+    """In how many toxic and in how many other documents each key is; documents are added a block at a time."""
+
+    def __init__(self):
+        self.keys = np.zeros(0, np.uint64)
+        self.seen = np.zeros((0, 2), np.int64)  # documents, toxic documents
+
+    def add(self, docs: list[np.ndarray], toxic: np.ndarray) -> None:
+        own = [np.unique(d) for d in docs]
+        keys = np.concatenate([self.keys, *own])
+        bad = np.concatenate([self.seen[:, 1], *(np.full(len(k), int(y)) for k, y in zip(own, toxic, strict=True))])
+        n = np.concatenate([self.seen[:, 0], np.ones(len(keys) - len(self.keys), np.int64)])
+        self.keys, at = np.unique(keys, return_inverse=True)
+        self.seen = np.stack([np.bincount(at, weights=n), np.bincount(at, weights=bad)], 1).astype(np.int64)
+
+    def best(self, most: int, n_toxic: int, n_clean: int) -> tuple[Slots, np.ndarray]:
+        """The most telling and most frequent keys, and how much oftener toxic documents have them (log, shrunk; 0 for unknown)."""
+        n, a = self.seen[:, 0], self.seen[:, 1]
+        b = n - a
+        told = (np.log((a + 0.5) / (n_toxic + 1)) - np.log((b + 0.5) / (n_clean + 1))) * n / (n + 6)
+        order = np.argsort(-(np.abs(told) * np.sqrt(n)) - 1e-3 * n, kind="stable")
+        order = order[n[order] >= 2][:most]
+        slots = Slots(self.keys[order])
+        return slots, np.concatenate([np.zeros(1), told[np.searchsorted(self.keys, slots.keys)]]).astype(np.float32)
+
+
+def blocks(texts: list[str | None], size: int) -> Iterator[tuple[int, int]]:
+    """Stretches of texts of about so many characters together, one text at least."""
+    at = 0
+    while at < len(texts):
+        upto, total = at, 0
+        while upto < len(texts) and (upto == at or total < size):
+            total += len(texts[upto] or "")
+            upto += 1
+        yield at, upto
+        at = upto
 
 
 def windows(count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -305,19 +327,13 @@ class Network:
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Score of each whole text; 0 without a word."""
         out = np.zeros(len(texts))
-        at = 0
-        while at < len(texts):
-            upto, size = at, 0
-            while upto < len(texts) and (upto == at or size < CHUNK):
-                size += len(texts[upto] or "")
-                upto += 1
+        for at, upto in blocks(texts, CHUNK):
             count, words, grams = hashed(texts[at:upto])
             stream, first, owner = windows(count)
             logit = self.logits(self.embed(*self.inputs(words, grams)), stream, first)
             best = np.full(upto - at, -np.inf)
             np.maximum.at(best, owner, logit)
             out[at:upto] = np.where(count > 0, sigmoid(best - self.shift), 0.0)
-            at = upto
         return out
 
 
@@ -347,22 +363,36 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
     if not len(toxic) or toxic.min() == toxic.max():
         return None
     rng = np.random.default_rng(seed)
-    count, words, grams = hashed(texts)
-    doc = np.repeat(np.arange(len(texts)), count)
-    slots, told = contrast(words, doc, toxic, WORDS)
-    flat = grams.reshape(-1)
-    gram_slots, gram_told = contrast(flat, np.repeat(doc, grams.shape[1]), toxic, GRAMS)
-    net = Network(slots, told, gram_slots, gram_told, seed)
-    w, g, t = net.inputs(words, grams)
-    stream, first, owner = windows(count)
-    if not len(first):
+    n_toxic = int(toxic.sum())
+    by_word, by_gram = Contrast(), Contrast()
+    cuts = list(blocks(texts, CHUNK // 4))  # bounds the memory that training takes
+    for at, upto in cuts:
+        count, words, grams = hashed(texts[at:upto])
+        edge = np.cumsum(count)[:-1]
+        by_word.add(np.split(words, edge), toxic[at:upto])
+        by_gram.add([g.reshape(-1) for g in np.split(grams, edge)], toxic[at:upto])
+    net = Network(*by_word.best(WORDS, n_toxic, len(texts) - n_toxic), *by_gram.best(GRAMS, n_toxic, len(texts) - n_toxic), seed)
+    del by_word, by_gram
+    # of every block: inputs of its words, and how its windows lie over them
+    laid, place, owner, base = [], [], [], 0
+    for at, upto in cuts:
+        count, words, grams = hashed(texts[at:upto])
+        own = net.inputs(words, grams)
+        stream, first, mine = windows(count)
+        laid.append((own, stream, first))
+        where = stream[first[:, None] + np.arange(SPAN)]
+        place.append(np.where(where < len(words), where + base, -1).astype(np.int32))
+        owner.append(mine + at)
+        base += len(words)
+    place, owner = np.concatenate(place), np.concatenate(owner)
+    if not len(place):
         return None
-    place = stream[first[:, None] + np.arange(SPAN)]
-    w_ext, g_ext, t_ext = np.append(w, -1), np.concatenate([g, np.zeros((1, g.shape[1]), g.dtype)]), np.concatenate([t, np.zeros((1, 2), t.dtype)])
+    # a row more at the end, which -1 leads to: no word
+    w_ext, g_ext, t_ext = (np.concatenate([*(x[0][k] for x in laid), np.full((1, *laid[0][0][k].shape[1:]), v, laid[0][0][k].dtype)]) for k, v in ((0, -1), (1, 0), (2, 0)))
     clean = np.flatnonzero(toxic[owner] == 0)
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step = 0
-    logit = np.where(place < len(w), t_ext.sum(axis=1)[place], -9).max(axis=1)  # before any training: the strongest word
+    logit = np.where(place >= 0, t_ext.sum(axis=1)[place], -9).max(axis=1)  # before any training: the strongest word
     for round_ in range(ROUNDS):
         order = np.lexsort((-logit, owner))
         top = order[np.concatenate([[True], owner[order][1:] != owner[order][:-1]])]
@@ -383,7 +413,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
                     v *= 0.99
                     v += 0.01 * d * d
                     net.p[k] -= np.float32(rate / (1 - 0.9**step)) * m / (np.sqrt(v / np.float32(1 - 0.99**step)) + np.float32(1e-6))
-        logit = net.logits(net.embed(w, g, t), stream, first)
+        logit = np.concatenate([net.logits(net.embed(*own), stream, first) for own, stream, first in laid])
     best = np.full(len(texts), -np.inf)
     np.maximum.at(best, owner, logit)
     told = np.isfinite(best)

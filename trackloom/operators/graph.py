@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackloom.operators import joins
+
 
 def components(pairs: DataFrame) -> DataFrame:
     """(node, root) for each node of the pairs (a, b): root is the smallest node of its component.
@@ -124,7 +126,7 @@ def paths_by_tile(pairs: DataFrame, edges: DataFrame, weight: str = "length") ->
                 rows.append((key[0], int(a), int(b), d, route(prev, int(a), int(b)) if d is not None else None))
         return pd.DataFrame(rows, columns=["tile", "a", "b", "dist", "nodes"])
 
-    return pairs.select("tile", "a", "b").groupBy("tile").cogroup(edges.select("tile", "source", "target", weight).groupBy("tile")).applyInPandas(each, "tile long, a long, b long, dist double, nodes array<long>")
+    return pairs.select("tile", "a", "b").groupBy("tile").cogroup(joins.fresh(edges.select("tile", "source", "target", weight)).groupBy("tile")).applyInPandas(each, "tile long, a long, b long, dist double, nodes array<long>")
 
 
 def chains(edges: DataFrame) -> DataFrame:
@@ -213,7 +215,7 @@ def walk_points(edges: DataFrame, starts: DataFrame, radius: float, every: float
             parts.append(pd.DataFrame({"tile": key[0], "start": int(s), "n": np.arange(len(p)), "x": p[:, 0], "y": p[:, 1]}))
         return pd.concat(parts) if parts else pd.DataFrame(columns=["tile", "start", "n", "x", "y"])
 
-    return starts.groupBy("tile").cogroup(edges.groupBy("tile")).applyInPandas(each, "tile long, start long, n long, x double, y double")
+    return starts.groupBy("tile").cogroup(joins.fresh(edges).groupBy("tile")).applyInPandas(each, "tile long, start long, n long, x double, y double")
 
 
 def pruned(traces: DataFrame, most_rmse: float, least_traces: int = 2) -> DataFrame:

@@ -103,3 +103,8 @@ def onward(edges: DataFrame, source: str = "source", target: str = "target", edg
     a = edges.select(F.col(edge_id), F.col(target).alias("_at"), F.col(source).alias("_from"))
     b = edges.select(F.col(edge_id).alias("next_id"), F.col(source).alias("_at"), F.col(target).alias("_to"))
     return a.join(b, "_at").select(edge_id, "next_id", (F.col("_from") == F.col("_to")).alias("returns"))
+
+
+def fresh(df: DataFrame) -> DataFrame:
+    """The same rows under new column identities, for the second side of a cogroup over relatives."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])

@@ -22,3 +22,18 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or of this machine on a local master."""
+    import tempfile
+    import uuid
+
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if named is None:
+        named = getattr(spark, "_trackloom_folder", None)
+        if named is None:
+            named = spark._trackloom_folder = "file://" + tempfile.mkdtemp(prefix="trackloom-")
+    return f"{named.rstrip('/')}/trackloom/{label}-{uuid.uuid4().hex}"

@@ -1,0 +1,261 @@
+"""Each query on the small corpus against a brute-force version; all on empty tables and with clashing columns."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+import tokenizers
+import xxhash
+
+from trackloom.llm import queries as q
+from trackloom.llm.quality import MAX_DOCS, MIN_LEFT
+
+WS = " \t\n\x0b\x0c\r"
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def collect(df, *cols):
+    return sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr)
+
+
+def expected(rows, f):
+    return sorted((f(*r) for r in rows), key=repr)
+
+
+@pytest.mark.parametrize("name", sorted(q.queries()))
+def test_empty_tables(spark, sf_empty, name):
+    assert q.queries()[name](spark, sf_empty).collect() == []
+
+
+@pytest.mark.parametrize("name", sorted(q.queries()))
+def test_extra_columns_change_nothing(spark, sf, sf_clash, name):
+    a, b = (q.queries()[name](spark, s) for s in (sf, sf_clash))
+    assert a.columns == b.columns
+    skip = ("shard", "shard_bytes", "tier") if "shard" in a.columns else ()
+    assert collect(a.drop(*skip), *a.drop(*skip).columns) == collect(b.drop(*skip), *b.drop(*skip).columns)
+
+
+def test_toxicity(spark, sf, rows):
+    docs, labels, _ = rows
+    got = q.op1_toxicity(spark, sf).collect()
+    assert sorted(map(repr, (r.doc_id for r in got))) == sorted(map(repr, (d[0] for d in docs)))
+    toxic = {i for i, _, y in labels if y == 1}
+    for r in got:
+        assert r.held_out == (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
+    told = [r for r in got if r.doc_id is not None and r.doc_id < 240 and r.doc_id != 3]
+    for held in (False, True):
+        own = [r.predicted == (r.doc_id in toxic) for r in told if r.held_out == held]
+        assert np.mean(own) > (0.9 if held else 0.95)
+    assert all(r.score == 0 for r in got if r.doc_id in (400, 401, 402, 403))
+
+
+def test_line_dedup(spark, sf, rows):
+    own = sorted({r[:2] for r in rows[0]}, key=lambda r: (r[0] is None, r[0] or 0, row_order(spark, r)))
+    seen, cut = set(), {}
+    for d in own:
+        lines = d[1].split("\n") if d[1] is not None else []
+        gone = set()
+        for k in range(len(lines) - 2):
+            w = tuple(lines[k : k + 3])
+            if not "".join(w).strip(WS):
+                continue
+            if w in seen:
+                gone |= {k, k + 1, k + 2}
+            seen.add(w)
+        cut[d] = len(lines), gone, lines
+
+    def one(i, text, *_):
+        n, gone, lines = cut[(i, text)]
+        kept = None if text is None else "\n".join(x for k, x in enumerate(lines) if k not in gone)
+        heads = [k for k in sorted(gone) if k - 1 not in gone]
+        tails = [k + 1 for k in sorted(gone) if k + 1 not in gone]
+        return i, n, len(gone), ",".join(f"{a}:{b}" for a, b in zip(heads, tails, strict=True)), None if kept is None else sha(kept)
+
+    assert any(g for _, g, _ in cut.values())
+    assert collect(q.op2_line_dedup(spark, sf), "doc_id", "n_lines", "n_removed", "removed", "text_sha256") == expected(rows[0], one)
+
+
+def row_order(spark, r):
+    from trackloom.llm.common import row_key
+
+    if not hasattr(row_order, "known"):
+        row_order.known = {}
+    if r not in row_order.known:
+        one = spark.createDataFrame([r[:2]], "i long, t string").select(*row_key("i", "t")).first()
+        row_order.known[r] = (one[0], one[1])
+    return row_order.known[r]
+
+
+def test_sentencepiece(spark, sf, rows):
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+
+    def one(i, text, *_):
+        ids = sp.encode(text or "")
+        return i, len(ids), sha(",".join(map(str, ids))), sha(sp.decode(ids))
+
+    assert collect(q.op3_sentencepiece(spark, sf), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == expected(rows[0], one)
+
+
+def test_language(spark, sf, rows):
+    lang = {i: x for i, _, x, _ in rows[0]}
+    text = {i: t for i, t, _, _ in rows[0]}
+    got = q.op4_language(spark, sf).collect()
+    assert len(got) == len(rows[0])
+    for r in got:
+        assert r.held_out == (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        assert 0 <= r.score <= 1
+        own = text.get(r.doc_id)
+        if r.doc_id is not None and (own is None or not any(map(str.isalpha, own))):
+            assert r.lang_pred == "und"
+        else:
+            assert r.lang_pred in ("en", "de", "fr")
+    sure = [r.lang_pred == lang[r.doc_id] for r in got if r.held_out and r.doc_id is not None and r.doc_id < 240 and len(text[r.doc_id]) > 100]
+    assert len(sure) > 20 and np.mean(sure) >= 0.97
+
+
+def test_secrets(spark, sf, rows):
+    kinds = (("assign", re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), lambda m: len(m.group(2)) >= 6), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m.group()) >= 20), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m.group()) >= 24))
+
+    def one(i, text, *_):
+        spans = sorted((m.start(), k, m.end()) for k, (_, r, ok) in enumerate(kinds) for m in r.finditer(text or "") if ok(m))
+        n = Counter(k for _, k, _ in spans)
+        return i, n[0], n[1], n[2], sha(",".join(f"{kinds[k][0]}:{a}:{b}" for a, k, b in spans))
+
+    got = q.op5_secrets(spark, sf)
+    assert collect(got, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == expected(rows[0], one)
+    assert got.where("n_assign > 0").count() >= 5
+
+
+def test_quality(spark, sf, rows):
+    in_host = defaultdict(set)
+    norm = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", x.strip(WS)).lower()
+    for _, t, _, s in rows[0]:
+        for x in {norm(x) for x in (t or "").split("\n")}:
+            in_host[(s, x)].add(t)
+
+    def one(i, text, _, source):
+        text = text or ""
+        w = words(text)
+        seen = Counter(zip(w, w[1:], w[2:], strict=False))
+        rep = {p + j for p in range(len(w) - 2) if seen[tuple(w[p : p + 3])] > 1 for j in range(3)}
+        lines = [x for x in text.split("\n") if words(x)]
+        gone = sum(len(words(x)) for x in lines if len(in_host[(source, norm(x))]) > MAX_DOCS)
+        failed = len(w) < 50 or 100 * len(rep) > 50 * len(w)
+        return i, len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(rep), failed, not failed and len(w) - gone >= MIN_LEFT * len(w)
+
+    assert collect(q.op6_quality(spark, sf), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept") == expected(rows[0], one)
+
+
+def test_boilerplate_lines_deplete(spark):
+    from trackloom.llm.quality import judge
+
+    line = "this line is on every page of the site and says nothing at all"
+    own = [(i, "\n".join([line] * 4 + [f"only {i} word{i} here"]), "a") for i in range(8)] + [(100 + i, "\n".join(f"text {i} {k} " + "lorem ipsum dolor sit amet " * 2 + str(k * i) for k in range(9)), "a") for i in range(3)] + [(200, line, "b"), (0, "\n".join([line] * 4 + ["only 0 word0 here"]), "a")]
+    got = {r.doc_id: r for r in judge(spark.createDataFrame(own, "doc_id long, text string, source string"), max_docs=5).collect()}
+    assert got[1].n_boilerplate_words == 4 * 14 and got[0].n_boilerplate_words == 4 * 14
+    assert got[101].n_boilerplate_words == 0 and got[200].n_boilerplate_words == 0
+
+
+def fold_words(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+
+def brute_hits(text, bench):
+    w, hit, items = fold_words(text), set(), set()
+    for name, t in bench:
+        p = fold_words(t)
+        m = min(10, len(p))
+        for k in range(len(p) - m + 1 if m else 0):
+            for a in range(len(w) - m + 1):
+                if w[a : a + m] == p[k : k + m]:
+                    hit |= set(range(a, a + m))
+                    if name is not None:
+                        items.add(str(name))
+    return len(w), hit, sorted(items)
+
+
+def test_decontamination(spark, sf, rows):
+    docs = [d for d in rows[0] if d[0] != 500]
+
+    def one(i, text, *_):
+        n, hit, items = brute_hits(text, rows[2])
+        return i, n, len(hit), len(items), sha(",".join(items)), bool(hit)
+
+    got = q.op7_decontamination(spark, sf)
+    assert collect(got.where("doc_id IS NULL OR doc_id <> 500"), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == expected(docs, one)
+    assert got.where("contaminated AND doc_id < 240").count() >= 10
+
+
+def test_decontamination_in_blocks(spark, sf, rows):
+    from trackloom.llm.decontam import find_benchmark
+
+    docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    one = find_benchmark(docs.select("doc_id", "text"), bench)
+    many = find_benchmark(docs.select("doc_id", "text"), bench, block_chars=250)
+    as_rows = lambda df: sorted({repr((r.doc_id, r.text, r.n_words, r.n_hit, [(s.start, s.end) for s in r.spans], r["items"])) for r in df.collect()})
+    assert as_rows(one) == as_rows(many)
+
+
+def test_sharding(spark, sf, rows):
+    got = q.op8_sharding(spark, sf).collect()
+    assert sorted(map(repr, ((r.doc_id, r.n_chars) for r in got))) == sorted(map(repr, ((i, None if t is None else len(t)) for i, t, *_ in rows[0])))
+
+
+def brute_print(text):
+    w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    if not w:
+        return 0
+    grams = [" ".join(w[k : k + 3]) for k in range(max(1, len(w) - 2))]
+    h = [xxhash.xxh64_intdigest(g.encode(), seed=42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(prints):
+    own = sorted(set(prints))
+    root = {p: p for p in own}
+
+    def find(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    for a in own:
+        for b in own:
+            if a < b and (a ^ b).bit_count() <= 2:
+                root[find(b)] = find(a)
+    return {p: find(p) for p in own}
+
+
+def test_simhash(spark, sf, rows):
+    prints = [brute_print(t) for _, t, *_ in rows[0]]
+    root = brute_components(prints)
+    least = {}
+    for (i, *_), p in zip(rows[0], prints, strict=True):
+        if i is not None:
+            least[root[p]] = min(i, least.get(root[p], i))
+    want = sorted(((i, f"{p:016x}", least.get(root[p])) for (i, *_), p in zip(rows[0], prints, strict=True)), key=repr)
+    assert collect(q.op9_simhash(spark, sf), "doc_id", "fingerprint", "component_id") == want
+
+
+def test_token_count(spark, sf, rows):
+    t = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+    def one(i, text, *_):
+        n = len(t.encode(text or "", add_special_tokens=False).ids)
+        return i, len((text or "").encode()), n, n > 512
+
+    assert collect(q.op10_token_count(spark, sf), "doc_id", "n_bytes", "n_tokens", "over_limit") == expected(rows[0], one)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from trackloom.llm.common import small_batches, stage_table
+from trackloom.llm.common import row_key, small_batches, stage_table
 
 SEED = 42
 THRESHOLD = 2
@@ -50,7 +50,6 @@ LENGTH, CHECKS, RADIUS = 23, 11, 3
 BLOCK = 1 << 15
 #: A-Z to a-z in UTF-8, other bytes as they are.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: What white space separates words; bytes.split() takes just \x20 and \x09-\x0D.
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = SEED) -> int:
@@ -194,13 +193,25 @@ def components(edges: DataFrame) -> DataFrame:
     return parent.select("node", "root")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, threshold: int = THRESHOLD) -> DataFrame:
-    """One row per row of ``df``: the id, its fingerprint (a long) and component_id, the smallest id reachable over links."""
-    marked = stage_table(with_fingerprint(df.select(id_col, text_col), text_col, "fingerprint", words).select(id_col, "fingerprint"), "fingerprints")
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, threshold: int = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``df``: the id, ``carry``, its fingerprint (a long), component_id, the smallest id reachable over links, and root, the component's smallest fingerprint."""
+    marked = stage_table(with_fingerprint(df.select(id_col, text_col, *carry), text_col, "fingerprint", words).select(id_col, *carry, "fingerprint"), "fingerprints")
     classes = stage_table(marked.groupBy("fingerprint").agg(F.min(id_col).alias("least")), "classes")
     roots = components(stage_table(links(classes.select("fingerprint"), threshold=threshold), "links"))
     # classes without links are components of their own
     rooted = classes.join(roots, classes.fingerprint == roots.node, "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
     linked = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stage_table(rooted.join(linked, "root").select("fingerprint", "component_id"), "components")
-    return marked.join(named, "fingerprint").select(id_col, "fingerprint", "component_id")
+    named = stage_table(rooted.join(linked, "root").select("fingerprint", "component_id", "root"), "components")
+    return marked.join(named, "fingerprint").select(id_col, *carry, "fingerprint", "component_id", "root")
+
+
+def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, threshold: int = THRESHOLD) -> DataFrame:
+    """``df`` with one row of each component: the one with the smallest id, null ids last; of rows that share it, one.
+
+    Columns of ``df`` must not begin with _k.
+    """
+    keyed = df.select("*", *row_key(id_col, text_col))
+    found = near_duplicates(keyed, id_col, text_col, words, threshold, ("_k1", "_k2"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("_k1").alias("k1"), F.col("_k2").alias("k2"))).alias("m"))
+    kept = stage_table(first.select(F.col("m.k1").alias("_k1"), F.col("m.k2").alias("_k2")), "kept")
+    return keyed.join(kept, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).drop("_k1", "_k2")

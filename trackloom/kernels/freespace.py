@@ -1,4 +1,8 @@
-"""Whether a graph has a curve close to a path, by free-space intervals."""
+"""Whether a graph has a curve close to a path, by free-space intervals.
+
+Edges are arrays of rows (source, target, ax, ay, bx, by); only those near the
+path's box are looked at, and intervals of all of them are computed at once.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,53 @@ import heapq
 
 import numpy as np
 
-from trackloom.kernels.curves import disc_interval, tube_interval
+from trackloom.kernels.curves import disc_interval
+
+NONE = np.nan
+
+
+def disc_intervals(p: np.ndarray, a: np.ndarray, b: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """Parts of the segment a-b, as fractions, within ``eps`` of each of many points; NaN for none."""
+    d, r = b - a, a - p
+    qa = float(d @ d)
+    qb, qc = 2 * r @ d, (r * r).sum(axis=1) - eps * eps
+    if qa == 0:
+        ok = qc <= 0
+        return np.where(ok, 0.0, NONE), np.where(ok, 1.0, NONE)
+    disc = qb * qb - 4 * qa * qc
+    root = np.sqrt(np.where(disc >= 0, disc, NONE))
+    lo, hi = np.maximum(0.0, (-qb - root) / (2 * qa)), np.minimum(1.0, (-qb + root) / (2 * qa))
+    ok = lo <= hi
+    return np.where(ok, lo, NONE), np.where(ok, hi, NONE)
+
+
+def tube_intervals(a: np.ndarray, b: np.ndarray, segs: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """Parts of the segment a-b within ``eps`` of each segment (cx, cy, dx, dy)."""
+    c, d = segs[:, :2], segs[:, 2:]
+    axis = d - c
+    size = np.hypot(axis[:, 0], axis[:, 1])
+    u = axis / np.where(size > 0, size, 1)[:, None]
+    v = np.stack([-u[:, 1], u[:, 0]], 1)
+    lo, hi = np.zeros(len(segs)), np.ones(len(segs))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for w, least, most in ((u, np.zeros(len(segs)), size), (v, np.full(len(segs), -eps), np.full(len(segs), eps))):
+            v0, v1 = ((a - c) * w).sum(axis=1), ((b - c) * w).sum(axis=1)
+            step = v1 - v0
+            x, y = (least - v0) / step, (most - v0) / step
+            flat = step == 0
+            inside = (least <= v0) & (v0 <= most)
+            lo = np.maximum(lo, np.where(flat, np.where(inside, 0.0, 2.0), np.minimum(x, y)))
+            hi = np.minimum(hi, np.where(flat, np.where(inside, 1.0, -1.0), np.maximum(x, y)))
+    strip = (lo <= hi) & (size > 0)
+    parts = [(np.where(strip, lo, NONE), np.where(strip, hi, NONE)), disc_intervals(c, a, b, eps), disc_intervals(d, a, b, eps)]
+    return np.fmin.reduce([p[0] for p in parts]), np.fmax.reduce([p[1] for p in parts])
+
+
+def near(xy: np.ndarray, edges: np.ndarray, eps: float) -> np.ndarray:
+    """Edges whose box comes within ``eps`` of the path's."""
+    lo, hi = xy.min(axis=0) - eps, xy.max(axis=0) + eps
+    a, b = np.minimum(edges[:, 2:4], edges[:, 4:6]), np.maximum(edges[:, 2:4], edges[:, 4:6])
+    return edges[((a <= hi) & (b >= lo)).all(axis=1)]
 
 
 def path_intervals(xy: np.ndarray, point: np.ndarray, eps: float) -> list[tuple[float, float]]:
@@ -20,27 +70,20 @@ def path_intervals(xy: np.ndarray, point: np.ndarray, eps: float) -> list[tuple[
                 out[-1][1] = max(out[-1][1], b)
             else:
                 out.append([a, b])
-    if len(xy) == 1 and np.hypot(*(xy[0] - point)) <= eps:
-        out.append([0.0, 0.0])
     return [(a, b) for a, b in out]
 
 
-def along_edge(xy: np.ndarray, a: np.ndarray, b: np.ndarray, start: float, eps: float) -> float | None:
-    """How far along the path one can get on the edge a-b from its start at path position ``start``, arriving at b as early as possible.
+def along_edge(xy: np.ndarray, a: np.ndarray, b: np.ndarray, start: float, white_b: list[tuple[float, float]], eps: float) -> float | None:
+    """The earliest path position at which b can be reached on the edge a-b from path position ``start``; None if it can't.
 
-    Returns the earliest position at which b can be reached, or None. The edge moves
-    only forward; between path vertices the reachable part of the free space of a
-    path piece and the edge is bounded by where the vertex is near the edge.
+    Going along, the position on the edge never falls, so at each path vertex the
+    reachable part of the edge begins at the largest lower bound so far.
     """
     n = len(xy) - 1
-    low = 0.0  # least fraction of the edge reachable at the current path position
-    i = min(int(start), n)
-    at = start
+    low, i, at = 0.0, min(int(start), n), start
     while True:
-        here = path_intervals(xy[i : i + 2] if i < n else xy[n:], b, eps)
-        for p, q in here:
-            p, q = i + p, i + q
-            if q >= at - 1e-12:
+        for p, q in white_b:
+            if q >= at - 1e-12 and p <= i + 1 and q >= i:
                 return max(p, at)
         if i >= n:
             return None
@@ -53,14 +96,15 @@ def along_edge(xy: np.ndarray, a: np.ndarray, b: np.ndarray, start: float, eps:
 
 
 def has_walk(xy: np.ndarray, edges: np.ndarray, eps: float) -> bool:
-    """Whether a walk along edges (source, target, ax, ay, bx, by) stays within Frechet distance ``eps`` of the path, from node to node."""
+    """Whether a walk along edges, from node to node, stays within Frechet distance ``eps`` of the path."""
     n = len(xy) - 1
     place: dict[int, np.ndarray] = {}
     out: dict[int, list[int]] = {}
-    for s, t, ax, ay, bx, by in edges:
-        place.setdefault(int(s), np.array([ax, ay]))
-        place.setdefault(int(t), np.array([bx, by]))
-        out.setdefault(int(s), []).append(int(t))
+    for row in near(xy, edges, eps):
+        s, t = int(row[0]), int(row[1])
+        place.setdefault(s, row[2:4])
+        place.setdefault(t, row[4:6])
+        out.setdefault(s, []).append(t)
     white = {v: path_intervals(xy, p, eps) for v, p in place.items()}
     seen: set[tuple[int, int]] = set()
     heap = [(0.0, v) for v, w in white.items() if w and w[0][0] <= 1e-9]
@@ -74,32 +118,35 @@ def has_walk(xy: np.ndarray, edges: np.ndarray, eps: float) -> bool:
         if white[v][k][1] >= n - 1e-9:
             return True
         for u in out.get(v, ()):
-            got = along_edge(xy, place[v], place[u], at, eps)
-            if got is not None:
+            if white[u] and (got := along_edge(xy, place[v], place[u], at, white[u], eps)) is not None:
                 heapq.heappush(heap, (got, u))
     return False
 
 
 def is_near(xy: np.ndarray, edges: np.ndarray, eps: float) -> bool:
     """Whether every point of the path is within ``eps`` of an edge."""
+    own = near(xy, edges, eps)[:, 2:]
     for i in range(len(xy) - 1):
-        end = 0.0
-        parts = sorted(x for e in edges if (x := tube_interval(xy[i], xy[i + 1], e[2:4], e[4:6], eps)))
-        for a, b in parts:
-            if a > end + 1e-9:
-                return False
-            end = max(end, b)
-        if end < 1 - 1e-9:
+        lo, hi = tube_intervals(xy[i], xy[i + 1], own, eps)
+        ok = ~np.isnan(lo)
+        order = np.argsort(lo[ok])
+        lo, reach = lo[ok][order], np.maximum.accumulate(np.concatenate([[0.0], hi[ok][order]]))
+        if (lo > reach[:-1] + 1e-9).any() and reach[int(np.argmax(lo > reach[:-1] + 1e-9))] < 1 - 1e-9 or reach[-1] < 1 - 1e-9:
             return False
     return True
 
 
 def least_distance(xy: np.ndarray, edges: np.ndarray, kind: str, most: int) -> int | None:
-    """Least whole number from 1 for which the test holds, by bisection; tests are monotone."""
+    """Least whole number from 1 for which the test holds: doubling, then bisection, since tests are monotone."""
     test = has_walk if kind == "frechet" else is_near
-    if len(xy) < 2 or not len(edges) or not test(xy, edges, float(most)):
+    if len(xy) < 2 or not len(edges):
         return None
-    lo, hi = 0, most
+    hi = 1
+    while not test(xy, edges, float(hi)):
+        if hi >= most:
+            return None
+        hi = min(2 * hi, most)
+    lo = hi // 2
     while hi - lo > 1:
         mid = (lo + hi) // 2
         if test(xy, edges, float(mid)):

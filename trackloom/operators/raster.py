@@ -57,9 +57,9 @@ def metres(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
 
 
 def grid_size(box: tuple[float, float, float, float], cell: float) -> tuple[int, int]:
-    """Width and height in cells; the width along the south, the height along the west."""
+    """Width and height in cells; the width along the north, the height along the east."""
     s, w, n, e = box
-    return int(metres(s, w, s, e) / cell), int(metres(s, w, n, w) / cell)
+    return int(metres(n, w, n, e) / cell), int(metres(s, e, n, e) / cell)
 
 
 def line_pixels(df: DataFrame, r1: str, c1: str, r2: str, c2: str) -> DataFrame:
@@ -248,6 +248,7 @@ def traced(kinds: DataFrame) -> DataFrame:
 
     kinds: row, col, kind. Returns path, ends (blobs of crossing pixels, one or two), pixels (array of row, col in order).
     """
+    kinds = saved(kinds.select("row", "col", "kind"))
     nodes = blobs(kinds.where("kind = 'crossing'"))
     paths = blobs(kinds.where("kind = 'path'"))
     near = _spread(nodes.select("row", "col", F.col("blob").alias("node")), NEIGHBOURS)

@@ -41,7 +41,7 @@ def sparse(spark, d):
     return raster.density(raster.drawn(short_steps(spark, d), "route_id"))
 
 
-@query("RA-01", "SELECT CAST(trunc(" + "12742000e0 * atan2(sqrt(pow(cos(radians(35.7185e0)) * sin(radians(51.3822e0 - 51.32e0) / 2), 2)), sqrt(1 - pow(cos(radians(35.7185e0)) * sin(radians(51.3822e0 - 51.32e0) / 2), 2)))" + ") AS BIGINT) AS width, CAST(trunc(12742000e0 * radians(35.7384e0 - 35.7185e0) / 2) AS BIGINT) AS height")
+@query("RA-01", "SELECT CAST(trunc(" + "12742000e0 * atan2(sqrt(pow(cos(radians(35.7384e0)) * sin(radians(51.3822e0 - 51.32e0) / 2), 2)), sqrt(1 - pow(cos(radians(35.7384e0)) * sin(radians(51.3822e0 - 51.32e0) / 2), 2)))" + ") AS BIGINT) AS width, CAST(trunc(12742000e0 * radians(35.7384e0 - 35.7185e0) / 2) AS BIGINT) AS height")
 def grid_size(spark, d):
     width, height = raster.grid_size(BOX, 1.0)
     return spark.createDataFrame([(width, height)], "width long, height long")

@@ -32,8 +32,11 @@ def unpacked(text: str, lookup: Callable, prior: dict, keep: int) -> Viterbi:
     return v
 
 
-def match_stream(observations: DataFrame, lookup: Callable[[int, int], float], keep: int = 50, silent_ms: int = 60_000) -> DataFrame:
-    """A streaming frame of (route, n, state) from one of (route long, n long, candidates array<struct<state long, e double>>)."""
+def match_stream(observations: DataFrame, lookup: Callable[[int, int], float], keep: int = 50, silent_ms: int | None = 60_000) -> DataFrame:
+    """A streaming frame of (route, n, state) from one of (route long, n long, candidates array<struct<state long, e double>>).
+
+    Without ``silent_ms`` a route's last states wait for more observations for ever.
+    """
     prior = {UNKNOWN: 1.0}
 
     def each(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -55,10 +58,11 @@ def match_stream(observations: DataFrame, lookup: Callable[[int, int], float], k
                 out.append((key[0], nxt, gone))
                 nxt += 1
         state.update((packed(v), nxt))
-        state.setTimeoutDuration(silent_ms)
+        if silent_ms is not None:
+            state.setTimeoutDuration(silent_ms)
         yield pd.DataFrame(out, columns=["route", "n", "state"])
 
-    return observations.groupBy("route").applyInPandasWithState(each, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return observations.groupBy("route").applyInPandasWithState(each, OUT, STATE, "append", GroupStateTimeout.NoTimeout if silent_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def windowed_speed(points: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:

@@ -70,6 +70,8 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left
     The reach doubles each round for the points that have fewer than ``k`` within
     it yet; the loop ends when none is left, or when the reach covers everything.
     """
+    from trackloom.operators.raster import saved
+
     left = left.select(left_id, *left_xy)
     right = right.select(right_id, *right_xy)
     out, open_ = None, left
@@ -77,7 +79,7 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left
         pairs = within_distance(open_, right, reach * 2**at, left_xy, right_xy)
         ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy(left_id).orderBy("dist", right_id))).where(F.col("rank") <= k)
         full = ranked.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(left_id))).where(F.col("_n") == k).select(left_id, right_id, "dist", "rank")
-        full = full.checkpoint() if full.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else full.cache()
+        full = saved(full)
         out = full if out is None else out.unionByName(full)
         open_ = open_.join(full.select(left_id).distinct(), left_id, "left_anti")
         if open_.isEmpty():

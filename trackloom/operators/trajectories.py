@@ -138,10 +138,13 @@ def numbered(df: DataFrame, keys: list[str], out: str = "traj_id") -> DataFrame:
     Keys are ranked by range partitions with offsets from partition counts, so no
     single task sees them all.
     """
+    from trackloom.operators.raster import saved
+
     own = df.select(*keys).distinct()
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = own.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_p", F.spark_partition_id())
-    ranked = dealt.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(*keys)))
+    # written once: both uses below must see the same partitions
+    ranked = saved(dealt.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(*keys))))
     counts = ranked.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.withColumn("_o", F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)))  # a row for each partition
     ids = ranked.join(F.broadcast(offsets.select("_p", F.coalesce("_o", F.lit(0)).alias("_o"))), "_p").select(*keys, (F.col("_r") + F.col("_o")).cast("long").alias(out))

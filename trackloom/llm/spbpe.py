@@ -35,10 +35,10 @@ from trackloom.llm.common import TwoAges, small_batches
 MARK = "▁"
 
 #: Words whose encodings a worker remembers, twice over at most; longer words are encoded anew.
-MEMO = 200_000
+MEMO = 120_000
 MEMO_CHARS = 48
 #: Pairs of tokens whose compatibility a worker remembers, twice over at most.
-MEMO_PAIRS = 250_000
+MEMO_PAIRS = 120_000
 
 
 def merged_by_rank(symbols: list[str], rank: dict[str, int]) -> list[tuple[str, str, str]]:

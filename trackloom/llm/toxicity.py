@@ -47,7 +47,7 @@ WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 6, 8, 8, 8
 WORDS, GRAMS = 12_000, 24_000
 ROUNDS, PASSES, BATCH, RATE = 3, 4, 256, 0.012
 #: Bytes of text that are looked at together.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 IS_WORD = np.zeros(256, bool)
 IS_WORD[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = True
@@ -365,7 +365,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
     rng = np.random.default_rng(seed)
     n_toxic = int(toxic.sum())
     by_word, by_gram = Contrast(), Contrast()
-    cuts = list(blocks(texts, CHUNK // 4))  # bounds the memory that training takes
+    cuts = list(blocks(texts, CHUNK))  # bounds the memory that training takes
     for at, upto in cuts:
         count, words, grams = hashed(texts[at:upto])
         edge = np.cumsum(count)[:-1]

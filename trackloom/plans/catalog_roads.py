@@ -186,11 +186,11 @@ def refined(spark, d):
         place = {}
         for r in pdf.itertuples(index=False):
             place[r.source], place[r.target] = (r.ax, r.ay), (r.bx, r.by)
-        traces = [np.array([[r.ax, r.ay], [r.bx, r.by]]) for r in pdf.itertuples(index=False) if r.edge_id % 5 == 0]
+        traces = [np.array([[r.ax, r.ay], [r.bx, r.by]]) for r in pdf.itertuples(index=False) if r.length > 110]
         new, kept = graph.refined(place, {(r.source, r.target) for r in pdf.itertuples(index=False)}, traces, 96.0, 12.0)
         return pd.DataFrame({"tile": [pdf["tile"].iloc[0]], "nodes": [len({n for x in kept for n in x})], "edges": [len(kept)]})
 
-    return e.select("tile", "edge_id", "source", "target", "ax", "ay", "bx", "by").groupBy("tile").applyInPandas(each, "tile long, nodes long, edges long")
+    return e.select("tile", "source", "target", "length", "ax", "ay", "bx", "by").groupBy("tile").applyInPandas(each, "tile long, nodes long, edges long")
 
 
 @query("GR-06")
@@ -234,7 +234,7 @@ def incident(spark, d):
 
 @query("GR-12")
 def sticks(spark, d):
-    own = matches(spark, d).select(F.col("id").alias("stick"), F.explode("opath").alias("edge")).where("edge < 4000")
+    own = matches(spark, d).select(F.col("id").alias("stick"), F.explode("opath").alias("edge"))
     return graph.shared_edge_groups(own, "stick", "edge")
 
 
@@ -252,23 +252,22 @@ def walk_points(spark, d):
     return graph.walk_points(own, starts, 1000.0, 100.0).select("tile", "start", "n", thousandths(F.col("x")).alias("x"), thousandths(F.col("y")).alias("y"))
 
 
-def tiled_trips(spark, d):
+def tiled_trips(spark, d, size):
+    """Trips in groups of so many, each a map of its own: these trips cross the whole area, so tiles of the ground would cut them up."""
     t = metric_trips(spark, d)
-    return t.withColumn("tile", F.col("trip") % 12)
+    return t.withColumn("tile", F.floor(F.col("trip") / size))
 
 
 @query("GR-15")
 def incremental_map(spark, d):
     """Maps of groups of trips, built one trip after another."""
-    own = tiled_trips(spark, d).where("n <= 12")
-    got = cluster.built_map(own, 150.0)
+    got = cluster.built_map(tiled_trips(spark, d, 4), 150.0)
     return got.select("tile", "edge", *[F.round(c, 2).alias(c) for c in ("ax", "ay", "bx", "by")])
 
 
 @query("GR-16")
 def edge_splits(spark, d):
-    own = tiled_trips(spark, d).where("n <= 6")
-    return cluster.built_map(own, 300.0).groupBy("tile").agg(F.count(F.lit(1)).alias("edges"))
+    return cluster.built_map(tiled_trips(spark, d, 2), 300.0).groupBy("tile").agg(F.count(F.lit(1)).alias("edges"))
 
 
 def tiled_points(spark, d):

@@ -6,7 +6,7 @@ import public_tokenizers
 import sentencepiece
 
 import corpus_pipeline
-from test_queries import WS, brute_components, brute_hits, brute_print, row_order
+from test_corpus_queries import WS, brute_components, brute_hits, brute_print, row_order
 from trackloom.llm import queries, toxicity
 
 

@@ -114,6 +114,7 @@ def exploded(spark, d):
     return joins.exploded_path(matches(spark, d), edges(spark, d)).select("id", F.col("pos").cast("long").alias("pos"), "edge_id", thousandths(F.col("length")).alias("length"))
 
 
+#: The two factors are fixed values: metres a degree of longitude and of latitude.
 BOXES = ", p AS (SELECT event_id, lon * 83044.98918812413e0 AS x, lat * 111070.34306591158e0 AS y FROM gps),\ne AS (SELECT edge_id, least(lon1, lon2) * 83044.98918812413e0 AS x0, least(lat1, lat2) * 111070.34306591158e0 AS y0, greatest(lon1, lon2) * 83044.98918812413e0 AS x1, greatest(lat1, lat2) * 111070.34306591158e0 AS y1 FROM edges)"
 
 

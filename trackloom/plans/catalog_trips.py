@@ -12,6 +12,7 @@ from trackloom.plans.catalog_scalar import lines
 from trackloom.plans.registry import query
 from trackloom.plans.relations import BOX, crossings, edges, gps, hav, k, links, matches, micro, points2d, sql, thousandths
 
+#: Metres a degree of longitude and of latitude in the study area.
 MX, MY = 83044.98918812413, 111070.34306591158
 S, WE, N, E = BOX
 STRICT = f"lat > {S}e0 AND lat < {N}e0 AND lon > {WE}e0 AND lon < {E}e0"

@@ -19,7 +19,8 @@ scans takes over, which adaptive execution can split.
 
 Repeated word triples are found inside each row: hashes of the triples with their
 position in the low bits are sorted as plain longs, and neighbours with equal
-high bits are the same triple if their words are.
+high bits are the same triple if their words are. A text in which neighbours of
+equal high bits differ in words is settled by all 64 bits of the hashes instead.
 """
 
 from __future__ import annotations
@@ -57,14 +58,19 @@ def base_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     few = F.size("_words") < 3
     many = F.size("_words") > mask
 
-    one = df.withColumn("_words", _words(F.col(text_col)))
     # positions in the low bits: sorting the longs brings equal triples together
-    two = one.withColumn("_fast", F.when(~few & ~many, F.sort_array(F.transform(starts, lambda i: triple(i).bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long"))))))
-    two = two.withColumn("_slow", F.when(~few & many, F.sort_array(F.transform(starts, lambda i: F.struct(triple(i).alias("h"), i.cast("long").alias("p"))))))
+    one = df.withColumn("_words", _words(F.col(text_col)))
+    one = one.withColumn("_fast", F.when(~few & ~many, F.sort_array(F.transform(starts, lambda i: triple(i).bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long"))))))
     high = lambda x: x.bitwiseAND(F.lit(~mask))
     low = lambda x: x.bitwiseAND(F.lit(mask)).cast("int")
-    meets = lambda x, y: F.coalesce((high(x) == high(y)) & _same("_words", low(x), low(y)), F.lit(False))
-    fast = F.transform(F.filter("_fast", lambda x, i: meets(x, F.get("_fast", i - 1)) | meets(x, F.get("_fast", i + 1))), low)
+    alike = lambda x, y: F.coalesce(high(x) == high(y), F.lit(False))
+
+    # what is left has a neighbour with the same high bits; such neighbours of different words are a clash, which all 64 bits settle
+    two = one.withColumn("_near", F.filter("_fast", lambda x, i: alike(x, F.get("_fast", i - 1)) | alike(x, F.get("_fast", i + 1))))
+    clash = F.size(F.filter("_near", lambda x, i: alike(x, F.get("_near", i - 1)) & ~_same("_words", low(x), low(F.get("_near", i - 1))))) > 0
+    two = two.withColumn("_plain", ~few & ~many & ~clash)
+    two = two.withColumn("_slow", F.when(~few & ~F.col("_plain"), F.sort_array(F.transform(starts, lambda i: F.struct(triple(i).alias("h"), i.cast("long").alias("p"))))))
+    fast = F.when(F.col("_plain"), F.transform("_near", low))
     slow = F.transform(F.filter("_slow", lambda x, i: F.coalesce(x["h"] == F.get("_slow", i - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get("_slow", i + 1)["h"], F.lit(False))), lambda x: x["p"].cast("int"))
     three = two.withColumn("_at", F.sort_array(F.coalesce(fast, slow, F.array().cast("array<int>"))))
     repeated = F.aggregate(F.transform("_at", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("_at", i + 1) - p, F.lit(3)))), F.lit(0), lambda s, x: s + x)

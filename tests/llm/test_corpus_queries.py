@@ -1,6 +1,7 @@
 """Each query on the small corpus against a brute-force version; all on empty tables and with clashing columns."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -12,6 +13,7 @@ import sentencepiece
 import tokenizers
 import xxhash
 
+from trackloom.llm import quality
 from trackloom.llm import queries as q
 from trackloom.llm.quality import MAX_DOCS, MIN_LEFT
 
@@ -159,6 +161,23 @@ def test_quality(spark, sf, rows):
     assert collect(q.op6_quality(spark, sf), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept") == expected(rows[0], one)
 
 
+@pytest.mark.parametrize("bits", [21, 54, 58])
+def test_repeated_triples_survive_clashes(spark, monkeypatch, bits):
+    """With few bits left for the hash nearly all texts hold clashing triples."""
+    monkeypatch.setattr(quality, "POSITION_BITS", bits)
+    gen = random.Random(bits)
+    texts = [None, "", "a b", "a a a a", *(" ".join(gen.choices("abcdefg", k=gen.randrange(1, 400))) for _ in range(40))]
+    texts += [" ".join(f"w{gen.randrange(90)}" for _ in range(gen.randrange(300))) for _ in range(40)]
+
+    def repeats(text):
+        w = words(text)
+        seen = Counter(zip(w, w[1:], w[2:], strict=False))
+        return len({p + j for p in range(len(w) - 2) if seen[tuple(w[p : p + 3])] > 1 for j in range(3)})
+
+    got = quality.base_counts(spark.createDataFrame(list(enumerate(texts)), "i long, text string"))
+    assert {r.i: r.n_repeat_words for r in got.collect()} == {i: repeats(t) for i, t in enumerate(texts)}
+
+
 def test_boilerplate_lines_deplete(spark):
     from trackloom.llm.quality import judge
 

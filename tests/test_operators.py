@@ -278,3 +278,34 @@ def test_windowed_speed(spark):
 
     df = spark.sql("SELECT * FROM VALUES (timestamp'2024-01-01 00:10:00', 'a', 1.0D), (timestamp'2024-01-01 00:50:00', 'a', 3.0D), (timestamp'2024-01-01 01:10:00', 'a', 5.0D) AS t(ts, kind, value)")
     assert sorted((r.n, r["mean"]) for r in online.windowed_speed(df).collect()) == [(1, 5.0), (2, 2.0)]
+
+
+def test_interval_sweep(spark):
+    from trackloom.operators.aggregates import interval_sweep
+
+    own = [("a", 0, 10, 1), ("a", 0, 4, 2), ("a", 4, 4, 3), ("a", 5, 6, 4), ("a", 10, 12, 5), ("a", 11, 12, 6), ("b", 3, 9, 7)]
+    got = interval_sweep(spark.createDataFrame(own, "k string, l long, r long, i long"), ["k"], "l", "r", "i").collect()
+    assert {r.i: (r.place, r.open) for r in got} == {2: (1, 0), 1: (2, 1), 3: (3, 2), 4: (4, 1), 5: (5, 1), 6: (6, 1), 7: (1, 0)}
+    assert interval_sweep(spark.createDataFrame([], "k string, l long, r long, i long"), ["k"], "l", "r", "i").count() == 0
+
+
+def test_database(spark):
+    import uuid
+
+    from py4j.protocol import Py4JJavaError
+
+    from trackloom.sources import database
+
+    url, name = "jdbc:derby:memory:tests;create=true", "t" + uuid.uuid4().hex
+    one, two = spark.range(7).select((F.col("id") * 10).alias("v")), spark.range(5).select((F.col("id") + 100).alias("v"))
+    database.append(one, url, name)
+    database.append(two, url, name)
+    database.add_primary_key(spark, url, name)
+    for parts in (1, 3, 50):
+        got = database.read(spark, url, name, parts).collect()
+        assert sorted(r.v for r in got) == sorted([*range(0, 70, 10), *range(100, 105)])
+        assert len({r.id for r in got}) == 12
+    database.append(one.limit(0), url, name)
+    assert database.read(spark, url, name).count() == 12
+    with pytest.raises(Py4JJavaError):
+        one.withColumn("id", F.lit(0).cast("long")).write.format("jdbc").options(url=url, dbtable=name).mode("append").save()

@@ -73,3 +73,20 @@ def overlap_scores(ground: DataFrame, inferred: DataFrame) -> DataFrame:
     i = inferred.agg((F.sum("inside") / F.sum("length")).alias("correctness"))
     c, r = F.col("completeness"), F.col("correctness")
     return g.crossJoin(i).withColumn("f", F.when(c + r > 0, 2 * c * r / (c + r)))
+
+
+def interval_sweep(df: DataFrame, keys: list[str], left: str, end: str, id_col: str) -> DataFrame:
+    """Each key's intervals in the order of left, then end, then id: place from 1, and how many earlier ones are still open at left.
+
+    Starts and ends are swept as one stream, so no interval meets another; ends at
+    the very start of an interval are still open. An interval must not end before it starts.
+    """
+    from pyspark.sql import Window as W
+
+    start = df.select(*keys, F.col(left).alias("_t"), F.lit(0).alias("_e"), F.col(end).alias("_r"), F.col(id_col).alias("_i"))
+    stop = df.select(*keys, F.col(end).alias("_t"), F.lit(1).alias("_e"), F.col(end).alias("_r"), F.col(id_col).alias("_i"))
+    w = W.partitionBy(*keys).orderBy("_t", "_e", "_r", "_i").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ended = F.sum("_e").over(w)
+    seen = F.count(F.lit(1)).over(w)
+    swept = start.unionByName(stop).withColumns({"_ended": ended, "_seen": seen}).where("_e = 0")
+    return swept.select(*keys, F.col("_i").alias(id_col), (F.col("_seen") - F.col("_ended")).alias("place"), (F.col("_seen") - 2 * F.col("_ended") - 1).alias("open"))

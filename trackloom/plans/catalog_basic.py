@@ -388,6 +388,17 @@ def widest_first(spark, d):
     return own.select("grp", thousandths(F.col("e")).alias("extent"), F.row_number().over(W.orderBy(F.desc("e"), "grp")).cast("long").alias("place"))
 
 
+SWEPT = """, iv AS (SELECT route_id, event_id, us AS l, us + CAST(floor(value * 1e9) AS BIGINT) AS r FROM gps)
+SELECT route_id, event_id, row_number() OVER (PARTITION BY route_id ORDER BY l, r, event_id) AS place,
+  (SELECT count(*) FROM iv b WHERE b.route_id = a.route_id AND b.r >= a.l AND (b.l < a.l OR b.l = a.l AND (b.r < a.r OR b.r = a.r AND b.event_id < a.event_id))) AS open FROM iv a"""
+
+
+@query("SO-06", sql("gps", SWEPT))
+def sweep(spark, d):
+    own = gps(spark, d).withColumn("until", F.col("us") + F.floor(F.col("value") * 1e9))
+    return aggregates.interval_sweep(own, ["route_id"], "us", "until", "event_id")
+
+
 @query("SE-01", sql("gps", "SELECT event_id, 1 AS part FROM gps WHERE value < 50 UNION ALL SELECT event_id, 2 FROM gps WHERE value > 40").replace("1 AS part", "CAST(1 AS BIGINT) AS part"))
 def union_all(spark, d):
     g = gps(spark, d)

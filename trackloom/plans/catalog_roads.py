@@ -8,10 +8,12 @@ from trackloom.functions import codec, geo
 from trackloom.operators import cluster, graph, raster, sets, trajectories
 from trackloom.operators.raster import Grid
 from trackloom.plans.catalog_basic import segments
+from trackloom.plans.catalog_scalar import BEARING
 from trackloom.plans.catalog_trips import metric_edges, metric_trips
 from trackloom.plans.registry import query
 from trackloom.plans.relations import BOX, edges, gps, k, links, matches, micro, nodes, points2d, sql, thousandths, u
 from trackloom.session import shared_path
+from trackloom.sources import database as database_io
 from trackloom.sources import maps, png, points, shapefile
 
 #: Pixels for the bound tables: about 30 m.
@@ -225,7 +227,11 @@ def line_paths(spark, d):
     return edges(spark, d).select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), thousandths(F.col("length")).alias("length")).distinct()
 
 
-@query("GR-11")
+INCIDENT = f", b AS (SELECT source, target, length, {BEARING} AS bearing FROM edges), t AS (SELECT *, bearing - lag(bearing) OVER (PARTITION BY source ORDER BY bearing, target) AS turn FROM b)\n"
+ANGLE = "CASE WHEN count(*) > 1 THEN least(coalesce(min(turn), 360e0), min(bearing) + 360 - max(bearing)) END"
+
+
+@query("GR-11", sql("edges", INCIDENT + f"SELECT source AS node_id, {k('min(length)')} AS nearest, {k(ANGLE)} AS angle, count(*) AS edges FROM t GROUP BY source"))
 def incident(spark, d):
     own = edges(spark, d).withColumn("bearing", geo.bearing("lat1", "lon1", "lat2", "lon2"))
     got = graph.nearest_incident(own)
@@ -444,6 +450,27 @@ def streets(spark, d):
     return maps.streets_in_box(edges(spark, d), BOX).select("edge_id")
 
 
+@query("IO-14", sql("gps", "SELECT route_id, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS total FROM gps GROUP BY route_id"))
+def database(spark, d):
+    """Positions appended in two goes, made unique by a key, and read again.
+
+    The database is the one that spark.trackloom.jdbc.url names; without it, an
+    embedded one in the memory of this JVM, which serves a local master only.
+    """
+    import uuid
+
+    named = spark.sparkContext.getConf().get("spark.trackloom.jdbc.url")
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.trackloom.jdbc.url to a database that all executors reach")
+    url, name = named or "jdbc:derby:memory:trackloom;create=true", "gps_" + uuid.uuid4().hex
+    own = gps(spark, d).select("route_id", "event_id", "lat", "lon")
+    early = F.col("event_id") % 2 == 0
+    database_io.append(own.where(early), url, name)
+    database_io.append(own.where(~early), url, name)
+    database_io.add_primary_key(spark, url, name)
+    return database_io.read(spark, url, name, 4).groupBy("route_id").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("total"))
+
+
 @query("IO-15", sql("edges", f"SELECT {u('lat1')} AS lat1, {u('lon1')} AS lon1, {u('lat2')} AS lat2, {u('lon2')} AS lon2 FROM edges"))
 def edge_text(spark, d):
     maps.write_edge_text(edges(spark, d), path := shared_path(spark, "edge-text"))

@@ -58,7 +58,18 @@ def destination(spark, d):
     return gps(spark, d).select("event_id", micro(geo.destination_lat("lat", turn, "value")).alias("lat2"), micro(geo.destination_lon("lat", "lon", turn, "value")).alias("lon2"))
 
 
-@query("SC-07")
+CROSSING = LEAD + """, r AS (SELECT event_id, radians(lat) AS p1, radians(lon) AS l1, radians(value % 360) AS t13, radians(lat2) AS p2, radians(lon2) AS l2, radians((value * 7) % 360) AS t23 FROM n),
+s AS (SELECT *, 2 * asin(sqrt(pow(sin((p2 - p1) / 2), 2) + cos(p1) * cos(p2) * pow(sin((l2 - l1) / 2), 2))) AS d FROM r),
+t AS (SELECT *, acos(greatest(-1e0, least(1e0, (sin(p2) - sin(p1) * cos(d)) / nullif(sin(d) * cos(p1), 0)))) AS ta, acos(greatest(-1e0, least(1e0, (sin(p1) - sin(p2) * cos(d)) / nullif(sin(d) * cos(p2), 0)))) AS tb FROM s),
+a AS (SELECT *, t13 - CASE WHEN sin(l2 - l1) > 0 THEN ta ELSE 2 * pi() - ta END AS a1, CASE WHEN sin(l2 - l1) > 0 THEN 2 * pi() - tb ELSE tb END - t23 AS a2 FROM t),
+b AS (SELECT *, acos(greatest(-1e0, least(1e0, sin(a1) * sin(a2) * cos(d) - cos(a1) * cos(a2)))) AS a3 FROM a),
+c AS (SELECT *, atan2(sin(d) * sin(a1) * sin(a2), cos(a2) + cos(a1) * cos(a3)) AS far, d = 0 OR sin(a1) = 0 AND sin(a2) = 0 OR sin(a1) * sin(a2) < 0 AS none FROM b),
+e AS (SELECT *, asin(greatest(-1e0, least(1e0, sin(p1) * cos(far) + cos(p1) * sin(far) * cos(t13)))) AS p3 FROM c)
+"""
+LON3 = "degrees(l1 + atan2(sin(t13) * sin(far) * cos(p1), cos(far) - sin(p1) * sin(p3)))"
+
+
+@query("SC-07", sql("gps", CROSSING + f"SELECT event_id, CASE WHEN NOT none THEN {k('degrees(p3)')} END AS lat, CASE WHEN NOT none THEN {k(LON3)} END AS lon FROM e"))
 def great_circle_crossing(spark, d):
     """Held against a vector computation in the tests."""
     own = steps(spark, d).withColumn("m", geo.great_circle_crossing("lat1", "lon1", F.col("value") % 360, "lat2", "lon2", (F.col("value") * 7) % 360))
@@ -86,7 +97,17 @@ def azimuth(spark, d):
     return trajectories.motion(gps(spark, d), "route_id").select("event_id", F.col("azimuth").cast("long").alias("azimuth"))
 
 
-@query("SC-12")
+UTM = """, c AS (SELECT 1 / 298.257223563e0 / (2 - 1 / 298.257223563e0) AS n),
+h AS (SELECT event_id, sin(radians(lat)) AS s, radians(lon - 51) AS lam, n, 2 * sqrt(n) / (1 + n) AS e, 6378137e0 / (1 + n) * (1 + pow(n, 2) / 4 + pow(n, 4) / 64) AS big FROM gps, c),
+t AS (SELECT *, sinh(ln((1 + s) / (1 - s)) / 2 - e * ln((1 + e * s) / (1 - e * s)) / 2) AS t FROM h),
+x AS (SELECT *, atan2(t, cos(lam)) AS xi, ln((1 + sin(lam) / sqrt(1 + t * t)) / (1 - sin(lam) / sqrt(1 + t * t))) / 2 AS eta FROM t),
+y AS (SELECT *, n / 2 - 2 * pow(n, 2) / 3 + 5 * pow(n, 3) / 16 AS a, 13 * pow(n, 2) / 48 - 3 * pow(n, 3) / 5 AS b, 61 * pow(n, 3) / 240 AS c FROM x)
+"""
+EAST = "500000 + 0.9996e0 * big * (eta + a * cos(2 * xi) * sinh(2 * eta) + b * cos(4 * xi) * sinh(4 * eta) + c * cos(6 * xi) * sinh(6 * eta))"
+NORTH = "0.9996e0 * big * (xi + a * sin(2 * xi) * cosh(2 * eta) + b * sin(4 * xi) * cosh(4 * eta) + c * sin(6 * xi) * cosh(6 * eta))"
+
+
+@query("SC-12", sql("gps", UTM + f"SELECT event_id, CAST(round({EAST}) AS BIGINT) AS easting, CAST(round({NORTH}) AS BIGINT) AS northing FROM y"))
 def utm(spark, d):
     """Held against known points in the tests."""
     own = gps(spark, d).withColumn("p", geo.utm("lat", "lon", 39))

@@ -67,8 +67,3 @@ def read_metric_trips(spark: SparkSession, path: str) -> DataFrame:
     """CSV of id, x, y, altitude, time in ms; time in seconds, sorted by id within partitions."""
     df = spark.read.schema("id long, x double, y double, altitude double, time_ms double").option("header", True).csv(path)
     return df.withColumn("time", F.col("time_ms") / 1000).drop("time_ms").sortWithinPartitions("id", "time")
-
-
-def append_to_database(df: DataFrame, url: str, table: str, **options: str) -> None:
-    """Append rows over JDBC, each with an id that grows with the partition; the driver's jar must be on the class path."""
-    df.withColumn("id", F.monotonically_increasing_id()).write.format("jdbc").options(url=url, dbtable=table, **options).mode("append").save()

@@ -5,6 +5,10 @@ training texts. A text belongs to the language whose dictionary makes it
 smallest. Where the smallest and the second smallest size are closer than
 ``MARGIN`` of the smallest, the prediction is marked as not accepted.
 
+A text is compressed in blocks of ``BLOCK`` bytes, each against every dictionary,
+and the sizes are summed: a compressor looks back over a bounded window only, so
+without blocks no dictionary would have a say past the beginning of a long text.
+
 Texts are compared lower-cased and with all ASCII characters but letters as
 single spaces. Null texts and texts without a letter are "und". Of equal sizes
 the language with more training rows wins, then the first by name. Rows without
@@ -34,6 +38,7 @@ PIECES, PIECE = 3, 300
 DICT_BYTES = 100_000
 MARGIN = 0.02
 LEVEL = 6
+BLOCK = 16_384
 UNKNOWN = "und"
 #: UTF-8 bytes: ASCII but lower-case letters becomes a space.
 FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -64,7 +69,9 @@ class Classifier:
 
     def sizes(self, text: str) -> list[int]:
         own = shape(text)
-        return [len(c.compress(own)) for c in self.coders]
+        # bytes of a cut character do no harm
+        blocks = [own[k : k + BLOCK] for k in range(0, len(own), BLOCK)] or [own]
+        return [sum(len(c.compress(b)) for b in blocks) for c in self.coders]
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score, accepted)."""

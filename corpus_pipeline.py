@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import decontam, linededup, queries, simhash, spbpe, toxicity
+from trackloom.llm import decontam, linededup, nearcopies, queries, spbpe, toxicity
 from trackloom.llm.common import SPACES, read_table, stage_table
 
 
@@ -43,8 +43,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component: the one with the smallest id, null ids last."""
-    return set_apart(docs, lambda own: simhash.without_near_duplicates(own, "doc:doc_id", "doc:text"))
+    """One document of each component of near copies (five-word shingles, similarity 0.8): the one with the smallest id, null ids last."""
+    return set_apart(docs, lambda own: nearcopies.without_near_copies(own, "doc:doc_id", "doc:text"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

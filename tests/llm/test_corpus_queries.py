@@ -15,7 +15,7 @@ import xxhash
 
 from trackloom.llm import quality
 from trackloom.llm import queries as q
-from trackloom.llm.quality import MAX_DOCS, MIN_LEFT
+from trackloom.llm.quality import LEAST_DOCS, MIN_LEFT, SHARE
 
 WS = " \t\n\x0b\x0c\r"
 
@@ -141,12 +141,14 @@ def test_secrets(spark, sf, rows):
     assert got.where("n_assign > 0").count() >= 5
 
 
-def test_quality(spark, sf, rows):
-    in_host = defaultdict(set)
+def brute_quality(rows):
+    """What op6 says of each row: its base columns, then kept."""
+    in_host, of_host = defaultdict(set), defaultdict(set)
     norm = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", x.strip(WS)).lower()
-    for _, t, _, s in rows[0]:
+    for i, t, _, s in rows:
+        of_host[s].add((i, t))
         for x in {norm(x) for x in (t or "").split("\n")}:
-            in_host[(s, x)].add(t)
+            in_host[(s, x)].add((i, t))
 
     def one(i, text, _, source):
         text = text or ""
@@ -154,11 +156,18 @@ def test_quality(spark, sf, rows):
         seen = Counter(zip(w, w[1:], w[2:], strict=False))
         rep = {p + j for p in range(len(w) - 2) if seen[tuple(w[p : p + 3])] > 1 for j in range(3)}
         lines = [x for x in text.split("\n") if words(x)]
-        gone = sum(len(words(x)) for x in lines if len(in_host[(source, norm(x))]) > MAX_DOCS)
+        often = [x for x in lines if LEAST_DOCS < (n := len(in_host[(source, norm(x))])) and 100 * n > SHARE * len(of_host[source])]
+        gone = sum(len(words(x)) for x in often)
         failed = len(w) < 50 or 100 * len(rep) > 50 * len(w)
-        return i, len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(rep), failed, not failed and len(w) - gone >= MIN_LEFT * len(w)
+        return i, len(w), sum(map(len, w)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(rep), failed, not failed and 100 * (len(w) - gone) >= MIN_LEFT * len(w)
+
+    return expected(rows, one)
 
-    assert collect(q.op6_quality(spark, sf), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept") == expected(rows[0], one)
+
+def test_quality(spark, sf, rows):
+    got = q.op6_quality(spark, sf)
+    assert collect(got, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept") == brute_quality(rows[0])
+    assert got.where("NOT base_failed AND NOT kept").count() >= 3 and got.where("kept").count() >= 100
 
 
 @pytest.mark.parametrize("bits", [21, 54, 58])
@@ -181,11 +190,17 @@ def test_repeated_triples_survive_clashes(spark, monkeypatch, bits):
 def test_boilerplate_lines_deplete(spark):
     from trackloom.llm.quality import judge
 
+    gen = random.Random(8)
     line = "this line is on every page of the site and says nothing at all"
-    own = [(i, "\n".join([line] * 4 + [f"only {i} word{i} here"]), "a") for i in range(8)] + [(100 + i, "\n".join(f"text {i} {k} " + "lorem ipsum dolor sit amet " * 2 + str(k * i) for k in range(9)), "a") for i in range(3)] + [(200, line, "b"), (0, "\n".join([line] * 4 + ["only 0 word0 here"]), "a")]
-    got = {r.doc_id: r for r in judge(spark.createDataFrame(own, "doc_id long, text string, source string"), max_docs=5).collect()}
-    assert got[1].n_boilerplate_words == 4 * 14 and got[0].n_boilerplate_words == 4 * 14
-    assert got[101].n_boilerplate_words == 0 and got[200].n_boilerplate_words == 0
+    fresh = lambda n: " ".join(f"w{gen.randrange(10**6)}" for _ in range(n))
+    own = [(i, "\n".join([line] * 2 + [fresh(n)]), "a") for i, n in enumerate((30, 60, 111, 112, 113, 400, 400, 400))]  # of 28 + n words 28 go
+    own += [(100 + i, fresh(60), "a") for i in range(30)] + [(200, f"{line}\n{fresh(60)}", "b"), (0, own[0][1], "a"), (300, own[1][1], "a"), (None, own[2][1], None)]
+    rows = [(i, t, None, s) for i, t, s in own]
+    got = judge(spark.createDataFrame(own, "doc_id long, text string, source string")).collect()
+    assert sorted((tuple(r[c] for c in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")) for r in got), key=repr) == brute_quality(rows)
+    kept = {r.doc_id: (r.kept, r.n_boilerplate_words) for r in got if r.doc_id is not None}
+    assert [kept[i] for i in (1, 2, 3, 4, 5)] == [(False, 28), (False, 28), (True, 28), (True, 28), (True, 28)]
+    assert kept[300] == (False, 28) and kept[100] == (True, 0) and kept[200] == (True, 0)
 
 
 def fold_words(text):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trackloom.llm.quality import MAX_DOCS, MIN_LEFT
+from trackloom.llm.quality import LEAST_DOCS, MIN_LEFT, SHARE
 
 LINE_DEDUP = r"""
 WITH d AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS r, string_split(text, chr(10)) AS l FROM documents),
@@ -25,18 +25,19 @@ WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all
 g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS p, w FROM d WHERE len(w) >= 3),
 h AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, w[p], w[p + 1], w[p + 2]) AS n FROM g),
 rep AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM h WHERE n > 1) GROUP BY doc_id),
-ln AS (SELECT doc_id, source, text, unnest(l) AS raw FROM d),
-lf AS (SELECT doc_id, source, text, raw FROM ln WHERE NOT regexp_full_match(raw, '[\x20\x09-\x0D]*')),
+ln AS (SELECT doc_id, source, unnest(l) AS raw FROM d),
+lf AS (SELECT doc_id, source, raw FROM ln WHERE NOT regexp_full_match(raw, '[\x20\x09-\x0D]*')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT raw) AS n FROM lf GROUP BY doc_id),
-nm AS (SELECT doc_id, source, text, lower(regexp_replace(regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM lf),
-bp AS (SELECT source, line FROM nm GROUP BY source, line HAVING count(DISTINCT text) > {MAX_DOCS}),
+nm AS (SELECT doc_id, source, lower(regexp_replace(regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM lf),
+ho AS (SELECT source, count(*) AS n FROM d GROUP BY source),
+bp AS (SELECT source, line FROM nm JOIN ho USING (source) GROUP BY source, line HAVING count(DISTINCT doc_id) > {LEAST_DOCS} AND 100 * count(DISTINCT doc_id) > {SHARE} * any_value(ho.n)),
 gone AS (SELECT doc_id, CAST(sum(len(string_split(line, ' '))) AS BIGINT) AS n FROM nm JOIN bp USING (source, line) GROUP BY doc_id),
 b AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
   CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
   CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_boilerplate_words
   FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id))
 SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_boilerplate_words >= {MIN_LEFT} * n_words AS kept FROM b
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * (n_words - n_boilerplate_words) >= {MIN_LEFT} * n_words AS kept FROM b
 """
 
 DECONTAMINATION = r"""

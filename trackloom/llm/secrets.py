@@ -1,32 +1,38 @@
 """Secret scans: three pattern kinds, and a battery of randomness tests.
 
 Base spans are the matches of the assign, access and hex patterns. The method
-adds spans of kind "random": stretches of key characters outside base spans that
-look uniformly random rather than like prose. For each stretch
+adds spans of kind "random": stretches of key characters outside base spans (a
+stretch that one touches is cut there) that look uniformly random rather than
+written. For each stretch of ``LEAST_RANDOM`` characters or more
 
 * the encoding is inferred from its characters (decimal, hex, lower case, base32,
   base36, base62, base64 or a mixture of its two kinds), which gives an alphabet
   with an order;
 * a chi-squared test of uniformity over equal shares of the alphabet, a runs test
   about the alphabet's middle, and a lag-one serial correlation test must none
-  reject randomness at level ``ALPHA``;
-* the chi-squared statistic is also held against the one expected of prose of the
-  same length in the same encoding (non-central, its centre growing with the
-  length), which gives a p-value for "this is prose"; short stretches can't get a
-  small one;
+  reject randomness at level ``ALPHA``; a stretch that one rejects has p-value 1;
+* otherwise its p-value is that of "this is written": the likelihood of its
+  characters as written text over that as uniform ones, at most 1, which by
+  Markov's inequality is at most the level at which written characters get so
+  far. Written means each mixture in ``WRITTEN`` of letters, capitals and digits,
+  and the largest counts. It falls with each character, so short or plainly
+  written stretches can't get a small one;
 * the stretches of a document whose p-values pass the Benjamini-Hochberg
   procedure at rate ``RATE``, weighted by length, are reported.
 
-Positions are code points, ends exclusive. Null texts are empty. Rows are
-independent, so repeated rows, extra columns and empty tables need no care; an
-output column of a name that exists replaces it.
+Positions are code points, ends exclusive. Null texts are empty; very long texts
+are scanned whole. Rows are independent, so repeated rows, extra columns and empty
+tables need no care; an output column of a name that exists replaces it.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import accumulate, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,11 +48,17 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 KINDS = ("assign", "access", "hex", "random")
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
+LEAST_RANDOM = 16
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?" % LEAST_RANDOM)
 ALPHA = 0.001
-RATE = 0.01
+RATE = 0.05
 
-#: Encodings from the narrowest: name, characters in order, and the share of each in prose written with it.
+#: What written text may be: shares of digits among its characters, and of capitals among its letters, where there are both kinds.
+WRITTEN = ((0.03, 0.04), (0.03, 0.5), (0.15, 0.04), (0.95, 0.04))
+#: Share of each sign among written characters.
+SIGN = 0.01
+
+#: Encodings from the narrowest: name, characters in order.
 DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ALPHABETS = (
     ("decimal", DIGITS),
@@ -80,42 +92,51 @@ def chi_tail(x: float, df: int) -> float:
 
 
 def infer(token: str) -> tuple[str, str] | None:
-    body = token.rstrip("=")
-    own = set(body)
+    own = set(token.rstrip("="))
     for name, letters in ALPHABETS:
         if own <= set(letters):
             return name, letters
     return None
 
 
+@lru_cache(maxsize=len(ALPHABETS))
+def odds(name: str) -> list[dict[str, float]]:
+    """For each way of writing, by character: the logarithm of its likelihood among uniform ones over that among written ones."""
+    letters = dict(ALPHABETS)[name]
+    signs = [c for c in letters if not c.isalnum()]
+    digits = [c for c in letters if c.isdigit()]
+    low, high = ([c for c in letters if c.isalpha() and c.isupper() == up] for up in (False, True))
+    out = []
+    for share, capitals in WRITTEN:
+        rest = 1 - SIGN * len(signs)
+        for_digits = rest * (share if low or high else 1.0) if digits else 0.0
+        for_letters = rest - for_digits
+        p = dict.fromkeys(signs, SIGN)
+        p |= {c: for_digits * w / sum(NUMBERS[int(d)] for d in digits) for c in digits for w in [NUMBERS[int(c)]]}
+        for case, part in ((low, for_letters * (1 - capitals if high else 1.0)), (high, for_letters * (capitals if low else 1.0))):
+            total = sum(PROSE[ord(c.lower()) - 97] for c in case)
+            p |= {c: part * PROSE[ord(c.lower()) - 97] / total for c in case}
+        out.append({c: -math.log(len(letters) * p[c]) for c in letters})
+    return out
+
+
 def battery(token: str) -> tuple[str, list[float], float] | None:
-    """(encoding, p-values of the three tests of randomness, p-value for prose) of a stretch; None if no encoding fits."""
+    """(encoding, p-values of the three tests of randomness, p-value of being written) of a stretch; None if no encoding fits."""
     found = infer(token)
     if found is None:
         return None
     name, letters = found
     rank = {c: i for i, c in enumerate(letters)}
-    values = [rank[c] for c in token.rstrip("=")]
+    body = token.rstrip("=")
+    values = [rank[c] for c in body]
     n, k = len(values), len(letters)
     bins = max(2, min(k // 2, n // 5))
-    counts = [0] * bins
+    counts, size = [0] * bins, [0] * bins
     for v in values:
         counts[v * bins // k] += 1
-    size = [0.0] * bins
-    prose = [0.0] * bins
-    total = 0.0
-    for c, i in rank.items():
-        b = i * bins // k
-        size[b] += 1 / k
-        low = c.lower()
-        w = PROSE[ord(low) - 97] * (0.04 if c.isupper() and any(x.islower() for x in letters) else 1.0) if low.isalpha() else NUMBERS[int(c)] if name == "decimal" else 0.3
-        prose[b] += w
-        total += w
-    x = sum((o - n * s) ** 2 / (n * s) for o, s in zip(counts, size, strict=True))
-    df = bins - 1
-    uniform = chi_tail(x, df)
-    centre = n * sum((p / total - s) ** 2 / s for p, s in zip(prose, size, strict=True))
-    p_prose = 1 - normal_tail((x - df - centre) / math.sqrt(2 * (df + 2 * centre)))
+    for i in range(k):
+        size[i * bins // k] += 1
+    uniform = chi_tail(sum((o - n * s / k) ** 2 / (n * s / k) for o, s in zip(counts, size, strict=True)), bins - 1)
     high = [2 * v >= k for v in values]
     n1 = sum(high)
     n0 = n - n1
@@ -130,18 +151,33 @@ def battery(token: str) -> tuple[str, list[float], float] | None:
     spread = sum((v - m) ** 2 for v in values)
     serial = sum((a - m) * (b - m) for a, b in zip(values, values[1:], strict=False)) / spread if spread else 1.0
     p_serial = 2 * normal_tail(abs(serial + 1 / n) * math.sqrt(n))
-    return name, [uniform, p_runs, p_serial], max(p_prose, 1e-300)
+    least = min(sum(map(way.__getitem__, body)) for way in odds(name))
+    return name, [uniform, p_runs, p_serial], math.exp(-max(0.0, min(least, 690.0)))
 
 
 def discoveries(tokens: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
     """Stretches that pass the battery and the weighted Benjamini-Hochberg procedure."""
-    tested = [(a, b, got) for a, b, t in tokens if (got := battery(t)) is not None]
+    tested = [(a, b, got[2] if min(got[1]) >= ALPHA else 1.0) for a, b, t in tokens if (got := battery(t)) is not None]
     if not tested:
         return []
     mean = sum(b - a for a, b, _ in tested) / len(tested)
-    ranked = sorted((got[2] / ((b - a) / mean), a, b, got) for a, b, got in tested)
+    ranked = sorted((p / ((b - a) / mean), a, b) for a, b, p in tested)
     last = max((k for k, r in enumerate(ranked, 1) if r[0] <= RATE * k / len(ranked)), default=0)
-    return sorted((a, b) for _, a, b, got in ranked[:last] if min(got[1]) >= ALPHA)
+    return sorted((a, b) for _, a, b in ranked[:last])
+
+
+def outside(a: int, b: int, spans: Iterable[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What the spans, in order of their starts, leave of a stretch."""
+    for s, e in spans:
+        if e <= a:
+            continue
+        if s >= b:
+            break
+        if s > a:
+            yield a, s
+        a = max(a, e)
+    if a < b:
+        yield a, b
 
 
 def scan(text: str | None) -> list[tuple[int, int, int]]:
@@ -152,14 +188,12 @@ def scan(text: str | None) -> list[tuple[int, int, int]]:
     spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base = sorted((a, b) for a, _, b in spans)
+    reach = list(accumulate((b for _, b in base), max))
     free = []
-    k = 0
     for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        while k < len(base) and base[k][1] <= a:
-            k += 1
-        if not any(s < b and e > a for s, e in base[max(0, k - 2) : k + 3]):
-            free.append((a, b, m.group()))
+        # the first base span that ends after the stretch begins
+        k = bisect_right(reach, m.start())
+        free += [(a, b, text[a:b]) for a, b in outside(*m.span(), islice(base, k, None)) if b - a >= LEAST_RANDOM]
     spans += [(a, 3, b) for a, b in discoveries(free)]
     return sorted(spans)
 

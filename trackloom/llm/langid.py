@@ -17,8 +17,9 @@ a language or id aren't learned from; without any training row every text is
 of a name that exists replaces it; empty tables give empty results.
 
 The dictionaries are a bounded fit: about ``ROWS`` rows a language, drawn by a
-hash of the id at a rate from the language's own count, and from each evenly
-spaced pieces of ``PIECES`` x ``PIECE`` bytes. Everything else reads all rows.
+hash of the id at a rate from the language's own count, of those of at most
+``LONGEST`` characters. Whole texts of all rows drawn make the dictionary.
+Everything else reads all rows; very long texts are compressed whole.
 """
 
 from __future__ import annotations
@@ -33,9 +34,7 @@ from pyspark.sql.functions import arrow_udf
 
 from trackloom.llm.common import small_batches
 
-ROWS = 300
-PIECES, PIECE = 3, 300
-DICT_BYTES = 100_000
+ROWS, LONGEST = 80, 8_000
 MARGIN = 0.02
 LEVEL = 6
 BLOCK = 16_384
@@ -86,37 +85,20 @@ class Classifier:
         return self.names[best], score, second - least >= max(1.0, MARGIN * least)
 
 
-def pieces(text: str | None) -> bytes:
-    """Evenly spaced stretches of a text, for a dictionary."""
-    own = shape(text or "")
-    if len(own) <= PIECES * PIECE:
-        return own
-    step = (len(own) - PIECE) / max(1, PIECES - 1)
-    # bytes of a cut character do no harm in raw content
-    return b" ".join(own[int(k * step) : int(k * step) + PIECE] for k in range(PIECES))
-
-
 def fit(df: DataFrame, lang_col: str, text_col: str, id_col: str, learn: Column) -> list[tuple[str, bytes]]:
     """Dictionaries from the rows of ``df`` for which ``learn`` holds, the most frequent language first."""
-    rows = df.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("l"), F.col(text_col).alias("t"), F.xxhash64(F.col(id_col).cast("string"), F.lit("dictionary")).alias("h"))
+    rows = df.where(learn & F.col(lang_col).isNotNull() & (F.length(text_col) <= LONGEST)).select(F.col(lang_col).cast("string").alias("l"), F.col(text_col).alias("t"), F.xxhash64(F.col(id_col).cast("string"), F.lit("dictionary")).alias("h"))
     counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return []
-    spark = df.sparkSession
-    small_batches(spark)
-    share = spark.createDataFrame([(name, min(1.0, ROWS / n)) for name, n in counts.items()], "l string, share double")
+    share = df.sparkSession.createDataFrame([(name, min(1.0, ROWS / n)) for name, n in counts.items()], "l string, share double")
     drawn = rows.join(F.broadcast(share), "l").where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30))
 
-    @arrow_udf("binary")
-    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            yield pa.array([pieces(t) for t in texts.to_pylist()], pa.binary())
-
     raw: dict[str, list[bytes]] = {}
-    for r in drawn.select("l", "h", cut("t").alias("p")).orderBy("l", "h", "p").collect():
-        raw.setdefault(r.l, []).append(bytes(r.p))
+    for r in drawn.select("l", "h", "t").distinct().orderBy("l", "h", "t").collect():
+        raw.setdefault(r.l, []).append(shape(r.t))
     order = sorted(raw, key=lambda n: (-counts[n], n))
-    return [(n, b" ".join(raw[n])[-DICT_BYTES:] or b" " * 8) for n in order]
+    return [(n, b" ".join(raw[n]) or b" " * 8) for n in order]
 
 
 def with_language(df: DataFrame, samples: list[tuple[str, bytes]], text_col: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 #: Rows in one Arrow batch: with whole documents in them, batches stay a few megabytes.
 ARROW_ROWS = 512
 
+#: Rows of a table that is broadcast, of some 40 bytes at most.
+BROADCAST_ROWS = 200_000
+
 #: White space as the corpus contracts define it: space and \x09-\x0D, nothing else.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
@@ -69,11 +73,53 @@ def row_key(*cols: str) -> list[Column]:
     return [F.xxhash64(*own).alias("_k1"), F.xxhash64(*own[::-1], F.lit("#"), own[0]).alias("_k2")]
 
 
+def lookup_side(df: DataFrame) -> DataFrame:
+    """``df``, a written table of a few numbers a row, marked for broadcast if it has few rows; beyond, joins with it are shuffled."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def keep_one(keyed: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """Of ``keyed``, with row keys _k1 and _k2, one row of each group, without the keys.
+
+    ``found`` has the id, _k1, _k2 and root, its group, of every row. The row with
+    the smallest id stays, null ids last, then the smallest key; of rows equal in key the
+    one whose columns (but maps) hash to the smallest number. Text moves only where rows
+    to leave out, or kept ones that occur again, are too many to broadcast.
+    """
+    keys = stage_table(found.groupBy("_k1", "_k2").agg(F.first("root").alias("root"), F.first(id_col).alias("_i"), F.count(F.lit(1)).alias("_n")), "keys")
+    first = keys.groupBy("root").agg(F.min(F.struct(F.col("_i").isNull().alias("last"), "_i", "_k1", "_k2")).alias("m"))
+    kept = first.select(F.col("m._k1").alias("_k1"), F.col("m._k2").alias("_k2"), F.lit(True).alias("_kept"))
+    judged = stage_table(keys.join(kept, ["_k1", "_k2"], "left").where("_kept IS NULL OR _n > 1").select("_k1", "_k2", F.col("_kept").isNotNull().alias("_again")), "set-apart")
+    cols = [F.col(f"`{c}`") for c in keyed.columns if c not in ("_k1", "_k2")]
+    once = keyed.join(lookup_side(judged), ["_k1", "_k2"], "left_anti").select(*cols)
+    again = judged.where("_again")
+    if again.isEmpty():
+        return once
+    plain = [F.col(f"`{f.name}`") for f in keyed.schema.fields if not f.dataType.simpleString().count("map<")]
+    rows = keyed.join(lookup_side(again.select("_k1", "_k2")), ["_k1", "_k2"]).withColumn("_h", F.xxhash64(*plain))
+    least = rows.groupBy("_k1", "_k2").agg(F.min("_h").alias("_h"))
+    return once.unionByName(rows.join(least, ["_k1", "_k2", "_h"]).dropDuplicates(["_k1", "_k2"]).select(*cols))
+
+
 def crc_fold(id_col: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(folds)
 
 
+_HELD: dict = {}
+
+
+def held(key, make: Callable):
+    """``make()``, made once in a Python worker and kept for its next tasks.
+
+    Workers go from one operator to the next, so what was kept under another key goes.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 class TwoAges:
     """A bounded memo: when the young part is full it becomes the old one.
 

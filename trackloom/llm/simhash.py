@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from trackloom.llm.common import row_key, small_batches, stage_table
+from trackloom.llm.common import keep_one, row_key, small_batches, stage_table
 
 SEED = 42
 THRESHOLD = 2
@@ -211,7 +211,4 @@ def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str
     Columns of ``df`` must not begin with _k.
     """
     keyed = df.select("*", *row_key(id_col, text_col))
-    found = near_duplicates(keyed, id_col, text_col, words, threshold, ("_k1", "_k2"))
-    first = found.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("_k1").alias("k1"), F.col("_k2").alias("k2"))).alias("m"))
-    kept = stage_table(first.select(F.col("m.k1").alias("_k1"), F.col("m.k2").alias("_k2")), "kept")
-    return keyed.join(kept, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).drop("_k1", "_k2")
+    return keep_one(keyed, near_duplicates(keyed, id_col, text_col, words, threshold, ("_k1", "_k2")), id_col)

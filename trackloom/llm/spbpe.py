@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from trackloom.llm.common import TwoAges, small_batches
+from trackloom.llm.common import TwoAges, held, small_batches
 
 #: Fixed value: the character that stands for a space inside pieces.
 MARK = "▁"
@@ -241,10 +240,8 @@ class PrefixTable:
         return sum([e[0] for e in got]), ",".join([e[1] for e in got]), decoded[1:] if decoded.startswith(" ") else decoded
 
 
-@lru_cache(maxsize=2)
 def table(path: str) -> PrefixTable:
-    """One per Python worker: workers are used again from task to task."""
-    return PrefixTable(path)
+    return held(("table", path), lambda: PrefixTable(path))
 
 
 def with_ids(df: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:

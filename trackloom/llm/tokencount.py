@@ -17,7 +17,6 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from trackloom.llm.common import TwoAges, small_batches
+from trackloom.llm.common import TwoAges, held, small_batches
 
 #: Fixed value: the byte-level pre-tokenizer's pattern.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -142,10 +141,8 @@ class PairMerger:
         return total + self.count_plain(text[at:])
 
 
-@lru_cache(maxsize=2)
 def merger(path: str) -> PairMerger:
-    """One per Python worker: workers are used again from task to task."""
-    return PairMerger(path)
+    return held(("merger", path), lambda: PairMerger(path))
 
 
 def with_token_count(df: DataFrame, path: str, text_col: str = "text", out: str = "n_tokens") -> DataFrame:

@@ -3,9 +3,11 @@
 The patterns are the windows of ten consecutive words of the benchmark's items
 (an item of fewer words, but not none, is one window). Patterns of one length m
 share a table: the shift of a block of two words says how far the search may
-move on from a place that ends with this block, m - 1 for blocks of no pattern;
-blocks with shift 0 lead to a bucket, keyed by a hash of the suffix and the first
-word, whose patterns are compared with the text directly. Most words are skipped.
+move on from a place that ends with this block, m - 1 for blocks of no pattern
+(blocks are hashed to ``SHIFTS`` bytes, the least shift of a byte counts); blocks
+with shift 0 lead to a bucket, keyed by a hash of the suffix and the first word,
+whose patterns are compared with the text directly. Most words are skipped.
+Patterns are places in the words of the items, so they take little memory.
 
 Words are runs of digits, letters a-z after lower-casing A-Z, and all characters
 from U+0080 on. Every word inside an occurrence is hit.
@@ -15,13 +17,17 @@ from U+0080 on. Every word inside an occurrence is hit.
 * Repeated rows each get their result; extra columns stay; an output column of a
   name that exists replaces it.
 
-The benchmark's size is summed first. It is searched in blocks of at most
-``BLOCK_CHARS`` characters, one pass over the documents for each, so what is
-broadcast at a time is bounded whatever the benchmark's size.
+Items are cut into pieces of ``PIECE`` words that overlap by a window less a word,
+so they may be of any length; documents may, too, and are searched whole. The
+benchmark's size is summed first. It is searched in blocks of about ``BLOCK_CHARS``
+characters, one pass over the documents for each, so what is broadcast at a time
+is bounded whatever the benchmark's size. A Python worker makes the tables of a
+block once.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -30,11 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from trackloom.llm.common import row_key, small_batches, stage_table
+from trackloom.llm.common import held, row_key, small_batches, stage_table
 
 WINDOW = 10
-#: Characters of benchmark text that are searched for in one pass.
-BLOCK_CHARS = 4_000_000
+#: Characters of benchmark text that are searched for in one pass, and words of a piece of an item.
+BLOCK_CHARS, PIECE = 2_000_000, 5_000
+#: Bytes of a shift table, a power of two.
+SHIFTS = 1 << 22
 #: UTF-8 bytes: A-Z lower-cased, other ASCII than digits and letters a space.
 FOLD = bytes((b | 32) if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -45,45 +53,38 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().translate(FOLD).split() if text else []
 
 
-def suffix_key(last: bytes, first: bytes) -> int:
-    """Which bucket a window belongs to, by its last and first word."""
+def pair_key(last: bytes, first: bytes) -> int:
     return zlib.crc32(first, zlib.crc32(last))
 
 
 class WuManber:
-    """Search for patterns of one length."""
-
-    def __init__(self, patterns: dict[tuple[bytes, ...], set[str]], m: int):
-        self.m, self.block = m, min(2, m)
-        self.far = m - self.block + 1
-        self.shift: dict = {}
-        self.bucket: dict[int, list[tuple[list[bytes], set[str]]]] = {}
-        for p, items in patterns.items():
+    """Search for patterns of one length: those that begin at some places of a list of words, each with the number of its item."""
+
+    def __init__(self, words: list[bytes], starts: list[tuple[int, int]], m: int):
+        self.words, self.m = words, m
+        self.block = min(2, m)
+        self.shift = bytearray([min(m - self.block + 1, 255)]) * SHIFTS
+        self.bucket: dict[int, tuple[tuple[int, int], ...]] = {}
+        for at, item in starts:
             for end in range(self.block, m + 1):
-                key = p[end - 2 : end] if self.block == 2 else p[0]
-                self.shift[key] = min(self.shift.get(key, self.far), m - end)
-            self.bucket.setdefault(suffix_key(p[-1], p[0]), []).append((list(p), items))
-
-    def search(self, words: list[bytes]) -> Iterator[tuple[int, set[str]]]:
-        """(first word, items) of each occurrence, in order."""
-        m, n, far, bucket, shift = self.m, len(words), self.far, self.bucket, self.shift.get
+                key = pair_key(words[at + end - 1], words[at + end - self.block]) & SHIFTS - 1
+                self.shift[key] = min(self.shift[key], m - end)
+            key = pair_key(words[at + m - 1], words[at])
+            self.bucket[key] = (*self.bucket.get(key, ()), (at, item))
+
+    def search(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
+        """(first word, item) of each occurrence, in order of places."""
+        m, n, own, bucket, shift, back, mask, crc = self.m, len(words), self.words, self.bucket, self.shift, self.block - 1, SHIFTS - 1, zlib.crc32
         i = m - 1
-        if self.block == 1:
-            for i, w in enumerate(words):
-                if shift(w) == 0:
-                    for p, items in bucket.get(suffix_key(w, w), ()):
-                        if p[0] == w:
-                            yield i, items
-            return
         while i < n:
-            s = shift((words[i - 1], words[i]), far)
+            s = shift[crc(words[i - back], crc(words[i])) & mask]
             if s:
                 i += s
                 continue
             at = i - m + 1
-            for p, items in bucket.get(suffix_key(words[i], words[at]), ()):
-                if words[at : i + 1] == p:
-                    yield at, items
+            for start, item in bucket.get(crc(words[at], crc(words[i])), ()):
+                if words[at : i + 1] == own[start : start + m]:
+                    yield at, item
             i += 1
 
 
@@ -91,39 +92,55 @@ class Benchmark:
     """The windows of some items, ready for search."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
-        by_size: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
-        for name, text in items:
-            w = words_of(text)
+        self.names = [n for n, _ in items]
+        words: list[bytes] = []
+        known: dict[bytes, bytes] = {}  # one object for each word
+        by_size: dict[int, list[tuple[int, int]]] = {}
+        for k, (_, text) in enumerate(items):
+            w = [known.setdefault(x, x) for x in words_of(text)]
             m = min(window, len(w))
-            for k in range(len(w) - m + 1 if m else 0):
-                own = by_size.setdefault(m, {}).setdefault(tuple(w[k : k + m]), set())
-                if name is not None:
-                    own.add(name)
-        self.tables = [WuManber(p, m) for m, p in sorted(by_size.items())]
+            if m:
+                by_size.setdefault(m, []).extend((len(words) + i, k) for i in range(len(w) - m + 1))
+            words += w
+        self.tables = [WuManber(words, starts, m) for m, starts in sorted(by_size.items())]
 
     def find(self, text: str | None) -> tuple[int, list[dict], list[str]]:
         """Number of words, merged spans of hit words, and the items with occurring windows."""
         words = words_of(text)
         spans, items = [], set()
         for t in self.tables:
-            for at, own in t.search(words):
+            for at, item in t.search(words):
                 spans.append((at, at + t.m))
-                items |= own
+                items.add(self.names[item])
         merged: list[list[int]] = []
         for a, b in sorted(spans):
             if merged and a <= merged[-1][1]:
                 merged[-1][1] = max(b, merged[-1][1])
             else:
                 merged.append([a, b])
-        return len(words), [{"start": a, "end": b} for a, b in merged], sorted(items)
+        return len(words), [{"start": a, "end": b} for a, b in merged], sorted(items - {None})
+
+
+def pieces(text: str | None, window: int, size: int = PIECE) -> list[str]:
+    """A text, or if it has more than ``size`` words stretches of so many that hold every window."""
+    words = words_of(text)
+    if len(words) <= size:
+        return [text or ""]
+    return [b" ".join(words[k : k + size]).decode() for k in range(0, len(words) - window + 1, size - window + 1)]
 
 
-def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[str | None, str | None]]]:
-    """The items, a bounded block at a time; at least one block, which may be empty."""
+def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[str | None, str | None]]]:
+    """The pieces of the items, each once, a bounded block at a time; at least one block, which may be empty."""
+
+    @arrow_udf("array<string>")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([pieces(t, window, max(PIECE, 2 * window)) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    small_batches(benchmark.sparkSession)
     own = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null")
-    total, longest = own.agg(F.coalesce(F.sum(F.length("t")), F.lit(0)), F.coalesce(F.max(F.length("t")), F.lit(0))).first()
-    if longest > 4 * block_chars:
-        raise ValueError(f"a benchmark item of {longest} characters; items must be under {4 * block_chars}")
+    own = stage_table(own.select("i", F.explode(cut("t")).alias("t")).distinct(), "benchmark")
+    total = own.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     if total <= block_chars:
         yield [(r.i, r.t) for r in own.collect()]
         return
@@ -135,11 +152,12 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_cha
 def _found(df: DataFrame, text_col: str, items: list, window: int, out: str) -> DataFrame:
     small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast((items, window))
+    name = uuid.uuid4().hex
     kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.string()))])
 
     @arrow_udf(SHAPE)
     def searched(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = Benchmark(*sent.value)
+        own = held(name, lambda: Benchmark(*sent.value))
         for texts in batches:
             got = [own.find(t) for t in texts.to_pylist()]
             yield pa.array([{"n_words": n, "spans": s, "items": i} for n, s, i in got], kind)
@@ -151,7 +169,7 @@ def find_benchmark(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """``df`` with n_words, n_hit, spans (merged, in words, end exclusive) and items (sorted ids)."""
     names = ["n_words", "n_hit", "spans", "items"]
     keep = [c for c in df.columns if c not in names]
-    blocks = benchmark_blocks(benchmark, item_id, item_text, block_chars)
+    blocks = benchmark_blocks(benchmark, item_id, item_text, window, block_chars)
     first, second = next(blocks), next(blocks, None)
     hit = F.aggregate("_f.spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
     if second is None:

@@ -1,20 +1,30 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
-Inputs are words and characters: each word is the embedding of the word itself,
-the mean embedding of its leading and trailing character sequences, and two
-numbers from training counts (how much oftener toxic documents have the word, and
-the strongest of its character sequences). Words unseen in training are known by
-their characters alone. Two gated recurrent networks read a window of ``SPAN``
-words in either direction, attention weighs their states into one vector, and a
-linear layer gives the window's logit. A document's windows overlap by half and
-cover its whole text; its logit is the largest of its windows'.
+Inputs are words and characters. A word is the embedding of the word itself and how
+much oftener toxic training documents have it, if it is in the vocabulary (the
+most frequent words), beside what its characters say: each character, with two on
+either side, gives a state (the sum of an embedding for each of the five places,
+through tanh), and attention of ``HEADS`` heads weighs the states of a word's
+characters into as many vectors. So words unseen in training, misspelt ones among
+them, are known by their characters. Two gated recurrent networks read a window of
+``SPAN`` words in either direction, attention weighs their states into one vector,
+and a linear layer gives the window's logit. A document's windows overlap by half
+and cover its whole text; its logit is the largest of its windows'.
+
+Words are runs of digits, letters and what isn't ASCII, lower-cased; a sign such as
+* or @ between two of these is part of a word. Longer runs than ``LONGEST`` bytes
+are read in pieces of that length.
 
 Everything is numpy, training too: Adam on windows chosen anew each round, the
 highest-scoring window of every training document (so clean documents contribute
-their hardest windows) and random windows of clean ones. At the end the threshold
-between the classes is placed at score 0.5.
-
-* Null texts, empty texts and texts without a word score 0.
+their hardest windows) and random windows of clean ones. The frequencies a window is
+given in training are those of documents of other folds than its own. Meanwhile some
+words have a letter inside replaced, doubled or left out, and some are hidden from
+the vocabulary, whatever the label. At the end the threshold between the classes is
+placed at score 0.5.
+
+* Null texts, empty texts and texts without a word score 0. Very long texts are
+  read whole, ``CHUNK`` characters of text at a time at least.
 * Labels other than 0 and 1 are left out; of several labels of an id the largest
   counts. Null ids are never learned from. Without labelled rows of both classes
   every text scores 0.
@@ -22,8 +32,8 @@ between the classes is placed at score 0.5.
   name that exists replaces it; empty tables give empty results.
 
 The fit is bounded: ``TOXIC_DOCS`` and ``CLEAN_DOCS`` labelled rows by a hash of
-the id, and of a text over ``CUTS * CUT`` characters that many evenly spaced
-stretches. The model, 3 MB, is broadcast. Scoring is one pass without a shuffle.
+the id, of those of at most ``LONGEST_TEXT`` characters, each learned from whole. The
+model, 1 MB, is broadcast. Scoring is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -36,25 +46,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from trackloom.llm.common import small_batches
+from trackloom.llm.common import held, small_batches
 
-TOXIC_DOCS, CLEAN_DOCS = 700, 1500
-CUTS, CUT = 4, 4000
+TOXIC_DOCS, CLEAN_DOCS, LONGEST_TEXT = 700, 1500, 16_000
 SPAN, STEP = 32, 16
-#: Bytes of the leading and of the trailing character sequences.
-HEADS, TAILS = (3, 4, 5, 6), (3, 4)
-WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 6, 8, 8, 8
-WORDS, GRAMS = 12_000, 24_000
-ROUNDS, PASSES, BATCH, RATE = 3, 4, 256, 0.012
+#: Bytes of a word, and places on either side that a character is seen with.
+LONGEST, SIDE = 24, 2
+WORD_DIM, CHAR_DIM, HEADS, HIDDEN, ATTEND = 6, 24, 2, 8, 8
+WORDS = 12_000
+ROUNDS, PASSES, BATCH, RATE, FOLDS = 5, 4, 256, 0.012, 5
+#: Shares of a batch's words that are misspelt, and that are hidden from the vocabulary.
+MISSPELT, HIDDEN_WORDS = 0.5, 0.3
 #: Bytes of text that are looked at together.
 CHUNK = 1 << 18
 
 IS_WORD = np.zeros(256, bool)
 IS_WORD[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = True
+IS_SIGN = np.zeros(256, bool)
+IS_SIGN[list(b"*@$!#%&+|~^")] = True
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
-
 class Powers:
     """Powers of the hash base and of its inverse, by position; grown as needed."""
 
@@ -80,30 +92,30 @@ def mix(h: np.ndarray, kind: int) -> np.ndarray:
     return h ^ h >> np.uint64(32)
 
 
-def hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words of each text, hashes of all words, hashes of their character sequences by column)."""
-    raw = [t.lower().encode() if t else b"" for t in texts]
-    size = np.array([len(r) + 1 for r in raw], np.int64)
-    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8) if raw else np.zeros(0, np.uint8)
-    inside = IS_WORD[data]
-    turn = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-    if len(inside) and inside[0]:
-        turn = np.concatenate([np.zeros(1, np.int64), turn])
-    start, end = turn[0::2], turn[1::2]
-    owner = np.searchsorted(np.cumsum(size), start, side="right")
-    count = np.bincount(owner, minlength=len(texts))
-    up, down = POWERS.to(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    lead = total[start]
-    words = mix((total[end] - lead) * down[start], 0)
-    grams = np.empty((len(start), len(HEADS) + len(TAILS)), np.uint64)
-    for k, n in enumerate(HEADS):
-        grams[:, k] = mix((total[np.minimum(start + n, end)] - lead) * down[start], n)
-    for k, n in enumerate(TAILS, len(HEADS)):
-        at = np.maximum(end - n, start)
-        grams[:, k] = mix((total[end] - total[at]) * down[at], 16 + n)
-    return count, words, grams
+class Words:
+    """The words of some texts: how many each has, the distinct ones' hashes and bytes, and which one each word is."""
+
+    def __init__(self, texts: list[str | None]):
+        raw = [t.lower().encode() if t else b"" for t in texts]
+        size = np.array([len(r) + 1 for r in raw], np.int64)
+        data = np.frombuffer(b" ".join(raw) + b" ", np.uint8) if raw else np.zeros(0, np.uint8)
+        inside = IS_WORD[data]
+        inside[1:-1] |= IS_SIGN[data[1:-1]] & inside[:-2] & inside[2:]
+        turn = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        if len(inside) and inside[0]:
+            turn = np.concatenate([np.zeros(1, np.int64), turn])
+        start, end = turn[0::2], turn[1::2]
+        parts = -(-(end - start) // LONGEST)
+        nth = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+        start, end = np.repeat(start, parts) + nth * LONGEST, np.repeat(end, parts)
+        end = np.minimum(end, start + LONGEST)
+        self.count = np.bincount(np.searchsorted(np.cumsum(size), start, side="right"), minlength=len(texts))
+        up, down = POWERS.to(len(data) + 1)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
+        self.hash, first, self.which = np.unique(mix((total[end] - total[start]) * down[start], 0), return_index=True, return_inverse=True)
+        at = start[first][:, None] + np.arange(LONGEST)
+        self.bytes = np.where(at < end[first][:, None], data[np.minimum(at, len(data) - 1)], 0).astype(np.uint8) if len(data) else np.zeros((0, LONGEST), np.uint8)
 
 
 class Slots:
@@ -137,30 +149,18 @@ class Slots:
         return np.where(self.check[slot] == h.astype(np.uint32), self.index[slot], 0)
 
 
-class Contrast:
-    """In how many toxic and in how many other documents each key is; documents are added a block at a time."""
+def vocabulary_of(hashes: np.ndarray, docs: np.ndarray, most: int) -> Slots:
+    """The words that most documents have, two at least; docs: the number of documents with each."""
+    order = np.argsort(-docs, kind="stable")
+    return Slots(hashes[order[docs[order] >= 2][:most]])
 
-    def __init__(self):
-        self.keys = np.zeros(0, np.uint64)
-        self.seen = np.zeros((0, 2), np.int64)  # documents, toxic documents
-
-    def add(self, docs: list[np.ndarray], toxic: np.ndarray) -> None:
-        own = [np.unique(d) for d in docs]
-        keys = np.concatenate([self.keys, *own])
-        bad = np.concatenate([self.seen[:, 1], *(np.full(len(k), int(y)) for k, y in zip(own, toxic, strict=True))])
-        n = np.concatenate([self.seen[:, 0], np.ones(len(keys) - len(self.keys), np.int64)])
-        self.keys, at = np.unique(keys, return_inverse=True)
-        self.seen = np.stack([np.bincount(at, weights=n), np.bincount(at, weights=bad)], 1).astype(np.int64)
-
-    def best(self, most: int, n_toxic: int, n_clean: int) -> tuple[Slots, np.ndarray]:
-        """The most telling and most frequent keys, and how much oftener toxic documents have them (log, shrunk; 0 for unknown)."""
-        n, a = self.seen[:, 0], self.seen[:, 1]
-        b = n - a
-        told = (np.log((a + 0.5) / (n_toxic + 1)) - np.log((b + 0.5) / (n_clean + 1))) * n / (n + 6)
-        order = np.argsort(-(np.abs(told) * np.sqrt(n)) - 1e-3 * n, kind="stable")
-        order = order[n[order] >= 2][:most]
-        slots = Slots(self.keys[order])
-        return slots, np.concatenate([np.zeros(1), told[np.searchsorted(self.keys, slots.keys)]]).astype(np.float32)
+
+def telling(seen: np.ndarray, n_toxic: float, n_clean: float) -> np.ndarray:
+    """How much oftener toxic documents have each word (log, shrunk), from the numbers of clean and toxic documents with it; the first word is none."""
+    b, a = seen[:, 0], seen[:, 1]
+    told = (np.log((a + 0.5) / (n_toxic + 1)) - np.log((b + 0.5) / (n_clean + 1))) * (a + b) / (a + b + 6) / 2
+    told[0] = 0
+    return told.astype(np.float32)
 
 
 def blocks(texts: list[str | None], size: int) -> Iterator[tuple[int, int]]:
@@ -196,35 +196,63 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def misspelt(words: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Words (rows of bytes) of four bytes or more with one inside replaced, doubled or left out; shorter ones as they are."""
+    size = (words > 0).sum(axis=1)
+    col = np.arange(LONGEST)
+    at = 1 + (rng.random(len(words)) * np.maximum(size - 2, 1)).astype(np.int64)
+    kind = np.where(size >= 4, rng.integers(0, 4, len(words)), 4)
+    source = col - ((kind == 1)[:, None] & (col > at[:, None])) + ((kind == 2)[:, None] & (col >= at[:, None]))
+    out = np.where(source < LONGEST, np.take_along_axis(words, np.minimum(source, LONGEST - 1), 1), 0).astype(np.uint8)
+    other = np.frombuffer(b"*@$!" + b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    put = np.flatnonzero((kind == 0) | (kind == 3))
+    out[put, at[put]] = np.where(kind[put] == 0, other[rng.integers(0, 4, len(put))], other[rng.integers(0, len(other), len(put))])
+    return out
+
+
 class Network:
     """Weights, the forward pass over many windows, and gradients."""
 
-    def __init__(self, words: Slots, word_told: np.ndarray, grams: Slots, gram_told: np.ndarray, seed: int = 7):
+    def __init__(self, vocabulary: Slots, told: np.ndarray, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.words, self.grams, self.word_told, self.gram_told = words, grams, word_told, gram_told
+        self.vocabulary, self.told = vocabulary, told
         self.shift = 0.0
-        dim = WORD_DIM + CHAR_DIM + 2
+        dim = WORD_DIM + 1 + HEADS * CHAR_DIM
 
         def small(*shape: int, by: float) -> np.ndarray:
             return (rng.standard_normal(shape) * by).astype(np.float32)
 
-        self.p = {"word": small(len(word_told), WORD_DIM, by=0.1), "char": small(len(gram_told), CHAR_DIM, by=0.1)}
+        self.p = {"word": small(len(vocabulary.keys) + 1, WORD_DIM, by=0.1)}
+        self.p |= {f"char{k}": small(256, CHAR_DIM, by=0.3) for k in range(2 * SIDE + 1)}
+        self.p |= {"char_b": np.zeros(CHAR_DIM, np.float32), "char_a": small(CHAR_DIM, HEADS, by=0.5)}
         for way in "fb":
             self.p |= {f"w{way}": small(dim, 3 * HIDDEN, by=0.3), f"u{way}": small(HIDDEN, 3 * HIDDEN, by=0.3), f"c{way}": np.zeros(3 * HIDDEN, np.float32)}
         self.p |= {"wa": small(2 * HIDDEN, ATTEND, by=0.3), "ba": np.zeros(ATTEND, np.float32), "va": small(ATTEND, by=0.3), "wo": small(2 * HIDDEN, by=0.3), "bo": np.zeros(1, np.float32)}
 
-    def inputs(self, words: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Indices of words and of their character sequences, and their two numbers."""
-        w, g = self.words(words), self.grams(grams)
-        told = np.stack([self.word_told[w], self.gram_told[g].max(axis=1)], 1) if len(w) else np.zeros((0, 2), np.float32)
-        return w, g, told * np.float32(0.5)
+    def characters(self, words: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """What the characters of each word (a row of bytes, one at least) say."""
+        p = self.p
+        wide = np.zeros((len(words), LONGEST + 2 * SIDE), np.uint8)
+        wide[:, SIDE:-SIDE] = words
+        real = words > 0
+        codes = [wide[:, k : k + LONGEST][real] for k in range(2 * SIDE + 1)]
+        h = p["char0"][codes[0]] + p["char_b"]
+        for k in range(1, 2 * SIDE + 1):
+            h += p[f"char{k}"][codes[k]]
+        np.tanh(h, out=h)
+        size = real.sum(axis=1)
+        first = np.cumsum(size) - size
+        e = h @ p["char_a"]
+        e = np.exp(e - np.repeat(np.maximum.reduceat(e, first), size, axis=0)) if len(words) else e
+        e /= np.repeat(np.add.reduceat(e, first), size, axis=0) if len(words) else 1
+        out = np.concatenate([np.add.reduceat(h * e[:, k : k + 1], first) for k in range(HEADS)], 1) if len(words) else np.zeros((0, HEADS * CHAR_DIM), np.float32)
+        if keep is not None:
+            keep += [codes, h, e, size, first]
+        return out
 
-    def embed(self, w: np.ndarray, g: np.ndarray, told: np.ndarray) -> np.ndarray:
-        c = self.p["char"]
-        chars = c[g[:, 0]].copy()
-        for k in range(1, g.shape[1]):
-            chars += c[g[:, k]]
-        return np.concatenate([self.p["word"][w], chars / np.float32(g.shape[1]), told], 1)
+    def embed(self, index: np.ndarray, told: np.ndarray, words: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """Inputs of words, given their index in the vocabulary, how telling they are, and their bytes."""
+        return np.concatenate([self.p["word"][index], told[:, None], self.characters(words, keep)], 1)
 
     def run(self, way: str, x: np.ndarray, first: np.ndarray, keep: list | None = None) -> np.ndarray:
         """States (place, window, unit) of one direction; x: input products by place of the stream."""
@@ -274,19 +302,16 @@ class Network:
             out[at : at + block] = self.pooled(h, stream[own + places] < len(x))[0]
         return out
 
-    def gradients(self, w: np.ndarray, g: np.ndarray, told: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean cross entropy over windows; w (window, place), -1 for no word."""
+    def gradients(self, place: np.ndarray, index: np.ndarray, told: np.ndarray, words: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross entropy over windows; place (window, place): a row of the words, -1 for no word."""
         p, b = self.p, len(label)
-        real = (w >= 0).T
-        flat = real.T.reshape(-1)
-        wi, gi = w.reshape(-1)[flat], g.reshape(-1, g.shape[2])[flat]
-        x = self.embed(wi, gi, told.reshape(-1, 2)[flat])
-        stream = np.full(b * SPAN, len(x), np.int64)
-        stream[flat] = np.arange(len(x))
+        spelt: list = []
+        x = self.embed(index, told, words, spelt)
+        stream = np.where(place >= 0, place, len(x)).reshape(-1)
         first = np.arange(b) * SPAN
         kept: dict[str, list] = {"f": [], "b": []}
         h = np.concatenate([self.run(way, self.products(way, x, stream), first, kept[way]) for way in "fb"], 2)
-        logit, e, u, c = self.pooled(h, real)
+        logit, e, u, c = self.pooled(h, (place >= 0).T)
         d = ((sigmoid(logit) - label) / b).astype(np.float32)
         out = {"wo": c.T @ d, "bo": np.array([d.sum()], np.float32)}
         dc = d[:, None] * p["wo"]
@@ -298,7 +323,7 @@ class Network:
         out["ba"] = du.sum(axis=(0, 1))
         out["wa"] = np.einsum("tbi,tbj->ij", h, du, optimize=True)
         dh += du @ p["wa"].T
-        dx = np.zeros((len(x) + 1, x.shape[1]), np.float32)
+        dx = np.zeros_like(x)
         for way, part in (("f", dh[:, :, :HIDDEN]), ("b", dh[:, :, HIDDEN:])):
             u_ = p[f"u{way}"]
             gu = np.zeros_like(u_)
@@ -309,31 +334,43 @@ class Network:
                 dn = back * (1 - z) * (1 - n * n)
                 dz = back * (hp - n) * z * (1 - z)
                 dr = dn * q * r * (1 - r)
-                da = np.concatenate([dz, dr, dn], 1)
+                da_all[:, t] = np.concatenate([dz, dr, dn], 1)
                 dq = np.concatenate([dz, dr, dn * r], 1)
-                da_all[:, t] = da
                 gu += hp.T @ dq
                 back = back * z + dq @ u_.T
-            da_flat = da_all.reshape(-1, 3 * HIDDEN)
             out[f"u{way}"] = gu
-            out[f"c{way}"] = da_flat.sum(axis=0)
-            out[f"w{way}"] = x.T @ da_flat[flat]
-            dx[:-1] += da_flat[flat] @ p[f"w{way}"].T
-        out["word"] = scattered(wi, dx[:-1, :WORD_DIM], len(p["word"]))
-        chars = dx[:-1, WORD_DIM : WORD_DIM + CHAR_DIM] / np.float32(g.shape[2])
-        out["char"] = scattered(gi.T.reshape(-1), np.tile(chars, (g.shape[2], 1)), len(p["char"]))
+            da = scattered(stream, da_all.reshape(-1, 3 * HIDDEN), len(x) + 1)  # by word: the same word has the same products
+            out[f"c{way}"] = da.sum(axis=0)
+            out[f"w{way}"] = x.T @ da[:-1]
+            dx += da[:-1] @ p[f"w{way}"].T
+        out["word"] = scattered(index, dx[:, :WORD_DIM], len(p["word"]))
+        codes, h, e, size, first = spelt
+        dh = np.zeros_like(h)
+        out["char_a"] = np.zeros_like(p["char_a"])
+        for k in range(HEADS):
+            at = WORD_DIM + 1 + k * CHAR_DIM
+            dv = np.repeat(dx[:, at : at + CHAR_DIM], size, axis=0)
+            de = (dv * h).sum(axis=1)
+            ds = e[:, k] * (de - np.repeat(np.add.reduceat(e[:, k] * de, first), size))
+            out["char_a"][:, k] = h.T @ ds
+            dh += dv * e[:, k : k + 1] + ds[:, None] * p["char_a"][:, k]
+        dh *= 1 - h * h
+        out["char_b"] = dh.sum(axis=0)
+        for k, own in enumerate(codes):
+            out[f"char{k}"] = scattered(own, dh, 256)
         return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Score of each whole text; 0 without a word."""
         out = np.zeros(len(texts))
         for at, upto in blocks(texts, CHUNK):
-            count, words, grams = hashed(texts[at:upto])
-            stream, first, owner = windows(count)
-            logit = self.logits(self.embed(*self.inputs(words, grams)), stream, first)
+            own = Words(texts[at:upto])
+            stream, first, owner = windows(own.count)
+            index = self.vocabulary(own.hash)
+            logit = self.logits(self.embed(index, self.told[index], own.bytes), np.append(own.which, len(own.hash))[stream], first)
             best = np.full(upto - at, -np.inf)
             np.maximum.at(best, owner, logit)
-            out[at:upto] = np.where(count > 0, sigmoid(best - self.shift), 0.0)
+            out[at:upto] = np.where(own.count > 0, sigmoid(best - self.shift), 0.0)
         return out
 
 
@@ -345,14 +382,14 @@ def scattered(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
 
 
 def threshold(logit: np.ndarray, toxic: np.ndarray) -> float:
-    """Where to split so that the share of errors, each class weighing the same, is least; the middle of the widest such gap."""
+    """Where to split so that the share of errors, a false alarm counting twice, is least; the middle of the widest such gap."""
     order = np.argsort(logit, kind="stable")
     x, y = logit[order], toxic[order]
     missed = np.concatenate([[0], np.cumsum(y)]) / max(1, y.sum())
     false = ((1 - y).sum() - np.concatenate([[0], np.cumsum(1 - y)])) / max(1, (1 - y).sum())
     edge = np.concatenate([[x[0] - 1], (x[1:] + x[:-1]) / 2, [x[-1] + 1]])
     gap = np.concatenate([[0], x[1:] - x[:-1], [0]])
-    loss = missed + false
+    loss = missed + 2 * false
     best = np.flatnonzero(loss <= loss.min() + 1e-12)
     return float(edge[best[np.argmax(gap[best])]])
 
@@ -363,36 +400,39 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
     if not len(toxic) or toxic.min() == toxic.max():
         return None
     rng = np.random.default_rng(seed)
-    n_toxic = int(toxic.sum())
-    by_word, by_gram = Contrast(), Contrast()
-    cuts = list(blocks(texts, CHUNK))  # bounds the memory that training takes
-    for at, upto in cuts:
-        count, words, grams = hashed(texts[at:upto])
-        edge = np.cumsum(count)[:-1]
-        by_word.add(np.split(words, edge), toxic[at:upto])
-        by_gram.add([g.reshape(-1) for g in np.split(grams, edge)], toxic[at:upto])
-    net = Network(*by_word.best(WORDS, n_toxic, len(texts) - n_toxic), *by_gram.best(GRAMS, n_toxic, len(texts) - n_toxic), seed)
-    del by_word, by_gram
-    # of every block: inputs of its words, and how its windows lie over them
-    laid, place, owner, base = [], [], [], 0
-    for at, upto in cuts:
-        count, words, grams = hashed(texts[at:upto])
-        own = net.inputs(words, grams)
-        stream, first, mine = windows(count)
-        laid.append((own, stream, first))
-        where = stream[first[:, None] + np.arange(SPAN)]
-        place.append(np.where(where < len(words), where + base, -1).astype(np.int32))
-        owner.append(mine + at)
-        base += len(words)
-    place, owner = np.concatenate(place), np.concatenate(owner)
-    if not len(place):
+    laid = [(at, Words(texts[at:upto])) for at, upto in blocks(texts, CHUNK)]  # blocks bound the memory that training takes
+    hashes, first = np.unique(np.concatenate([own.hash for _, own in laid]), return_index=True)
+    if not len(hashes):
         return None
-    # a row more at the end, which -1 leads to: no word
-    w_ext, g_ext, t_ext = (np.concatenate([*(x[0][k] for x in laid), np.full((1, *laid[0][0][k].shape[1:]), v, laid[0][0][k].dtype)]) for k, v in ((0, -1), (1, 0), (2, 0)))
+    words = np.concatenate([own.bytes for _, own in laid])[first]
+    # which documents have which words, and of every block the word at each place of its windows
+    held, place, owner, streams = [], [], [], []
+    for at, own in laid:
+        which = np.searchsorted(hashes, own.hash)[own.which]
+        held.append(np.unique(np.repeat(np.arange(at, at + len(own.count)), own.count) * len(hashes) + which))
+        stream, first, mine = windows(own.count)
+        stream = np.append(which, -1)[stream].astype(np.int32)
+        streams.append((stream, first))
+        place.append(stream[first[:, None] + np.arange(SPAN)])
+        owner.append(mine + at)
+    del laid
+    place, owner, held = np.concatenate(place), np.concatenate(owner), np.concatenate(held)
+    doc, word = held // len(hashes), held % len(hashes)
+    vocabulary = vocabulary_of(hashes, np.bincount(word, minlength=len(hashes)), WORDS)
+    index = vocabulary(hashes)
+    size = len(vocabulary.keys) + 1
+    fold = rng.permutation(len(texts)) % FOLDS
+    seen = np.stack([np.bincount(fold[doc[own]] * size + index[word[own]], minlength=FOLDS * size).reshape(FOLDS, size) for own in (toxic[doc] == 0, toxic[doc] == 1)], 2)
+    docs = np.stack([np.bincount(fold, toxic == y, FOLDS) for y in (0, 1)], 1)
+    told = [telling(seen.sum(axis=0) - seen[f], *(docs.sum(axis=0) - docs[f])[::-1]) for f in range(FOLDS)]
+    net = Network(vocabulary, telling(seen.sum(axis=0), *docs.sum(axis=0)[::-1]), seed)
+    fold = fold[owner]
     clean = np.flatnonzero(toxic[owner] == 0)
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step = 0
-    logit = np.where(place >= 0, t_ext.sum(axis=1)[place], -9).max(axis=1)  # before any training: the strongest word
+    logit = np.empty(len(place), np.float32)
+    for f, own in enumerate(told):  # before any training: the most telling word
+        logit[fold == f] = np.where(place[fold == f] >= 0, own[index][place[fold == f]], -9).max(axis=1)
     for round_ in range(ROUNDS):
         order = np.lexsort((-logit, owner))
         top = order[np.concatenate([[True], owner[order][1:] != owner[order][:-1]])]
@@ -400,11 +440,17 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
         chosen = np.unique(np.concatenate([top, more]))
         for pass_ in range(PASSES):
             order = rng.permutation(chosen)
+            parts = [own[at : at + BATCH] for f in range(FOLDS) for own in (order[fold[order] == f],) for at in range(0, len(own), BATCH)]
             rate = RATE * (1 - (round_ * PASSES + pass_) / (ROUNDS * PASSES)) ** 0.5
-            for at in range(0, len(order), BATCH):
-                pick = order[at : at + BATCH]
-                own = place[pick]
-                grad = net.gradients(w_ext[own], g_ext[own], t_ext[own], toxic[owner[pick]].astype(np.float32))
+            for k in rng.permutation(len(parts)):
+                pick = parts[k]
+                seen, own = np.unique(place[pick], return_inverse=True)
+                own = own.reshape(place[pick].shape) - (seen[0] < 0)
+                seen = seen[seen >= 0]
+                wrong = rng.random(len(seen)) < MISSPELT
+                spelt = np.where(wrong[:, None], misspelt(words[seen], rng), words[seen])
+                known = np.where(wrong | (rng.random(len(seen)) < HIDDEN_WORDS), 0, index[seen])
+                grad = net.gradients(own, known, np.where(known, told[fold[pick[0]]][index[seen]], np.float32(0)), spelt, toxic[owner[pick]].astype(np.float32))
                 step += 1
                 for k, d in grad.items():
                     m, v = moment[k]
@@ -413,36 +459,24 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
                     v *= 0.99
                     v += 0.01 * d * d
                     net.p[k] -= np.float32(rate / (1 - 0.9**step)) * m / (np.sqrt(v / np.float32(1 - 0.99**step)) + np.float32(1e-6))
-        logit = np.concatenate([net.logits(net.embed(*own), stream, first) for own, stream, first in laid])
+        x = net.embed(index, net.told[index], words)
+        logit = np.concatenate([net.logits(x, np.where(stream < 0, len(x), stream), first) for stream, first in streams])
     best = np.full(len(texts), -np.inf)
     np.maximum.at(best, owner, logit)
-    told = np.isfinite(best)
-    net.shift = threshold(best[told], toxic[told])
+    read = np.isfinite(best)
+    net.shift = threshold(best[read], toxic[read])
     return net
 
 
-def cut(text: str) -> str:
-    """Evenly spaced stretches of a long training text."""
-    if len(text) <= CUTS * CUT:
-        return text
-    step = (len(text) - CUT) / (CUTS - 1)
-    return " ".join(text[int(k * step) : int(k * step) + CUT] for k in range(CUTS))
-
-
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Network | None:
     """Train on a bounded sample of the labelled documents for which ``learn``, a condition on the id, holds."""
-    small_batches(docs.sparkSession)
     own = labels.where(learn & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
     ranked = own.withColumn("h", F.xxhash64(F.col(id_col).cast("string"), F.lit("toxicity")))
     drawn = [ranked.where(F.col("y") == y).orderBy("h", id_col).limit(n) for y, n in ((1, TOXIC_DOCS), (0, CLEAN_DOCS))]
     sample = drawn[0].unionByName(drawn[1]).select(F.col(id_col).alias("_i"), "y", "h")  # at most TOXIC_DOCS + CLEAN_DOCS rows
 
-    @arrow_udf("string")
-    def cuts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            yield pa.array([cut(t or "") for t in texts.to_pylist()], pa.string())
-
-    rows = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t")).join(F.broadcast(sample), "_i").select("h", "y", cuts("_t").alias("t")).collect()
+    short = docs.where(F.length(text_col) <= LONGEST_TEXT).select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t"))
+    rows = short.join(F.broadcast(sample), "_i").select("h", "y", F.col("_t").alias("t")).distinct().collect()
     rows.sort(key=lambda r: (r.h, r.t))
     return train([r.t for r in rows], [r.y for r in rows])
 
@@ -456,7 +490,7 @@ def with_toxicity(df: DataFrame, net: Network | None, text_col: str = "text", ou
 
     @arrow_udf("double")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = sent.value
+        own = held("toxicity", lambda: None) or sent.value
         for texts in batches:
             yield pa.array(own.scores(texts.to_pylist()))
 

@@ -191,7 +191,7 @@ def test_gradients():
     texts = [" ".join("".join(rng.choice(list(string.ascii_lowercase[:6]), rng.integers(1, 9))) for _ in range(40)) for _ in range(12)]
     own = toxicity.Words(texts)
     vocabulary = toxicity.vocabulary_of(own.hash, np.bincount(own.which), 50)
-    net = toxicity.Network(vocabulary, rng.standard_normal(len(vocabulary.keys) + 1))
+    net = toxicity.Network(vocabulary, rng.standard_normal(len(vocabulary.keys) + 1), np.zeros((0, toxicity.LONGEST), np.uint8))
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     index = vocabulary(own.hash)
     place = own.which[np.arange(5 * 32).reshape(5, 32)]

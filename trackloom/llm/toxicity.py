@@ -213,9 +213,11 @@ def misspelt(words: np.ndarray, rng: np.random.Generator) -> np.ndarray:
 class Network:
     """Weights, the forward pass over many windows, and gradients."""
 
-    def __init__(self, vocabulary: Slots, told: np.ndarray, seed: int = 7):
+    def __init__(self, vocabulary: Slots, told: np.ndarray, words: np.ndarray, seed: int = 7):
+        """words: the bytes of the vocabulary's words; the first row is none."""
         rng = np.random.default_rng(seed)
-        self.vocabulary, self.told = vocabulary, told
+        self.vocabulary, self.told, self.spelt = vocabulary, told, words
+        self.known: np.ndarray | None = None
         self.shift = 0.0
         dim = WORD_DIM + 1 + HEADS * CHAR_DIM
 
@@ -360,14 +362,31 @@ class Network:
             out[f"char{k}"] = scattered(own, dh, 256)
         return out
 
+    def inputs(self, own: Words) -> np.ndarray:
+        """Inputs of distinct words; those of the vocabulary are made once."""
+        if self.known is None:
+            self.known = self.in_blocks(np.arange(len(self.told)), self.spelt)
+        index = self.vocabulary(own.hash)
+        x = self.known[index]
+        new = np.flatnonzero(index == 0)
+        x[new] = self.in_blocks(index[new], own.bytes[new])
+        return x
+
+    def in_blocks(self, index: np.ndarray, words: np.ndarray, size: int = 2048) -> np.ndarray:
+        """``embed`` a block at a time, which bounds its memory."""
+        parts = [self.embed(index[k : k + size], self.told[index[k : k + size]], words[k : k + size]) for k in range(0, len(index), size)]
+        return np.concatenate(parts) if parts else np.zeros((0, WORD_DIM + 1 + HEADS * CHAR_DIM), np.float32)
+
+    def __getstate__(self):
+        return self.__dict__ | {"known": None}
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Score of each whole text; 0 without a word."""
         out = np.zeros(len(texts))
         for at, upto in blocks(texts, CHUNK):
             own = Words(texts[at:upto])
             stream, first, owner = windows(own.count)
-            index = self.vocabulary(own.hash)
-            logit = self.logits(self.embed(index, self.told[index], own.bytes), np.append(own.which, len(own.hash))[stream], first)
+            logit = self.logits(self.inputs(own), np.append(own.which, len(own.hash))[stream], first)
             best = np.full(upto - at, -np.inf)
             np.maximum.at(best, owner, logit)
             out[at:upto] = np.where(own.count > 0, sigmoid(best - self.shift), 0.0)
@@ -425,7 +444,9 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
     seen = np.stack([np.bincount(fold[doc[own]] * size + index[word[own]], minlength=FOLDS * size).reshape(FOLDS, size) for own in (toxic[doc] == 0, toxic[doc] == 1)], 2)
     docs = np.stack([np.bincount(fold, toxic == y, FOLDS) for y in (0, 1)], 1)
     told = [telling(seen.sum(axis=0) - seen[f], *(docs.sum(axis=0) - docs[f])[::-1]) for f in range(FOLDS)]
-    net = Network(vocabulary, telling(seen.sum(axis=0), *docs.sum(axis=0)[::-1]), seed)
+    spelt = np.full((size, LONGEST), ord(" "), np.uint8) * (np.arange(LONGEST) == 0)  # the first, none, has one character
+    spelt[index[index > 0]] = words[index > 0]
+    net = Network(vocabulary, telling(seen.sum(axis=0), *docs.sum(axis=0)[::-1]), spelt.astype(np.uint8), seed)
     fold = fold[owner]
     clean = np.flatnonzero(toxic[owner] == 0)
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
@@ -459,7 +480,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network | None:
                     v *= 0.99
                     v += 0.01 * d * d
                     net.p[k] -= np.float32(rate / (1 - 0.9**step)) * m / (np.sqrt(v / np.float32(1 - 0.99**step)) + np.float32(1e-6))
-        x = net.embed(index, net.told[index], words)
+        x = net.in_blocks(index, words)
         logit = np.concatenate([net.logits(x, np.where(stream < 0, len(x), stream), first) for stream, first in streams])
     best = np.full(len(texts), -np.inf)
     np.maximum.at(best, owner, logit)

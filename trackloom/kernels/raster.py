@@ -5,13 +5,16 @@ from __future__ import annotations
 import numpy as np
 
 
-def thin(rows: np.ndarray, cols: np.ndarray, rounds: int) -> np.ndarray:
-    """Which of the set pixels remain after so many rounds of Zhang-Suen thinning, or fewer if nothing changes."""
+def thin(rows: np.ndarray, cols: np.ndarray, rounds: int, kept: np.ndarray | None = None) -> np.ndarray:
+    """Which of the set pixels remain after so many rounds of Zhang-Suen thinning, or fewer if nothing changes; ``kept`` ones do."""
     if not len(rows):
         return np.zeros(0, bool)
     r, c = rows - rows.min() + 1, cols - cols.min() + 1
     image = np.zeros((r.max() + 2, c.max() + 2), np.uint8)
     image[r, c] = 1
+    free = image[1:-1, 1:-1] == 1
+    if kept is not None:
+        free[r[kept] - 1, c[kept] - 1] = False
     for _ in range(rounds):
         before = int(image.sum())
         for step in (0, 1):
@@ -22,7 +25,7 @@ def thin(rows: np.ndarray, cols: np.ndarray, rounds: int) -> np.ndarray:
             count = sum(x.astype(np.int8) for x in ring)
             rises = sum(((ring[k] == 0) & (ring[(k + 1) % 8] == 1)).astype(np.int8) for k in range(8))
             odd = ((n & e & s) == 0) & ((e & s & w) == 0) if step == 0 else ((n & e & w) == 0) & ((n & s & w) == 0)
-            gone = (p[1:-1, 1:-1] == 1) & (count >= 2) & (count <= 6) & (rises == 1) & odd
+            gone = free & (p[1:-1, 1:-1] == 1) & (count >= 2) & (count <= 6) & (rises == 1) & odd
             image = image.copy()
             image[1:-1, 1:-1][gone] = 0
         if int(image.sum()) == before:

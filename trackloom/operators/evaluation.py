@@ -6,12 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackloom.functions import geo
-from trackloom.kernels import curves, freespace
+from trackloom.kernels import freespace
 from trackloom.operators import joins
 from trackloom.operators.joins import cell
 
@@ -65,65 +65,124 @@ def spurious_missing(marbles: DataFrame, holes: DataFrame, reach: float) -> Data
     return own.withColumn("f", F.when(s + t > 0, 2 * s * t / (s + t)))
 
 
-def covered(lines: DataFrame, other: DataFrame, reach: float, key: str = "edge_id") -> DataFrame:
-    """Length of each segment (ax, ay, bx, by) and how much of it is within reach of any segment of ``other``.
+def _intervals(pairs: DataFrame, reach: str = "reach") -> DataFrame:
+    """``pairs`` with a and b, the part of the segment a-b, as fractions, within a reach of the segment c-d; the zone is convex, so it is one interval. Null if there is none.
 
-    Segments meet by grid cells; the part of one within reach of another is a single
-    interval, and the intervals of a segment are merged.
+    It is the hull of what lies beside c-d, within its strip, and of what is near c and
+    near d. In steps, so that no generated method grows too long.
+    """
+    some = lambda v: F.nullif(v, F.lit(0.0))
+    dot = lambda p, q, r, t: (F.col(f"{q}x") - F.col(f"{p}x")) * (F.col(f"{t}x") - F.col(f"{r}x")) + (F.col(f"{q}y") - F.col(f"{p}y")) * (F.col(f"{t}y") - F.col(f"{r}y"))
+    cross = lambda p, q, r, t: (F.col(f"{q}y") - F.col(f"{p}y")) * (F.col(f"{t}x") - F.col(f"{r}x")) - (F.col(f"{q}x") - F.col(f"{p}x")) * (F.col(f"{t}y") - F.col(f"{r}y"))
+    eps, size = F.col(reach), F.col("_size")
+    own = pairs.withColumns({"_size": some(F.sqrt(dot("c", "d", "c", "d"))), "_qa": dot("a", "b", "a", "b")})
+    # places of a and b along c-d and beside it
+    own = own.withColumns({"_u0": dot("c", "a", "c", "d") / size, "_u1": dot("c", "b", "c", "d") / size, "_v0": cross("c", "a", "c", "d") / size, "_v1": cross("c", "b", "c", "d") / size})
+    own = own.withColumns({f"_q{n}{p}": f for p in "cd" for n, f in (("b", 2 * dot(p, "a", "a", "b")), ("c", dot(p, "a", p, "a") - eps * eps))})
+    for v, least, most in (("u", F.lit(0.0), size), ("v", -eps, eps)):
+        v0, step = F.col(f"_{v}0"), F.col(f"_{v}1") - F.col(f"_{v}0")
+        one, two = (least - v0) / some(step), (most - v0) / some(step)
+        own = own.withColumns({f"_{v}lo": F.least(one, two), f"_{v}hi": F.greatest(one, two), f"_{v}in": (step != 0) | v0.between(least, most)})
+    own = own.withColumns({"_0lo": F.greatest(F.lit(0.0), "_ulo", "_vlo"), "_0hi": F.least(F.lit(1.0), "_uhi", "_vhi")})  # nulls are passed over
+    for p in "cd":
+        qa, qb, qc = F.col("_qa"), F.col(f"_qb{p}"), F.col(f"_qc{p}")
+        disc = qb * qb - 4 * qa * qc
+        own = own.withColumn(f"_r{p}", F.sqrt(F.when(disc >= 0, disc)))
+        root = F.col(f"_r{p}")
+        own = own.withColumns({f"_{p}lo": F.greatest(F.lit(0.0), (-qb - root) / some(2 * qa)), f"_{p}hi": F.least(F.lit(1.0), (-qb + root) / some(2 * qa)), f"_{p}in": F.when(qa > 0, root.isNotNull()).otherwise(qc <= 0)})
+    own = own.withColumn("_0in", size.isNotNull() & F.col("_uin") & F.col("_vin"))
+    ok = {p: F.col(f"_{p}in") & (F.col(f"_{p}lo") <= F.col(f"_{p}hi")) for p in "0cd"}
+    made = own.select(*pairs.columns, F.least(*[F.when(ok[p], F.col(f"_{p}lo")) for p in "0cd"]).alias("_lo"), F.greatest(*[F.when(ok[p], F.col(f"_{p}hi")) for p in "0cd"]).alias("_hi"))
+    return made.withColumnsRenamed({"_lo": "from", "_hi": "to"})
+
+
+def near_pairs(lines: DataFrame, other: DataFrame, reach: float, key: str = "edge_id") -> DataFrame:
+    """Pairs of a segment (key, ax, ay, bx, by) and one of ``other`` (_o, cx, cy, dx, dy) whose boxes come within ``reach``, once each.
+
+    Both are dealt to cells; a pair meets in the first cell that both are in.
     """
     size = max(reach, 50.0)
-    span = lambda a, b, m: F.sequence(cell(F.least(a, b) - m, size), cell(F.greatest(a, b) + m, size))
-    own = lines.select(key, "ax", "ay", "bx", "by")
-    left = own.withColumn("_cx", F.explode(span("ax", "bx", 0.0))).withColumn("_cy", F.explode(span("ay", "by", 0.0)))
+    low = lambda a, b, m: cell(F.least(a, b) - m, size)
+    high = lambda a, b, m: cell(F.greatest(a, b) + m, size)
+    dealt = lambda df, ax, ay, bx, by, m: df.withColumn("_cx", F.explode(F.sequence(low(ax, bx, m), high(ax, bx, m)))).withColumn("_cy", F.explode(F.sequence(low(ay, by, m), high(ay, by, m))))
+    left = dealt(lines.select(key, "ax", "ay", "bx", "by"), "ax", "ay", "bx", "by", 0.0)
     right = other.select(F.col(key).alias("_o"), F.col("ax").alias("cx"), F.col("ay").alias("cy"), F.col("bx").alias("dx"), F.col("by").alias("dy"))
-    right = right.withColumn("_cx", F.explode(span("cx", "dx", reach))).withColumn("_cy", F.explode(span("cy", "dy", reach)))
-    pairs = left.join(right, ["_cx", "_cy"]).select(key, "ax", "ay", "bx", "by", "_o", "cx", "cy", "dx", "dy").distinct()
-
-    def intervals(batches):
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                got = curves.tube_interval(*(np.array(p, float) for p in ((r[1], r[2]), (r[3], r[4]), (r[6], r[7]), (r[8], r[9]))), reach)
-                if got:
-                    rows.append((r[0], *got))
-            yield pd.DataFrame(rows, columns=[key, "a", "b"])
-
-    kind = lines.schema[key].dataType.simpleString()
-    parts = pairs.mapInPandas(intervals, f"{key} {kind}, a double, b double")
-    w = W.partitionBy(key).orderBy("a", "b")
+    both = left.join(dealt(right, "cx", "cy", "dx", "dy", reach), ["_cx", "_cy"])
+    first = (F.col("_cx") == F.greatest(low("ax", "bx", 0.0), low("cx", "dx", reach))) & (F.col("_cy") == F.greatest(low("ay", "by", 0.0), low("cy", "dy", reach)))
+    return both.where(first).drop("_cx", "_cy")
+
+
+def _inside(lines: DataFrame, pairs: DataFrame, reaches: list[float], key: str) -> DataFrame:
+    """key, reach, length, inside of every segment and reach, from pairs at the largest reach."""
+    every = F.array(*[F.lit(float(r)) for r in reaches])
+    found = _intervals(pairs.withColumn("reach", F.explode(every)))
+    # an exploded array rather than a condition, which would be pushed into the expressions before it
+    parts = found.select(key, "reach", F.explode(F.when(F.col("from") < F.col("to"), F.array(F.struct(F.col("from").alias("a"), F.col("to").alias("b"))))).alias("p")).select(key, "reach", "p.a", "p.b")
+    w = W.partitionBy(key, "reach").orderBy("a", "b")
     seen = F.max("b").over(w.rowsBetween(W.unboundedPreceding, -1))
-    share = parts.select(key, "a", "b", seen.alias("_s")).groupBy(key).agg(F.sum(F.greatest(F.lit(0.0), F.col("b") - F.greatest("a", F.coalesce("_s", "a")))).alias("share"))
+    share = parts.select(key, "reach", "a", "b", seen.alias("_s")).groupBy(key, "reach").agg(F.sum(F.greatest(F.lit(0.0), F.col("b") - F.greatest("a", F.coalesce("_s", "a")))).alias("share"))
     length = F.sqrt((F.col("ax") - F.col("bx")) * (F.col("ax") - F.col("bx")) + (F.col("ay") - F.col("by")) * (F.col("ay") - F.col("by")))
-    return own.join(share, key, "left").select(key, length.alias("length"), (length * F.coalesce("share", F.lit(0.0))).alias("inside"))
+    own = lines.select(key, length.alias("length"), F.explode(every).alias("reach"))
+    return own.join(share, [key, "reach"], "left").select(key, "reach", "length", (F.col("length") * F.coalesce("share", F.lit(0.0))).alias("inside"))
 
 
-def buffer_scores(ground: DataFrame, inferred: DataFrame, reaches: list[float]) -> DataFrame:
-    """completeness, correctness and F for each reach."""
-    from trackloom.operators.aggregates import overlap_scores
+def covered(lines: DataFrame, other: DataFrame, reach: float, key: str = "edge_id") -> DataFrame:
+    """Length of each segment (ax, ay, bx, by) and how much of it is within reach of any segment of ``other``; columns only."""
+    return _inside(lines, near_pairs(lines, other, reach, key), [reach], key).drop("reach")
 
-    out = None
-    for r in reaches:
-        own = overlap_scores(covered(ground, inferred, r), covered(inferred, ground, r)).withColumn("reach", F.lit(float(r)))
-        out = own if out is None else out.unionByName(own)
-    return out
 
+def buffer_scores(ground: DataFrame, inferred: DataFrame, reaches: list[float], key: str = "edge_id") -> DataFrame:
+    """completeness, correctness and F for each reach, from one join of the two maps at the largest."""
+    from trackloom.operators.raster import saved
+
+    pairs = saved(near_pairs(ground, inferred, max(reaches), key))
+    back = pairs.select(F.col("_o").alias(key), *[F.col(a).alias(b) for a, b in zip(("cx", "cy", "dx", "dy", "ax", "ay", "bx", "by"), ("ax", "ay", "bx", "by", "cx", "cy", "dx", "dy"), strict=True)])
+    total = lambda lines, own, out: _inside(lines, own, reaches, key).groupBy("reach").agg((F.sum("inside") / F.sum("length")).alias(out))
+    c, r = F.col("completeness"), F.col("correctness")
+    both = total(ground, pairs, "completeness").join(total(inferred, back, "correctness"), "reach")
+    return both.select("completeness", "correctness", F.when(c + r > 0, 2 * c * r / (c + r)).alias("f"), "reach")
 
-def path_distances(paths: DataFrame, edges: DataFrame, kind: str = "frechet", most: int = 1600) -> DataFrame:
-    """For each path (tile, path, points) the least whole-number distance at which its tile's graph has a curve like it: tile, path, distance; null beyond ``most``.
+
+def path_distances(paths: DataFrame, edges: DataFrame, kind: str = "frechet", most: int = 1600, size: float = 600.0) -> DataFrame:
+    """For each path (path, points) the least whole-number distance at which the graph has a curve like it: path, distance; null beyond ``most``.
 
     kind "frechet": a walk in the graph whose Frechet distance from the path is
     within it; "hausdorff": every point of the path is near some edge.
-    """
-
-    def each(key, own: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
-        segs = graph[["source", "target", "ax", "ay", "bx", "by"]].to_numpy(float)
-        rows = []
-        for r in own.itertuples(index=False):
-            xy = np.array([(p["x"], p["y"]) for p in r.points], float).reshape(-1, 2)
-            rows.append((key[0], r.path, freespace.least_distance(xy, segs, kind, most)))
-        return pd.DataFrame({"tile": [r[0] for r in rows], "path": [r[1] for r in rows], "distance": pd.array([r[2] for r in rows], "Int64")})
 
-    return paths.select("tile", "path", "points").groupBy("tile").cogroup(joins.fresh(edges.select("tile", "source", "target", "ax", "ay", "bx", "by")).groupBy("tile")).applyInPandas(each, "tile long, path long, distance long")
+    Paths are dealt to tasks by the tile of their first point, each tile with all edges that come
+    within the reach of any of its paths, so tiles have no say in the result. The reach
+    is short at first, and longer for the paths that are still open.
+    """
+    from trackloom.operators.raster import saved
+
+    def each(limit: int):
+        def run(key, own: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
+            segs = graph[["source", "target", "ax", "ay", "bx", "by"]].to_numpy(float)
+            found = [freespace.least_distance(np.array([(p["x"], p["y"]) for p in line], float).reshape(-1, 2), segs, kind, limit) for line in own["points"]]
+            return pd.DataFrame({"path": own["path"].to_numpy(), "distance": pd.array(found, "Int64")})
+
+        return run
+
+    p = lambda c, f: f(F.transform("points", lambda q: q[c]))
+    tile = lambda x, y: F.floor(x / size) * 1_000_000 + F.floor(y / size)
+    open_ = paths.where(F.size("points") > 0).select("path", "points", tile(F.get("points", F.lit(0))["x"], F.get("points", F.lit(0))["y"]).alias("tile"))
+    boxed = open_.select("path", "tile", *[p(c, f).alias(f"{c}{n}") for c in "xy" for n, f in ((0, F.array_min), (1, F.array_max))])
+    lines = edges.select("source", "target", "ax", "ay", "bx", "by")
+    out, limits = None, [n for n in (50, 200) if n < most] + [most]
+    for limit in limits:
+        step = float(max(limit, 200))
+        span = lambda a, b, m: F.sequence(cell(a - m, step), cell(b + m, step))  # noqa: B023, E731
+        cells = boxed.withColumn("_cx", F.explode(span(F.col("x0"), F.col("x1"), limit))).withColumn("_cy", F.explode(span(F.col("y0"), F.col("y1"), limit))).select("tile", "_cx", "_cy").distinct()
+        dealt = lines.withColumn("_cx", F.explode(span(F.least("ax", "bx"), F.greatest("ax", "bx"), 0.0))).withColumn("_cy", F.explode(span(F.least("ay", "by"), F.greatest("ay", "by"), 0.0)))
+        graph = dealt.join(cells, ["_cx", "_cy"]).select("tile", "source", "target", "ax", "ay", "bx", "by").distinct()
+        done = saved(open_.groupBy("tile").cogroup(joins.fresh(graph).groupBy("tile")).applyInPandas(each(limit), "path long, distance long"))
+        found = done if limit == most else done.where("distance IS NOT NULL")
+        out = found if out is None else out.unionByName(found)
+        rest = done.where("distance IS NULL").select("path")
+        if limit == most or rest.isEmpty():
+            break
+        open_, boxed = (saved(df.join(rest, "path", "left_semi")) for df in (open_, boxed))
+    return out
 
 
 def classes(edges: DataFrame, detected: DataFrame, false_ids: DataFrame, least_length: float, least_crossings: int) -> DataFrame:

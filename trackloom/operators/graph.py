@@ -113,20 +113,38 @@ def adjacency(edges: pd.DataFrame, weight: str = "length") -> dict[int, list[tup
     return out
 
 
-def paths_by_tile(pairs: DataFrame, edges: DataFrame, weight: str = "length") -> DataFrame:
-    """Shortest path of each origin and destination (tile, a, b) in its tile's edges (tile, source, target, weight): tile, a, b, dist, nodes; null if unreachable."""
+def _ground(df: DataFrame, edges: DataFrame, limit: float, size: float, x: str, y: str) -> tuple[DataFrame, DataFrame]:
+    """``df`` with the tile of its place, and the edges with a place within ``limit`` of each such tile's bounds: whatever is within ``limit`` by road of a place in the tile."""
+    tile = lambda i, j: i * 1_000_000 + j
+    own = df.withColumn("tile", tile(F.floor(F.col(x) / size), F.floor(F.col(y) / size)))
+    span = lambda c: F.sequence(F.floor((F.col(c) - limit) / size), F.floor((F.col(c) + limit) / size))
+    dealt = edges.withColumn("_i", F.explode(span("ax"))).withColumn("_j", F.explode(span("ay"))).withColumn("tile", tile(F.col("_i"), F.col("_j"))).drop("_i", "_j")
+    return own, dealt.join(own.select("tile").distinct(), "tile", "left_semi")
+
+
+def paths_within(pairs: DataFrame, edges: DataFrame, limit: float, size: float = 2000.0, weight: str = "length") -> DataFrame:
+    """Shortest path of each origin and destination (a, b) in edges (source, target, weight, and the place ax, ay of the source): a, b, dist, nodes; null if there is none of at most ``limit``.
+
+    Weights must be at least the straight distance between an edge's ends. Origins are
+    dealt to tiles, each with all edges within the limit of it, so tiles have no say
+    in the result.
+    """
 
     def each(key, od: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        heads = adjacency(own, weight)
+        heads = adjacency(own.sort_values(["source", "target", weight]), weight)
         rows = []
         for a, group in od.groupby("a", sort=True):
-            dist, prev = dijkstra(heads, int(a))
+            dist, prev = dijkstra(heads, int(a), limit)
             for b in group["b"]:
                 d = dist.get(int(b))
-                rows.append((key[0], int(a), int(b), d, route(prev, int(a), int(b)) if d is not None else None))
-        return pd.DataFrame(rows, columns=["tile", "a", "b", "dist", "nodes"])
+                rows.append((int(a), int(b), d, route(prev, int(a), int(b)) if d is not None else None))
+        return pd.DataFrame(rows, columns=["a", "b", "dist", "nodes"])
 
-    return pairs.select("tile", "a", "b").groupBy("tile").cogroup(joins.fresh(edges.select("tile", "source", "target", weight)).groupBy("tile")).applyInPandas(each, "tile long, a long, b long, dist double, nodes array<long>")
+    place = edges.groupBy(F.col("source").alias("a")).agg(F.min("ax").alias("_x"), F.min("ay").alias("_y"))
+    own, dealt = _ground(pairs.select("a", "b").distinct().join(place, "a"), edges.select("source", "target", weight, "ax", "ay"), limit, size, "_x", "_y")
+    found = own.select("tile", "a", "b").groupBy("tile").cogroup(joins.fresh(dealt.select("tile", "source", "target", weight)).groupBy("tile")).applyInPandas(each, "a long, b long, dist double, nodes array<long>")
+    # origins without an edge reach nothing
+    return pairs.select("a", "b").distinct().join(found, ["a", "b"], "left")
 
 
 def chains(edges: DataFrame) -> DataFrame:
@@ -202,20 +220,27 @@ def spread_points(heads: dict[int, list[tuple[int, float]]], place: dict[int, tu
     return np.array(out, float).reshape(-1, 2)
 
 
-def walk_points(edges: DataFrame, starts: DataFrame, radius: float, every: float) -> DataFrame:
-    """Points of graph walks, a walk for each start (tile, node_id) in its tile's edges (tile, source, target, length, x1, y1, x2, y2)."""
+def walk_points(edges: DataFrame, starts: DataFrame, radius: float, every: float, size: float = 2000.0) -> DataFrame:
+    """Points of graph walks, a walk for each start (node_id), in edges (source, target, length, x1, y1, x2, y2): start, n, x, y.
+
+    Starts are dealt to tiles, each with all edges within the radius of it.
+    """
 
     def each(key, seeds: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["source", "target", "length"])
         heads, place = adjacency(own), {}
-        for s, t, a, b, c, d in own[["source", "target", "x1", "y1", "x2", "y2"]].itertuples(index=False):
+        for s, t, a, b, c, d in own[["source", "target", "ax", "ay", "x2", "y2"]].itertuples(index=False):
             place[s], place[t] = (a, b), (c, d)
         parts = []
         for s in sorted(seeds["node_id"]):
             p = spread_points(heads, place, int(s), radius, every) if s in place else np.zeros((0, 2))
-            parts.append(pd.DataFrame({"tile": key[0], "start": int(s), "n": np.arange(len(p)), "x": p[:, 0], "y": p[:, 1]}))
-        return pd.concat(parts) if parts else pd.DataFrame(columns=["tile", "start", "n", "x", "y"])
+            parts.append(pd.DataFrame({"start": int(s), "n": np.arange(len(p)), "x": p[:, 0], "y": p[:, 1]}))
+        return pd.concat(parts) if parts else pd.DataFrame(columns=["start", "n", "x", "y"])
 
-    return starts.groupBy("tile").cogroup(joins.fresh(edges).groupBy("tile")).applyInPandas(each, "tile long, start long, n long, x double, y double")
+    own = edges.select("source", "target", "length", F.col("x1").alias("ax"), F.col("y1").alias("ay"), "x2", "y2")
+    place = own.groupBy(F.col("source").alias("node_id")).agg(F.min("ax").alias("_x"), F.min("ay").alias("_y"))
+    seeds, dealt = _ground(starts.select("node_id").distinct().join(place, "node_id"), own, radius, size, "_x", "_y")
+    return seeds.select("tile", "node_id").groupBy("tile").cogroup(joins.fresh(dealt).groupBy("tile")).applyInPandas(each, "start long, n long, x double, y double")
 
 
 def pruned(traces: DataFrame, most_rmse: float, least_traces: int = 2) -> DataFrame:

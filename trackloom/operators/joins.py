@@ -64,26 +64,51 @@ def within_distance(left: DataFrame, right: DataFrame, reach: float, left_xy: tu
     return a.join(b, ["_cx", "_cy"]).withColumn("dist", d).where(F.col("dist") <= reach).drop("_cx", "_cy")
 
 
-def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_xy: tuple[str, str], right_xy: tuple[str, str], reach: float, k: int = 1, rounds: int = 24) -> DataFrame:
-    """The ``k`` nearest rows of ``right`` for each row of ``left``: left_id, right_id, dist, rank; of ties the smaller id.
-
-    The reach doubles each round for the points that have fewer than ``k`` within
-    it yet; the loop ends when none is left, or when the reach covers everything.
+def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_xy: tuple[str, str], right_xy: tuple[str, str], reach: float, k: int = 1) -> DataFrame:
+    """The ``k`` nearest rows of ``right`` for each row of ``left``, all of them if there are fewer: left_id, right_id, dist, rank; of ties the smaller id.
+
+    Rows of ``right`` are counted by cells of size ``reach``, then of twice the size
+    and so on. Each row of ``left`` takes part in one join, at the first level at which the
+    nine cells around it hold ``k``, so a join meets about as many rows as are asked for,
+    however far they are. It ends at cells as large as both sides together. Rows
+    without a place have no neighbours.
     """
     from trackloom.operators.raster import saved
 
-    left = left.select(left_id, *left_xy)
-    right = right.select(right_id, *right_xy)
-    out, open_ = None, left
-    for at in range(rounds):
-        pairs = within_distance(open_, right, reach * 2**at, left_xy, right_xy)
-        ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy(left_id).orderBy("dist", right_id))).where(F.col("rank") <= k)
-        full = ranked.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(left_id))).where(F.col("_n") == k).select(left_id, right_id, "dist", "rank")
-        full = saved(full)
-        out = full if out is None else out.unionByName(full)
-        open_ = open_.join(full.select(left_id).distinct(), left_id, "left_anti")
-        if open_.isEmpty():
-            break
+    (lx, ly), (rx, ry) = left_xy, right_xy
+    placed = lambda df, x, y: df.where(~F.isnan(x) & ~F.isnan(y) & F.col(x).isNotNull() & F.col(y).isNotNull())
+    open_ = placed(left.select(left_id, lx, ly), lx, ly)
+    right = placed(right.select(right_id, rx, ry), rx, ry)
+    counts = saved(right.groupBy(cell(F.col(rx), reach).alias("_cx"), cell(F.col(ry), reach).alias("_cy")).agg(F.count(F.lit(1)).alias("_n")))
+    n = counts.agg(F.sum("_n")).first()[0] or 0
+    ends = lambda df, x, y: df.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
+    boxes = [e for e in (ends(open_, lx, ly), ends(right, rx, ry)) if e[0] is not None]
+    out = None
+    if n and len(boxes) == 2:
+        extent = max(max(e[1 + c] for e in boxes) - min(e[c] for e in boxes) for c in (0, 2))
+        size = reach
+        while True:
+            last = size >= extent
+            if last:
+                ready, rest = open_, None
+            else:
+                near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+                asked = open_.select(cell(F.col(lx), size).alias("_ox"), cell(F.col(ly), size).alias("_oy")).distinct().withColumn("_d", near)
+                held = asked.withColumns({"_cx": F.col("_ox") + F.col("_d.i"), "_cy": F.col("_oy") + F.col("_d.j")}).join(counts, ["_cx", "_cy"])
+                full = held.groupBy("_ox", "_oy").agg(F.sum("_n").alias("_m")).where(F.col("_m") >= min(k, n))
+                told = saved(open_.withColumns({"_ox": cell(F.col(lx), size), "_oy": cell(F.col(ly), size)}).join(full, ["_ox", "_oy"], "left"))
+                ready, rest = (told.where(F.col("_m").isNotNull() if r else F.col("_m").isNull()).select(left_id, lx, ly) for r in (True, False))
+            # k rows lie in the nine cells, so within 2 * sqrt(2) cells; the side with few rows is dealt to several cells
+            pairs = within_distance(right, ready, 2.8285 * size, right_xy, left_xy)
+            ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy(left_id).orderBy("dist", right_id))).where(F.col("rank") <= k)
+            ranked = ranked.select(left_id, right_id, "dist", "rank")
+            out = ranked if out is None else out.unionByName(ranked)
+            if last or rest.isEmpty():
+                break
+            open_, size = rest, size * 2
+            counts = counts.groupBy(F.floor(F.col("_cx") / 2).alias("_cx"), F.floor(F.col("_cy") / 2).alias("_cy")).agg(F.sum("_n").alias("_n"))
+    if out is None:
+        return left.select(left_id).join(right.select(right_id), F.lit(False)).withColumns({"dist": F.lit(0.0), "rank": F.lit(0)})
     return out
 
 
@@ -110,3 +135,29 @@ def onward(edges: DataFrame, source: str = "source", target: str = "target", edg
 def fresh(df: DataFrame) -> DataFrame:
     """The same rows under new column identities, for the second side of a cogroup over relatives."""
     return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
+def first_come(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The ids chosen when rows are taken in an order and each that is chosen takes away others: id.
+
+    rows: id; blocks: a, b, once each, where a comes before b in the order and takes it away
+    if chosen. A row is settled once those before it that could take it away are, so rounds
+    are as many as the longest chain of such rows, few if the order is random.
+    """
+    from trackloom.operators.raster import saved
+
+    blocks = saved(blocks.select("a", "b"))
+    # rows that nothing can take away are chosen at once
+    open_ = saved(blocks.select(F.col("b").alias("id")).distinct())
+    chosen = saved(rows.select("id").join(open_, "id", "left_anti"))
+    fresh_, out = chosen, chosen
+    while not open_.isEmpty():
+        gone = saved(blocks.join(fresh_.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct())
+        open_ = saved(open_.join(gone, "id", "left_anti"))
+        # what is left of the pairs: both open
+        blocks = saved(blocks.join(open_.withColumnRenamed("id", "b"), "b", "left_semi").join(open_.withColumnRenamed("id", "a"), "a", "left_semi"))
+        waiting = blocks.select(F.col("b").alias("id")).distinct()
+        fresh_ = saved(open_.join(waiting, "id", "left_anti"))
+        open_ = saved(waiting)
+        out = out.unionByName(fresh_)
+    return out

@@ -145,31 +145,30 @@ def tiled(pixels: DataFrame, size: int, halo: int) -> DataFrame:
     return out.withColumn("own", (F.floor(F.col("row") / size) == F.col("tile_r")) & (F.floor(F.col("col") / size) == F.col("tile_c")))
 
 
-def thinned(pixels: DataFrame, size: int = 512, rounds: int = 8, most_passes: int = 200) -> DataFrame:
+def thinned(pixels: DataFrame, size: int = 512, rounds: int = 8) -> DataFrame:
     """Zhang-Suen thinning to convergence: set pixels (row, col) that remain.
 
     A tile with a halo of 2 * ``rounds`` is thinned ``rounds`` rounds on its own,
     which is exact for its inner pixels since each sub-iteration looks one pixel
-    further; tiles then exchange their halos. It ends when no tile changes.
+    further; tiles then exchange their halos. It ends when no tile changes, which it
+    must, since pixels only go. Pixels with a true ``kept``, if there is such a column,
+    stay.
     """
-    spark = pixels.sparkSession
-    state = pixels.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col")).distinct()
+    fixed = F.col("kept") if "kept" in pixels.columns else F.lit(False)
+    state = pixels.select(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), fixed.alias("kept")).groupBy("row", "col").agg(F.max("kept").alias("kept"))
 
     def each(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf["own"].to_numpy()
-        r, c = pdf["row"].to_numpy(), pdf["col"].to_numpy()
-        left = kernels.thin(r, c, rounds)
-        kept = own & left
-        return pd.DataFrame({"row": r[kept], "col": c[kept], "changed": np.full(int(kept.sum()), bool((own & ~left).any()))})
-
-    for _ in range(most_passes):
-        done = tiled(state, size, 2 * rounds).groupBy("tile_r", "tile_c").applyInPandas(each, "row long, col long, changed boolean")
-        done = saved(done)
-        state = done.select("row", "col")
+        r, c, kept = pdf["row"].to_numpy(), pdf["col"].to_numpy(), pdf["kept"].to_numpy(bool)
+        left = kernels.thin(r, c, rounds, kept)
+        stay = own & left
+        return pd.DataFrame({"row": r[stay], "col": c[stay], "kept": kept[stay], "changed": np.full(int(stay.sum()), bool((own & ~left).any()))})
+
+    while True:
+        done = saved(tiled(state, size, 2 * rounds).groupBy("tile_r", "tile_c").applyInPandas(each, "row long, col long, kept boolean, changed boolean"))
+        state = done.select("row", "col", "kept")
         if done.where("changed").isEmpty():
-            break
-    del spark
-    return state
+            return state.select("row", "col")
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -183,23 +182,40 @@ def saved(df: DataFrame) -> DataFrame:
     return df.cache()
 
 
-def skeleton(dens: DataFrame, levels: list[int], radius: int = 1, compat: bool = False) -> DataFrame:
-    """Skeleton over a ladder of thresholds, highest first: each level's mask is joined to the skeleton so far and thinned.
+#: Thresholds of the ladder.
+LADDER = (256, 128, 64, 32, 16, 15, 14, 13, 12, 11, 10, 9, 8, 7, 6, 5, 4, 3, 2, 1)
+
+
+def skeleton(dens: DataFrame, levels: tuple[int, ...] = LADDER, radius: int = 1, compat: bool = False) -> DataFrame:
+    """Skeleton over a ladder of thresholds, highest first: each level's mask is laid over the skeleton so far, whose pixels stay, and the others are thinned.
 
     Returns row, col and level, the highest threshold at which a pixel belonged.
-    ``compat`` takes every set pixel at every level.
+    ``compat`` takes every set pixel at every level. A level whose mask is that of the
+    level before and that adds no pixel ends the run of such masks, since the next
+    would do the same again.
     """
-    from functools import reduce
-
     grey = saved(closed(dens, radius))
-    state = None
+    sizes = grey.agg(*[F.count_if(F.lit(True) if compat else F.col("v") >= t).alias(f"n{t}") for t in levels]).first()
+    state, at, before, still = None, None, None, False
     for t in sorted(levels, reverse=True):
+        n = sizes[f"n{t}"]
+        if n == before and still:
+            continue
         mask = grey.select("row", "col") if compat else grey.where(F.col("v") >= t).select("row", "col")
-        both = mask if state is None else reduce(DataFrame.unionByName, (mask, state.select("row", "col"))).distinct()
-        thin = thinned(both)
-        old = thin.withColumn("level", F.lit(None).cast("int")) if state is None else thin.join(state, ["row", "col"], "left")
-        state = saved(old.select("row", "col", F.coalesce("level", F.lit(t)).alias("level")))
-    return without_pools(state)
+        if state is None:
+            thin = without_pools(thinned(mask))
+            state = saved(thin.withColumn("level", F.lit(t)))
+            at = state.count()
+        else:
+            both = mask.join(state.select("row", "col", F.lit(True).alias("kept")), ["row", "col"], "full").na.fill(False, ["kept"])
+            thin = thinned(both).join(state, ["row", "col"], "left")
+            fresh = thin.where("level IS NULL").select("row", "col")
+            solid = neighbour_counts(thin.select("row", "col")).where("n > 6").select("row", "col")
+            state = saved(state.unionByName(fresh.join(solid, ["row", "col"], "left_anti").withColumn("level", F.lit(t))))
+            now = state.count()
+            still, at = now == at, now
+        before = n
+    return state
 
 
 def crossings(pixels: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -94,16 +95,18 @@ def thinned(lat: np.ndarray, lon: np.ndarray, least: float, most: float) -> np.n
     if not len(lat):
         return np.zeros(0, np.int64)
     la, lo = np.radians(lat), np.radians(lon)
-    kept = [0]
+    cosine, la, lo = np.cos(la).tolist(), la.tolist(), lo.tolist()
+    sin, asin, sqrt = math.sin, math.asin, math.sqrt
+    kept, j = [0], 0
     for i in range(1, len(la)):
-        j = kept[-1]
-        a = np.sin((la[i] - la[j]) / 2) ** 2 + np.cos(la[i]) * np.cos(la[j]) * np.sin((lo[i] - lo[j]) / 2) ** 2
-        d = 2 * geo.EARTH_RADIUS * np.arctan2(np.sqrt(a), np.sqrt(1 - a))
+        a = sin((la[i] - la[j]) / 2) ** 2 + cosine[i] * cosine[j] * sin((lo[i] - lo[j]) / 2) ** 2
+        d = 2 * geo.EARTH_RADIUS * asin(min(1.0, sqrt(a)))
         if d < least:
             continue
         if d > most:
             break
         kept.append(i)
+        j = i
     return np.array(kept, np.int64)
 
 

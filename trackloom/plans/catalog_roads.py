@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from trackloom.functions import codec, geo
 from trackloom.operators import cluster, graph, raster, sets, trajectories
 from trackloom.operators.raster import Grid
-from trackloom.plans.catalog_basic import segments
+from trackloom.plans.catalog_basic import TRACES, segments
 from trackloom.plans.catalog_scalar import BEARING
-from trackloom.plans.catalog_trips import metric_edges, metric_trips
+from trackloom.plans.catalog_trips import LONGEST, METRIC, MOTION, metric_edges, metric_trips, random_pairs
 from trackloom.plans.registry import query
-from trackloom.plans.relations import BOX, edges, gps, k, links, matches, micro, nodes, points2d, sql, thousandths, u
+from trackloom.plans.relations import BOX, edges, gps, k, links, matches, micro, nodes, points2d, recursive, roots, sql, thousandths, u
 from trackloom.session import shared_path
 from trackloom.sources import database as database_io
 from trackloom.sources import maps, png, points, shapefile
@@ -30,17 +30,15 @@ def steps(spark, d):
     return own.withColumns({"r2": F.lead("r1").over(w), "c2": F.lead("c1").over(w)}).where("r2 IS NOT NULL").select("route_id", "r1", "c1", "r2", "c2")
 
 
-def short_steps(spark, d):
-    """Steps of a few pixels only, which leave a picture with holes to thin."""
-    return steps(spark, d).where("abs(r2 - r1) + abs(c2 - c1) <= 9")
-
-
 def dense(spark, d):
     return raster.density(raster.drawn(steps(spark, d), "route_id"))
 
 
-def sparse(spark, d):
-    return raster.density(raster.drawn(short_steps(spark, d), "route_id"))
+def busy(spark, d):
+    """Pixels of more than the usual density: above the value that half of the set pixels don't exceed. They have holes to thin around."""
+    own = dense(spark, d)
+    half = own.agg(F.percentile("v", 0.5).alias("half"))
+    return own.crossJoin(F.broadcast(half)).where("v > half").select("row", "col", "v")  # one row
 
 
 @query("RA-01", "SELECT CAST(trunc(" + "12742000e0 * atan2(sqrt(pow(cos(radians(35.7384e0)) * sin(radians(51.3822e0 - 51.32e0) / 2), 2)), sqrt(1 - pow(cos(radians(35.7384e0)) * sin(radians(51.3822e0 - 51.32e0) / 2), 2)))" + ") AS BIGINT) AS width, CAST(trunc(12742000e0 * radians(35.7384e0 - 35.7185e0) / 2) AS BIGINT) AS height")
@@ -88,13 +86,14 @@ def padded(spark, d):
 
 @query("RA-08")
 def ladder(spark, d):
-    return raster.skeleton(sparse(spark, d), [32, 64])
+    """The whole ladder on the density of all trips."""
+    return raster.skeleton(dense(spark, d))
 
 
 @query("RA-09")
 def thinning(spark, d):
     """Held against an untiled pixel loop in the tests."""
-    return raster.thinned(sparse(spark, d), 64, 4)
+    return raster.thinned(busy(spark, d), 64, 16)
 
 
 @query("RA-10", sql("gps", ", " + DENSE + ", nb AS (SELECT a.\"row\", a.col, count(*) AS n FROM de a JOIN de b ON abs(a.\"row\" - b.\"row\") <= 1 AND abs(a.col - b.col) <= 1 AND (a.\"row\" <> b.\"row\" OR a.col <> b.col) GROUP BY 1, 2)\nSELECT \"row\", col FROM de WHERE NOT EXISTS (SELECT 1 FROM nb WHERE nb.\"row\" = de.\"row\" AND nb.col = de.col AND n > 6)"))
@@ -112,7 +111,7 @@ def crossings(spark, d):
     return raster.crossings(thinning(spark, d))
 
 
-@query("RA-13")
+@query("RA-13", recursive(sql("nodes", ", n AS (SELECT \"row\", col, \"row\" * 2147483648 + col AS id FROM nodes WHERE weight > 30), pr AS (SELECT x.id AS a, y.id AS b FROM n x JOIN n y ON y.\"row\" BETWEEN x.\"row\" AND x.\"row\" + 1 AND y.col BETWEEN x.col - 1 AND x.col + 1 AND y.id > x.id), " + roots("pr", 250) + f"\nSELECT blob, {k('avg(\"row\")')} AS \"row\", {k('avg(col)')} AS col, count(*) AS n FROM (SELECT n.*, coalesce(root, id) AS blob FROM n LEFT JOIN roots ON node = id) GROUP BY blob")))
 def blobs(spark, d):
     own = nodes(spark, d).where("weight > 30").select("row", "col")
     return raster.centres(raster.blobs(own)).select("blob", thousandths(F.col("row")).alias("row"), thousandths(F.col("col")).alias("col"), "n")
@@ -133,8 +132,8 @@ def vectorised(spark, d):
 @query("RA-16")
 def buffered_skeleton(spark, d):
     """Thick lines, closed with two discs, thinned."""
-    thick = raster.dilated(sparse(spark, d), 2)
-    return raster.thinned(raster.closed(raster.closed(thick, 2), 4), 64, 4)
+    thick = raster.dilated(busy(spark, d), 2)
+    return raster.thinned(raster.closed(raster.closed(thick, 2), 4), 64, 16)
 
 
 @query("RA-17")
@@ -157,23 +156,25 @@ def without_isolated(spark, d):
     return graph.without_isolated(nodes(spark, d), links(spark, d)).select("node_id")
 
 
-@query("GR-02")
+@query("GR-02", recursive(sql("nodes links", ", nb AS (SELECT source AS n, target AS o FROM links UNION SELECT target, source FROM links), bu AS (SELECT node_id, lon * 83044.98918812413e0 AS x, lat * 111070.34306591158e0 AS y FROM nodes WHERE node_id IN (SELECT n FROM nb GROUP BY n HAVING count(*) > 2)), pr AS (SELECT p.node_id AS a, q.node_id AS b FROM bu p JOIN bu q ON q.x BETWEEN p.x - 50 AND p.x + 50 AND q.y BETWEEN p.y - 50 AND p.y + 50 AND p.node_id < q.node_id WHERE sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) <= 50), " + roots("pr", 60) + f"\nSELECT intersection, {k('avg(x)')} AS x, {k('avg(y)')} AS y, count(*) AS n FROM (SELECT bu.*, coalesce(root, node_id) AS intersection FROM bu LEFT JOIN roots ON node = node_id) GROUP BY intersection")))
 def intersections(spark, d):
     own = nodes(spark, d).select("node_id", (F.col("lon") * 83044.98918812413).alias("x"), (F.col("lat") * 111070.34306591158).alias("y"))
     return graph.intersections(own, links(spark, d), 50.0).select("intersection", thousandths(F.col("x")).alias("x"), thousandths(F.col("y")).alias("y"), "n")
 
 
-@query("GR-03")
+@query("GR-03", sql("gps", TRACES.rstrip() + ", r AS (SELECT segment_id, trace_id FROM t GROUP BY ALL HAVING sqrt(avg(dist * dist)) <= 3000)\nSELECT segment_id, count(DISTINCT trace_id) AS weight FROM r GROUP BY segment_id HAVING count(DISTINCT trace_id) >= 2"))
 def pruned(spark, d):
     from trackloom.plans.catalog_basic import traces
 
     return graph.pruned(traces(spark, d), 3000.0, 2)
 
 
-@query("GR-04")
+CHAINS = recursive(sql("links", ", ow AS (SELECT DISTINCT least(source, target) AS s, greatest(source, target) AS t FROM links WHERE source < target), oe AS (SELECT s * 2147483648 + t AS e, s, t FROM ow), en AS (SELECT e, s AS n FROM oe UNION ALL SELECT e, t FROM oe), dg AS (SELECT n, count(*) AS deg FROM en GROUP BY n), pr AS (SELECT min(e) AS a, max(e) AS b FROM en WHERE n IN (SELECT n FROM dg WHERE deg = 2) GROUP BY n HAVING min(e) < max(e)), " + roots("pr", 60) + ", nm AS (SELECT oe.*, coalesce(root, e) AS chain FROM oe LEFT JOIN roots ON node = e), tp AS (SELECT chain, unnest([s, t]) AS n FROM nm), ed AS (SELECT chain, min(n) AS source, max(n) AS target FROM tp WHERE n IN (SELECT n FROM dg WHERE deg <> 2) GROUP BY chain)\n"))
+
+
+@query("GR-04", CHAINS + "SELECT chain, count(*) AS edges, any_value(source) AS source, any_value(target) AS target FROM nm LEFT JOIN ed USING (chain) GROUP BY chain")
 def coalesced(spark, d):
-    sparse_links = sets.share_of(links(spark, d).where("source < target"), "edge_id", 0.55, 9)
-    return graph.chains(sparse_links)
+    return graph.chains(links(spark, d).where("source < target"))
 
 
 @query("GR-05")
@@ -197,29 +198,37 @@ def refined(spark, d):
 
 @query("GR-06")
 def dijkstra(spark, d):
-    e = metric_edges(spark, d).withColumn("tile", F.floor(F.col("ax") / 1500) * 100_000 + F.floor(F.col("ay") / 1500))
-    ends = e.groupBy("tile").agg(F.min("source").alias("a"), F.max("source").alias("b"))
-    got = graph.paths_by_tile(ends, e.select("tile", "source", "target", "length"))
-    return got.select("tile", "a", "b", thousandths(F.col("dist")).alias("dist"), F.size("nodes").cast("long").alias("nodes"))
+    """Shortest paths, whatever their course, of random pairs. Held against Dijkstra on the whole graph in the tests."""
+    e = metric_edges(spark, d)
+    got = graph.paths_within(random_pairs(e), e, LONGEST)
+    return got.select("a", "b", thousandths(F.col("dist")).alias("dist"), F.size("nodes").cast("long").alias("nodes"))
 
 
-@query("GR-07", sql("edges", f", w AS (SELECT source AS a, target AS b, min(length) AS dist FROM edges GROUP BY ALL), s AS (SELECT DISTINCT source AS a, source AS b, 0e0 AS dist FROM edges), w2 AS (SELECT p.a, q.b, min(p.dist + q.dist) AS dist FROM w p JOIN w q ON p.b = q.a GROUP BY ALL)\nSELECT a AS source_id, b AS node, {k('min(dist)')} AS dist FROM (SELECT * FROM s UNION ALL SELECT * FROM w UNION ALL SELECT * FROM w2) WHERE dist <= 210 GROUP BY a, b"))
+WAYS = "".join(f", w{n} AS (SELECT p.a, q.b, min(p.dist + q.dist) AS dist FROM w{n - 1} p JOIN w1 q ON p.b = q.a GROUP BY ALL HAVING min(p.dist + q.dist) <= 500)" for n in range(2, 7))
+
+
+@query("GR-07", sql("edges", ", w1 AS (SELECT source AS a, target AS b, min(length) AS dist FROM edges GROUP BY ALL), w0 AS (SELECT DISTINCT source AS a, source AS b, 0e0 AS dist FROM edges)" + WAYS + f"\nSELECT a AS source_id, b AS node, {k('min(dist)')} AS dist FROM (" + " UNION ALL ".join(f"SELECT * FROM w{n}" for n in range(7)) + ") WHERE dist <= 500 GROUP BY a, b"))
 def bounded(spark, d):
-    """A limit of two links here, so that SQL can list the ways."""
+    """All ways of up to 500 m; links are 89 m or more, so five or fewer each."""
     e = edges(spark, d)
     starts = e.select(F.col("source").alias("node_id")).distinct()
-    return graph.shortest_within(e, starts, 210.0).select("source_id", "node", thousandths(F.col("dist")).alias("dist"))
+    return graph.shortest_within(e, starts, 500.0).select("source_id", "node", thousandths(F.col("dist")).alias("dist"))
 
 
-@query("GR-08")
+@query("GR-08", CHAINS + "SELECT source, target, count(*) AS edges FROM (SELECT nm.chain, ed.source, ed.target FROM nm LEFT JOIN ed USING (chain)) GROUP BY chain, source, target")
 def contracted(spark, d):
-    sparse_links = sets.share_of(links(spark, d).where("source < target"), "edge_id", 0.6, 2)
-    return graph.chains(sparse_links).select("source", "target", "edges")
+    return graph.chains(links(spark, d).where("source < target")).select("source", "target", "edges")
+
 
+WALKS = ", k1 AS (SELECT [source, target] AS n FROM links WHERE source <> target)" + "".join(f", k{i} AS (SELECT list_append(n, target) AS n FROM k{i - 1} JOIN links ON source = n[-1] WHERE NOT list_contains(n, target))" for i in range(2, 5))
 
-@query("GR-09", sql("links", "SELECT a.source || '-' || a.target || '-' || b.target || '-' || c.target AS path FROM links a JOIN links b ON b.source = a.target JOIN links c ON c.source = b.target WHERE a.source <> a.target AND b.target NOT IN (a.source, a.target) AND c.target NOT IN (a.source, a.target, b.target)"))
+
+@query("GR-09", sql("links", WALKS + "\n" + " UNION ALL ".join(f"SELECT array_to_string(n, '-') AS path FROM k{i}" for i in range(1, 5))))
 def walks(spark, d):
-    return graph.walks(links(spark, d), 3).select(F.concat_ws("-", F.transform("nodes", lambda x: x.cast("string"))).alias("path"))
+    """Paths of one to four links; the operator takes any number."""
+    from functools import reduce
+
+    return reduce(lambda a, b: a.unionByName(b), [graph.walks(links(spark, d), n) for n in range(1, 5)]).select(F.concat_ws("-", F.transform("nodes", lambda x: x.cast("string"))).alias("path"))
 
 
 @query("GR-10", sql("edges", f"SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b, {k('length')} AS length FROM edges"))
@@ -238,7 +247,7 @@ def incident(spark, d):
     return got.select("node_id", thousandths(F.col("nearest")).alias("nearest"), thousandths(F.col("angle")).alias("angle"), "edges")
 
 
-@query("GR-12")
+@query("GR-12", recursive(sql("crossings", ", fi AS (SELECT edge_id, min(id) AS a FROM crossings GROUP BY edge_id), pr AS (SELECT DISTINCT a, id AS b FROM crossings JOIN fi USING (edge_id) WHERE a <> id), " + roots("pr", 25) + "\nSELECT stick, coalesce(root, stick) AS \"group\" FROM (SELECT DISTINCT id AS stick FROM crossings) LEFT JOIN roots ON node = stick")))
 def sticks(spark, d):
     own = matches(spark, d).select(F.col("id").alias("stick"), F.explode("opath").alias("edge"))
     return graph.shared_edge_groups(own, "stick", "edge")
@@ -252,10 +261,10 @@ def node_numbers(spark, d):
 
 @query("GR-14")
 def walk_points(spark, d):
-    e = metric_edges(spark, d).withColumn("tile", F.floor(F.col("ax") / 1500) * 100_000 + F.floor(F.col("ay") / 1500))
-    starts = e.groupBy("tile").agg(F.min_by("source", sets.scattered("source", 7)).alias("node_id"))
-    own = e.select("tile", "source", "target", "length", F.col("ax").alias("x1"), F.col("ay").alias("y1"), F.col("bx").alias("x2"), F.col("by").alias("y2"))
-    return graph.walk_points(own, starts, 1000.0, 100.0).select("tile", "start", "n", thousandths(F.col("x")).alias("x"), thousandths(F.col("y")).alias("y"))
+    e = metric_edges(spark, d)
+    starts = sets.sample(e.select(F.col("source").alias("node_id")).distinct(), "node_id", 20, 7)
+    own = e.select("source", "target", "length", F.col("ax").alias("x1"), F.col("ay").alias("y1"), F.col("bx").alias("x2"), F.col("by").alias("y2"))
+    return graph.walk_points(own, starts, 1000.0, 100.0).select("start", "n", thousandths(F.col("x")).alias("x"), thousandths(F.col("y")).alias("y"))
 
 
 def tiled_trips(spark, d, size):
@@ -276,24 +285,26 @@ def edge_splits(spark, d):
     return cluster.built_map(tiled_trips(spark, d, 2), 300.0).groupBy("tile").agg(F.count(F.lit(1)).alias("edges"))
 
 
-def tiled_points(spark, d):
+def bearing_points(spark, d):
     own = gps(spark, d).select(F.col("event_id").alias("id"), (F.col("lon") * 83044.98918812413).alias("x"), (F.col("lat") * 111070.34306591158).alias("y"), (F.col("value") % 360).alias("bearing"))
     return own.withColumn("tile", F.floor(F.col("x") / 700) * 100_000 + F.floor(F.col("y") / 400)).select("tile", "id", "x", "y", "bearing")
 
 
 @query("CL-01")
 def thinned_points(spark, d):
-    return cluster.thinned(tiled_points(spark, d), 60.0, 40.0).select("tile", "id")
+    """Held against the sequential choice over all points in the tests."""
+    return cluster.thinned(bearing_points(spark, d), 60.0, 40.0).select("id")
 
 
 @query("CL-02", sql("gps", ", p AS (SELECT event_id AS id, lon * 83044.98918812413e0 AS x, lat * 111070.34306591158e0 AS y, value % 360 AS b FROM gps), t AS (SELECT *, CAST(floor(x / 700) * 100000 + floor(y / 400) AS BIGINT) AS tile, CAST(floor(x / 10) AS BIGINT) AS cx FROM p)\nSELECT a.tile, a.id AS a, c.id AS b FROM t a JOIN t c ON a.cx BETWEEN c.cx - 1 AND c.cx + 1 AND a.id < c.id WHERE sqrt((a.x - c.x) * (a.x - c.x) + (a.y - c.y) * (a.y - c.y)) < 10 AND abs(a.b - c.b) < 20"))
 def adjacency(spark, d):
-    return cluster.adjacent(tiled_points(spark, d), 10.0, 20.0)
+    return cluster.adjacent(bearing_points(spark, d), 10.0, 20.0)
 
 
 @query("CL-03")
 def road_tree(spark, d):
-    own = cluster.thinned(tiled_points(spark, d), 60.0, 40.0)
+    """A tree for each tile; the points are thinned without tiles."""
+    own = cluster.thinned(bearing_points(spark, d), 60.0, 40.0)
     got = cluster.road_tree(own, cluster.adjacent(own, 150.0, 60.0), 150.0, 90.0)
     return got.select("tile", *[F.round(c, 2).alias(c) for c in ("ax", "ay", "bx", "by")])
 
@@ -303,31 +314,37 @@ def turns(spark, d):
     return cluster.turns(own)
 
 
-@query("CL-04")
+TURNS = MOTION + ", tl AS (SELECT *, lag(azimuth) OVER w AS hin, lag(kmh) OVER w AS v0, azimuth AS hout FROM mo WINDOW w AS (PARTITION BY route_id ORDER BY us, event_id)), tn AS (SELECT * FROM tl WHERE (abs(hout - hin) BETWEEN 12.5e0 AND 167.5e0 OR abs(hout - hin) BETWEEN 192.5e0 AND 347.5e0) AND (kmh <= v0 OR kmh BETWEEN 1 AND 40))"
+
+
+@query("CL-04", sql("gps", TURNS + "\nSELECT event_id, CAST(hin AS BIGINT) AS heading_in, CAST(hout AS BIGINT) AS heading_out FROM tn"))
 def turn_points(spark, d):
     return turns(spark, d).select("event_id", F.col("heading_in").cast("long").alias("heading_in"), F.col("heading_out").cast("long").alias("heading_out"))
 
 
-@query("CL-05")
+@query("CL-05", sql("edges", f", {METRIC}, l AS (SELECT *, sqrt((ax - bx) * (ax - bx) + (ay - b_y) * (ay - b_y)) AS far FROM m)\nSELECT edge_id, CASE WHEN far <= 10 THEN 2 ELSE CAST(pow(2, ceil(round(log2(far / 10), 9))) AS BIGINT) + 1 END AS n FROM l"))
 def halved_links(spark, d):
     return cluster.subdivided(metric_edges(spark, d), "edge_id", 10.0).groupBy("edge_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("CL-06")
+@query("CL-06", sql("gps", TURNS + ", ty AS (SELECT *, (hout - hin + 540) % 360 - 180 AS angle FROM tn)\nSELECT event_id, CASE WHEN abs(angle) >= 150 THEN 'u-turn' WHEN abs(angle) >= 60 THEN CASE WHEN angle > 0 THEN 'right' ELSE 'left' END WHEN angle > 0 THEN 'slight right' ELSE 'slight left' END AS kind, round(abs(angle) / 180 / (1 + coalesce(kmh, 0) / 40), 6) AS weight FROM ty"))
 def turn_types(spark, d):
     return cluster.turn_types(turns(spark, d)).select("event_id", "kind", F.round("weight", 6).alias("weight"))
 
 
 @query("CL-07")
 def turn_clusters(spark, d):
+    """Held against the sequential choice over all turns in the tests."""
     own = turns(spark, d).select(F.col("event_id").alias("id"), (F.col("lon") * 83044.98918812413).alias("x"), (F.col("lat") * 111070.34306591158).alias("y"), "heading_in", "heading_out", (20 + F.col("value") % 60).alias("extent"))
-    own = own.withColumn("tile", F.floor(F.col("x") / 700) * 100_000 + F.floor(F.col("y") / 400))
-    return cluster.intersections(own).select("tile", "cluster", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "n")
+    return cluster.intersections(own).select("cluster", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "n")
+
+
+NEAR60 = ", p AS (SELECT event_id AS id, lon * 83044.98918812413e0 AS x, lat * 111070.34306591158e0 AS y, value % 360 AS bearing FROM gps), nr AS (SELECT p.id AS a, q.id AS b FROM p JOIN p q ON q.x BETWEEN p.x - 30 AND p.x + 30 AND q.y BETWEEN p.y - 30 AND p.y + 30 WHERE sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) <= 30 AND least(abs(p.bearing - q.bearing) % 360, 360 - abs(p.bearing - q.bearing) % 360) <= 20), co AS (SELECT a AS id FROM nr GROUP BY a HAVING count(*) >= 3), pr AS (SELECT a, b FROM nr WHERE a < b AND a IN (SELECT id FROM co) AND b IN (SELECT id FROM co)), "
 
 
-@query("CL-08")
+@query("CL-08", recursive(sql("gps", NEAR60 + roots("pr", 120) + ", nu AS (SELECT id, coalesce(root, id) AS cluster FROM co LEFT JOIN roots ON node = id), fo AS (SELECT b AS id, min(cluster) AS cluster FROM nr JOIN nu ON nu.id = nr.a GROUP BY b)\nSELECT p.id, coalesce(cluster, -1) AS cluster FROM p LEFT JOIN fo USING (id)")))
 def density_clusters(spark, d):
-    return cluster.density_clusters(tiled_points(spark, d), 60.0, 40.0, 3)
+    return cluster.density_clusters(bearing_points(spark, d), 30.0, 20.0, 3)
 
 
 @query("CV-01")

@@ -275,11 +275,11 @@ def snap(spark, d):
     return summary(geometry.snapped(road_lines(spark, d), "edge_id", 1.0, 120.0), "edge_id")
 
 
-@query("GE-11")
+@query("GE-11", sql("edges", ", e AS (SELECT edge_id, 0 AS \"end\", lon1 * 83044.98918812413e0 AS x, lat1 * 111070.34306591158e0 AS y FROM edges UNION ALL SELECT edge_id, 1, lon2 * 83044.98918812413e0, lat2 * 111070.34306591158e0 FROM edges), t AS (SELECT e.* FROM e JOIN links l USING (edge_id) WHERE l.source < l.target), b AS (SELECT *, CAST(floor(x) AS BIGINT) AS bx FROM t), ha AS (SELECT DISTINCT edge_id FROM b WHERE NOT EXISTS (SELECT 1 FROM b o WHERE o.bx BETWEEN b.bx - 1 AND b.bx + 1 AND abs(o.y - b.y) <= 1 AND (o.edge_id <> b.edge_id OR o.\"end\" <> b.\"end\") AND sqrt((o.x - b.x) * (o.x - b.x) + (o.y - b.y) * (o.y - b.y)) <= 1)), le AS (SELECT edge_id, sqrt(pow((lon1 - lon2) * 83044.98918812413e0, 2) + pow((lat1 - lat2) * 111070.34306591158e0, 2)) AS far FROM edges WHERE edge_id IN (SELECT edge_id FROM ha))\nSELECT edge_id, CAST(2 AS BIGINT) AS n, CAST(round(far) AS BIGINT) AS length FROM le WHERE round(far) > 90"))
 def hanging_by_length(spark, d):
     own = road_lines(spark, d)
     loose = geometry.hanging(own, "edge_id", 1.0).select("edge_id").distinct()
-    return summary(own.join(loose, "edge_id", "left_semi"), "edge_id").where("length > 95")
+    return summary(own.join(loose, "edge_id", "left_semi"), "edge_id").where("length > 90")
 
 
 @query("GE-12", sql("points2d", SEGMENTS + "SELECT p.id, {0} <> {1} AND {2} <> {3} AS crosses FROM s p JOIN s q ON q.id = p.id + 2".format(*[f"(({b}x - {a}x) * ({c}y - {a}y) - ({b}y - {a}y) * ({c}x - {a}x) > 0)" for a, b, c in (("p.a", "q.a", "q.b"), ("p.b", "q.a", "q.b"), ("p.a", "p.b", "q.a"), ("p.a", "p.b", "q.b"))])))
@@ -302,7 +302,11 @@ def in_buffer(spark, d):
     return geometry.within_reach(metric_points(spark, d), own, 20.0).select("event_id").distinct()
 
 
-@query("GE-18")
+#: Points every 500 m or less along the straight steps of each route: t (route_id, leg, step, x, y).
+INTERP = "q AS (SELECT route_id, us, event_id, lon * 83044.98918812413e0 AS x, lat * 111070.34306591158e0 AS y FROM gps), n AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2, row_number() OVER w AS leg FROM q WINDOW w AS (PARTITION BY route_id ORDER BY us, event_id)), p AS (SELECT *, CASE WHEN x2 IS NULL THEN 1 ELSE greatest(CAST(ceil(sqrt(pow(x2 - x, 2) + pow(y2 - y, 2)) / 500) AS INTEGER), 1) END AS parts FROM n), t AS (SELECT route_id, leg, CAST(st AS BIGINT) AS step, CASE WHEN st = 0 THEN x ELSE x + (x2 - x) * (st / parts) END AS x, CASE WHEN st = 0 THEN y ELSE y + (y2 - y) * (st / parts) END AS y FROM (SELECT *, unnest(range(parts)) AS st FROM p))"
+
+
+@query("GE-18", sql("gps", f", {INTERP}\nSELECT route_id, leg, step, {k('x')} AS x, {k('y')} AS y FROM t"))
 def resample(spark, d):
     own = gps(spark, d).select("route_id", F.col("us").alias("n"), "event_id", (F.col("lon") * 83044.98918812413).alias("x"), (F.col("lat") * 111070.34306591158).alias("y"))
     return trajectories.interpolated(own, "route_id", 500.0, order=("n", "event_id")).select("route_id", "leg", "step", thousandths(F.col("x")).alias("x"), thousandths(F.col("y")).alias("y"))

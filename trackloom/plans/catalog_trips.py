@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackloom.functions import geo
 from trackloom.operators import aggregates, evaluation, geometry, joins, matching, sets, tiles, trajectories
 from trackloom.plans.catalog_basic import BOXES, LIMITS, MATCHES, SESSIONS, metric_points
-from trackloom.plans.catalog_scalar import lines
+from trackloom.plans.catalog_scalar import INTERP, bearing_sql, lines
 from trackloom.plans.registry import query
-from trackloom.plans.relations import BOX, crossings, edges, gps, hav, k, links, matches, micro, points2d, sql, thousandths
+from trackloom.plans.relations import BOX, crossings, edges, gps, hav, k, links, matches, micro, points2d, recursive, sql, thousandths
 
 #: Metres a degree of longitude and of latitude in the study area.
 MX, MY = 83044.98918812413, 111070.34306591158
@@ -31,9 +33,21 @@ def cut_at_gap(spark, d):
     return trajectories.cut_at_gap(gps(spark, d), "route_id", 43_200).select("event_id", "route_id")
 
 
-@query("TR-03")
+def thinning_sql(points: str, least: float, most: float) -> str:
+    """CTE th (route_id, event_id, us): the points (route_id, event_id, us, lat, lon) that thinning keeps, of routes with more than one."""
+    h = hav("w.klat", "w.klon", "o.lat", "o.lon")
+    return (
+        f"o AS (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY us, event_id) AS i FROM {points}), "
+        "w AS (SELECT route_id, event_id, us, lat, lon, i, lat AS klat, lon AS klon, true AS kept FROM o WHERE i = 1 UNION ALL "
+        "SELECT route_id, event_id, us, lat, lon, i, CASE WHEN far >= " + str(least) + " THEN lat ELSE klat END, CASE WHEN far >= " + str(least) + " THEN lon ELSE klon END, far >= " + str(least) + " FROM "
+        "(SELECT o.*, w.klat, w.klon, " + h + f" AS far FROM w JOIN o ON o.route_id = w.route_id AND o.i = w.i + 1) WHERE far <= {most}), "
+        "th AS (SELECT * FROM w WHERE kept QUALIFY count(*) OVER (PARTITION BY route_id) > 1)"
+    )
+
+
+@query("TR-03", recursive(sql("gps", ", " + thinning_sql("gps", 500, 1e7) + "\nSELECT event_id, route_id FROM th")))
 def thin(spark, d):
-    """Held against a plain loop in the tests."""
+    """Held against a plain loop in the tests, too."""
     return trajectories.thin(gps(spark, d), "route_id", 500, 1e7).select("event_id", "route_id")
 
 
@@ -45,7 +59,10 @@ def cut_at_speed(spark, d):
     return trajectories.cut_at_speed(gps(spark, d), "route_id", 0.001, 1).select("event_id", "route_id")
 
 
-@query("TR-05")
+CLEAN = GAP.replace("43200", "172800").rstrip() + ", c AS (SELECT * FROM g WHERE broken = 0), " + thinning_sql("c", 100, 1e7) + SPEED.replace("FROM gps", "FROM th").replace("v > 1 OR v < 0.001", "v > 50 OR v < 0.0001").replace(", l AS", ", l AS").replace(", g AS (SELECT", ", z AS (SELECT")
+
+
+@query("TR-05", recursive(sql("gps", CLEAN + "SELECT event_id, route_id FROM z WHERE broken = 0")))
 def cleaned(spark, d):
     return trajectories.cleaned(gps(spark, d), "route_id", seconds=172_800, most=1e7, least=100, fastest=50, slowest=0.0001).select("event_id", "route_id")
 
@@ -75,7 +92,10 @@ def unmatched_extract(spark, d):
     return gps(spark, d).join(bad, "route_id", "left_semi").select("event_id", "route_id")
 
 
-@query("TR-10")
+TURN10 = f", {INTERP}, a AS (SELECT *, lead(x) OVER w AS x3, lead(y) OVER w AS y3 FROM t WINDOW w AS (PARTITION BY route_id ORDER BY leg, step))\n"
+
+
+@query("TR-10", sql("gps", TURN10 + "SELECT route_id, leg, step, CAST(round(((90 - ((degrees(atan2(y3 - y, x3 - x)) % 360e0) + 360e0) % 360e0) % 360e0 + 360e0) % 360e0) AS BIGINT) AS azimuth FROM a"))
 def resampled_motion(spark, d):
     own = gps(spark, d).select("route_id", F.col("us").alias("n"), "event_id", (F.col("lon") * MX).alias("x"), (F.col("lat") * MY).alias("y"))
     dense = trajectories.interpolated(own, "route_id", 500.0, order=("n", "event_id"))
@@ -95,6 +115,9 @@ def metric_edges(spark, d):
     return edges(spark, d).select("edge_id", "source", "target", F.col("weight").cast("double").alias("weight"), "length", (F.col("lon1") * MX).alias("ax"), (F.col("lat1") * MY).alias("ay"), (F.col("lon2") * MX).alias("bx"), (F.col("lat2") * MY).alias("by"))
 
 
+METRIC = "m AS (SELECT edge_id, source, target, CAST(weight AS DOUBLE) AS weight, length, lon1 * 83044.98918812413e0 AS ax, lat1 * 111070.34306591158e0 AS ay, lon2 * 83044.98918812413e0 AS bx, lat2 * 111070.34306591158e0 AS b_y FROM edges)"
+
+
 def metric_trips(spark, d):
     own = gps(spark, d).select(F.col("route_id").alias("trip"), F.col("event_id").alias("point_id"), "us", (F.col("lon") * MX).alias("x"), (F.col("lat") * MY).alias("y"))
     return own.withColumn("n", F.row_number().over(W.partitionBy("trip").orderBy("us", "point_id")).cast("long"))
@@ -107,7 +130,7 @@ def st_match(spark, d):
     return own.select("id", "opath", F.transform("ep", lambda x: F.round(x, 6)).alias("ep"), F.transform("tp", lambda x: F.round(x, 6)).alias("tp"))
 
 
-@query("MM-02")
+@query("MM-02", sql("edges", f", w AS (SELECT source AS a, target AS b, min(length) AS dist FROM edges GROUP BY ALL), s AS (SELECT DISTINCT source AS a, source AS b, 0e0 AS dist FROM edges), w2 AS (SELECT p.a, q.b, min(p.dist + q.dist) AS dist FROM w p JOIN w q ON p.b = q.a GROUP BY ALL)\nSELECT a, b, {k('min(dist)')} AS dist FROM (SELECT * FROM s UNION ALL SELECT * FROM w UNION ALL SELECT * FROM w2) WHERE dist <= 250 GROUP BY a, b"))
 def bounded_table(spark, d):
     e = metric_edges(spark, d)
     return matching.bounded_paths(e, 250.0).select("a", "b", thousandths(F.col("dist")).alias("dist"))
@@ -136,7 +159,7 @@ def emissions(spark, d):
     return gps(spark, d).select("event_id", micro(matching.emission(F.col("value"))).alias("e"))
 
 
-@query("MM-06")
+@query("MM-06", sql("edges", f", {METRIC}, l AS (SELECT *, sqrt((ax - bx) * (ax - bx) + (ay - b_y) * (ay - b_y)) AS far FROM m), n AS (SELECT *, CASE WHEN far <= 20 THEN 1 ELSE CAST(pow(2, ceil(round(log2(far / 20), 9))) AS BIGINT) END AS parts FROM l)\nSELECT edge_id, i AS n, {k('ax + (bx - ax) * (i / parts)')} AS x, {k('ay + (b_y - ay) * (i / parts)')} AS y FROM (SELECT *, unnest(range(parts + 1)) AS i FROM n)"))
 def subdivided_map(spark, d):
     from trackloom.operators.cluster import subdivided
 
@@ -167,10 +190,14 @@ def trip_driver(spark, d):
 def segment_traces(spark, d):
     got = viterbi(spark, d).join(metric_trips(spark, d).select("trip", "n", "us"), ["trip", "n"])
     segs = links(spark, d).select("edge_id", (F.col("source") % 50).alias("segment_id"))
-    return matching.traces_of(got, segs, 3_600_000_000)
+    return matching.traces_of(got, segs, 30_000_000)
+
 
+MOTION = ", ld AS (SELECT *, lead(us) OVER w AS us2, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM gps WINDOW w AS (PARTITION BY route_id ORDER BY us, event_id)), mo0 AS (SELECT *, (us2 - us) / 1e6 AS dt0, CASE WHEN us2 IS NOT NULL THEN {h} END AS far0, CASE WHEN us2 IS NOT NULL THEN round({b}) % 360 END AS az0 FROM ld), mo1 AS (SELECT *, coalesce(dt0, lag(dt0) OVER w) AS dt, coalesce(far0, lag(far0) OVER w) AS far, coalesce(az0, lag(az0) OVER w) AS azimuth FROM mo0 WINDOW w AS (PARTITION BY route_id ORDER BY us, event_id)), mo AS (SELECT *, CASE WHEN dt > 0 THEN far / dt * 3.6e0 END AS kmh FROM mo1)".format(h=hav("lat", "lon", "lat2", "lon2"), b=bearing_sql("lat", "lon", "lat2", "lon2"))
+NEAR40 = f", {METRIC}, pt AS (SELECT event_id, azimuth, lon * 83044.98918812413e0 AS x, lat * 111070.34306591158e0 AS y FROM mo), jn AS (SELECT *, greatest(0e0, least(1e0, ((x - ax) * (bx - ax) + (y - ay) * (b_y - ay)) / ((bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay)))) AS f FROM pt JOIN m ON x BETWEEN least(ax, bx) - 40 AND greatest(ax, bx) + 40 AND y BETWEEN least(ay, b_y) - 40 AND greatest(ay, b_y) + 40), ds AS (SELECT *, sqrt((x - ax - f * (bx - ax)) * (x - ax - f * (bx - ax)) + (y - ay - f * (b_y - ay)) * (y - ay - f * (b_y - ay))) AS far, abs(azimuth - (((90 - degrees(atan2(b_y - ay, bx - ax))) % 360e0 + 360e0) % 360e0)) % 360 AS tu FROM jn), best AS (SELECT event_id AS point_id, edge_id, far FROM ds WHERE far <= 40 AND least(tu, 360 - tu) <= 30 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY far, edge_id) = 1)\n"
 
-@query("MM-11")
+
+@query("MM-11", sql("gps edges", MOTION + NEAR40 + f"SELECT point_id, edge_id, {k('far')} AS dist FROM best QUALIFY count(*) OVER (PARTITION BY edge_id) >= 2"))
 def snapped(spark, d):
     azimuth = trajectories.motion(gps(spark, d), "route_id").select(F.col("event_id").alias("point_id"), "azimuth")
     return matching.snapped(metric_trips(spark, d).join(azimuth, "point_id"), metric_edges(spark, d)).select("point_id", "edge_id", thousandths(F.col("dist")).alias("dist"))
@@ -230,73 +257,115 @@ def two_maps(spark, d):
     return e, moved
 
 
-@query("EV-05")
+#: Ways of a segment a-b within a reach of a segment c-d, as in ``evaluation.covered``.
+TUBE = (
+    "tu AS (SELECT *, sqrt((dx - cx) * (dx - cx) + (dy - cy) * (dy - cy)) AS size FROM pr), "
+    "tv AS (SELECT *, ((ax - cx) * (dx - cx) + (ay - cy) * (dy - cy)) / size AS u0, ((bx - cx) * (dx - cx) + (b_y - cy) * (dy - cy)) / size AS u1, ((ay - cy) * (dx - cx) - (ax - cx) * (dy - cy)) / size AS v0, ((b_y - cy) * (dx - cx) - (bx - cx) * (dy - cy)) / size AS v1, "
+    "(bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay) AS qa, 2 * ((ax - cx) * (bx - ax) + (ay - cy) * (b_y - ay)) AS qb1, (ax - cx) * (ax - cx) + (ay - cy) * (ay - cy) - reach * reach AS qc1, 2 * ((ax - dx) * (bx - ax) + (ay - dy) * (b_y - ay)) AS qb2, (ax - dx) * (ax - dx) + (ay - dy) * (ay - dy) - reach * reach AS qc2 FROM tu), "
+    "tw AS (SELECT *, greatest(0e0, CASE WHEN u1 <> u0 THEN least(-u0 / (u1 - u0), (size - u0) / (u1 - u0)) END, CASE WHEN v1 <> v0 THEN least((-reach - v0) / (v1 - v0), (reach - v0) / (v1 - v0)) END) AS lo0, least(1e0, CASE WHEN u1 <> u0 THEN greatest(-u0 / (u1 - u0), (size - u0) / (u1 - u0)) END, CASE WHEN v1 <> v0 THEN greatest((-reach - v0) / (v1 - v0), (reach - v0) / (v1 - v0)) END) AS hi0, "
+    "(u1 <> u0 OR u0 BETWEEN 0 AND size) AND (v1 <> v0 OR v0 BETWEEN -reach AND reach) AS fits, CASE WHEN qb1 * qb1 - 4 * qa * qc1 >= 0 THEN sqrt(qb1 * qb1 - 4 * qa * qc1) END AS r1, CASE WHEN qb2 * qb2 - 4 * qa * qc2 >= 0 THEN sqrt(qb2 * qb2 - 4 * qa * qc2) END AS r2 FROM tv), "
+    "tx AS (SELECT *, greatest(0e0, (-qb1 - r1) / (2 * qa)) AS lo1, least(1e0, (-qb1 + r1) / (2 * qa)) AS hi1, greatest(0e0, (-qb2 - r2) / (2 * qa)) AS lo2, least(1e0, (-qb2 + r2) / (2 * qa)) AS hi2 FROM tw), "
+    "ty AS (SELECT edge_id, reach, least(CASE WHEN fits AND lo0 <= hi0 THEN lo0 END, CASE WHEN r1 IS NOT NULL AND lo1 <= hi1 THEN lo1 END, CASE WHEN r2 IS NOT NULL AND lo2 <= hi2 THEN lo2 END) AS a, greatest(CASE WHEN fits AND lo0 <= hi0 THEN hi0 END, CASE WHEN r1 IS NOT NULL AND lo1 <= hi1 THEN hi1 END, CASE WHEN r2 IS NOT NULL AND lo2 <= hi2 THEN hi2 END) AS b FROM tx), "
+    "tz AS (SELECT *, max(b) OVER (PARTITION BY edge_id, reach ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM ty WHERE a < b), "
+    "sh AS (SELECT edge_id, reach, sum(greatest(0e0, b - greatest(a, coalesce(seen, a)))) AS share FROM tz GROUP BY edge_id, reach)"
+)
+MAPS = f", {METRIC}, g AS (SELECT * FROM m WHERE source < target), o AS (SELECT edge_id, ax + 6 AS ax, ay + 6 AS ay, bx + 6 AS bx, b_y + 6 AS b_y FROM g WHERE (edge_id + 1) * 2654435761 % 4294967296 < 3006477107)"
+
+
+def inside_sql(own: str, other: str, reaches: list[int], tag: str = "") -> str:
+    """CTE in{tag} (edge_id, reach, length, inside) of the map ``own`` within reaches of the map ``other``."""
+    far, listed = max(reaches), ", ".join(f"{r}e0" for r in reaches)
+    pairs = f"pr AS (SELECT p.edge_id, p.ax, p.ay, p.bx, p.b_y, q.ax AS cx, q.ay AS cy, q.bx AS dx, q.b_y AS dy, unnest([{listed}]) AS reach FROM {own} p JOIN {other} q ON least(q.ax, q.bx) <= greatest(p.ax, p.bx) + {far} AND greatest(q.ax, q.bx) >= least(p.ax, p.bx) - {far} AND least(q.ay, q.b_y) <= greatest(p.ay, p.b_y) + {far} AND greatest(q.ay, q.b_y) >= least(p.ay, p.b_y) - {far})"
+    text = f"{pairs}, {TUBE}, le AS (SELECT edge_id, sqrt((ax - bx) * (ax - bx) + (ay - b_y) * (ay - b_y)) AS length, unnest([{listed}]) AS reach FROM {own}), in AS (SELECT le.*, length * coalesce(share, 0) AS inside FROM le LEFT JOIN sh USING (edge_id, reach))"
+    for name in ("pr", "tu", "tv", "tw", "tx", "ty", "tz", "sh", "le", "in"):
+        text = re.sub(rf"\b{name}( AS \(SELECT)", rf"{name}{tag}_\1", text)
+        text = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 {name}{tag}_", text)
+    return text.replace("SELECT le.*", f"SELECT le{tag}_.*")
+
+
+REACHES = list(range(5, 55, 5))
+
+
+@query("EV-05", sql("edges", MAPS + ", " + inside_sql("g", "o", REACHES, "a") + ", " + inside_sql("o", "g", REACHES, "b") + ", v AS (SELECT reach, sum(inside) / sum(length) AS c FROM ina_ GROUP BY reach), w AS (SELECT reach, sum(inside) / sum(length) AS r FROM inb_ GROUP BY reach)\nSELECT reach, CAST(round(c * 10000) AS BIGINT) AS completeness, CAST(round(r * 10000) AS BIGINT) AS correctness, CAST(round(2 * c * r / (c + r) * 10000) AS BIGINT) AS f FROM v JOIN w USING (reach)"))
 def buffer_scores(spark, d):
-    got = evaluation.buffer_scores(*two_maps(spark, d), [5.0, 10.0, 20.0])
+    got = evaluation.buffer_scores(*two_maps(spark, d), [float(r) for r in REACHES])
     return got.select("reach", *[F.round(F.col(c) * 10_000).cast("long").alias(c) for c in ("completeness", "correctness", "f")])
 
 
-@query("AG-20")
+@query("AG-20", sql("edges", MAPS + ", " + inside_sql("g", "o", [10]) + f"\nSELECT edge_id, {k('length')} AS length, round(inside, 1) AS inside FROM in_"))
 def overlap(spark, d):
     ground, other = two_maps(spark, d)
     own = evaluation.covered(ground, other, 10.0)
     return own.select("edge_id", thousandths(F.col("length")).alias("length"), F.round("inside", 1).alias("inside"))
 
 
-@query("GE-15")
+@query("GE-15", sql("edges", MAPS + ", " + inside_sql("o", "g", [10]) + "\nSELECT edge_id, round(inside, 1) AS inside FROM in_"))
 def clip_lengths(spark, d):
     ground, other = two_maps(spark, d)
     return evaluation.covered(other, ground, 10.0).select("edge_id", F.round("inside", 1).alias("inside"))
 
 
-def tile_paths(spark, d):
+def two_link_paths(spark, d):
+    """A path along every two links that meet, a little off the roads, and the roads."""
     e = metric_edges(spark, d)
-    tiled = e.withColumn("tile", F.floor(F.col("ax") / 600) * 100_000 + F.floor(F.col("ay") / 600))
-    own = tiled.select("tile", "source", "target", "ax", "ay", "bx", "by")
-    nxt = tiled.select("tile", F.col("source").alias("target"), F.col("target").alias("_t2"), F.col("bx").alias("cx"), F.col("by").alias("cy"))
-    two = tiled.join(nxt, ["tile", "target"]).where("source < _t2")
+    nxt = e.select(F.col("source").alias("target"), F.col("target").alias("_t2"), F.col("bx").alias("cx"), F.col("by").alias("cy"))
+    two = e.join(nxt, "target").where("source < _t2")
     point = lambda x, y, o: F.struct((F.col(x) + o).alias("x"), (F.col(y) - o).alias("y"))
-    paths = two.select("tile", (F.col("edge_id") * 1_000_000 + F.col("_t2")).alias("path"), F.array(point("ax", "ay", 4.0), point("bx", "by", 7.0), point("cx", "cy", 5.0)).alias("points"))
-    return paths, own
+    return two.select((F.col("edge_id") * 1_000_000 + F.col("_t2")).alias("path"), F.array(point("ax", "ay", 4.0), point("bx", "by", 7.0), point("cx", "cy", 5.0)).alias("points")), e
 
 
 @query("EV-06")
 def frechet_paths(spark, d):
-    return evaluation.path_distances(*tile_paths(spark, d), "frechet", 400)
+    """Held against a search over the whole graph in the tests."""
+    return evaluation.path_distances(*two_link_paths(spark, d), "frechet")
 
 
 @query("EV-07")
 def hausdorff_paths(spark, d):
-    return evaluation.path_distances(*tile_paths(spark, d), "hausdorff", 400)
+    return evaluation.path_distances(*two_link_paths(spark, d), "hausdorff")
 
 
 @query("EV-08")
 def path_experiment(spark, d):
-    paths, own = tile_paths(spark, d)
-    both = [evaluation.path_distances(paths, own, kind, 400).groupBy("tile").agg(F.max("distance").alias("worst"), F.count("distance").alias("n")).withColumn("kind", F.lit(kind)) for kind in ("frechet", "hausdorff")]
+    """Both distances to a map that lacks a tenth of the links: how many paths are at each, as the experiment plots them."""
+    paths, e = two_link_paths(spark, d)
+    kept = sets.share_of(e, "edge_id", 0.9, 4)
+    both = [evaluation.path_distances(paths, kept, kind).groupBy("distance").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(kind)) for kind in ("frechet", "hausdorff")]
     return both[0].unionByName(both[1])
 
 
+#: How many pairs of a comparison, how far apart at most, and how long a way may be.
+PAIRS, APART, LONGEST = 500, 5000.0, 15_000.0
+
+
+def random_pairs(e):
+    """The first ``PAIRS`` of origins and destinations drawn by two seeded orders that are at most ``APART``: a, b."""
+    n = e.groupBy(F.col("source").alias("id")).agg(F.min("ax").alias("x"), F.min("ay").alias("y"))
+    # what is drawn is bounded: eight times the pairs asked for
+    drawn = [sets.sample(n, "id", 8 * PAIRS, seed).withColumn("i", F.row_number().over(W.orderBy(sets.scattered("id", seed), "id"))) for seed in (5, 6)]
+    b = drawn[1].select("i", F.col("id").alias("b"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    far = F.sqrt((F.col("x") - F.col("_x")) * (F.col("x") - F.col("_x")) + (F.col("y") - F.col("_y")) * (F.col("y") - F.col("_y")))
+    return drawn[0].withColumnRenamed("id", "a").join(b, "i").where((F.col("a") != F.col("b")) & (far <= APART)).orderBy("i").limit(PAIRS).select("i", "a", "b")
+
+
 @query("EV-09")
 def shortest_path_comparison(spark, d):
-    """Origins and destinations by tile, on the whole map and on a thinned one; four distances between the two ways."""
-    from trackloom.operators.graph import paths_by_tile
+    """Random origins and destinations on the whole map and on one that lacks a tenth of the links; four distances between the two ways, null where there is no way."""
+    from trackloom.operators.graph import paths_within
+    from trackloom.operators.raster import saved
 
     e = metric_edges(spark, d)
-    tiled = e.withColumn("tile", F.floor(F.col("ax") / 1500) * 100_000 + F.floor(F.col("ay") / 1500))
-    ends = tiled.groupBy("tile").agg(F.min("source").alias("a"), F.max("source").alias("b")).where("a <> b")
-    kept = sets.share_of(tiled, "edge_id", 0.9, 4)
-    one = paths_by_tile(ends, tiled).select("tile", "a", "b", F.col("nodes").alias("n1"))
-    two = paths_by_tile(ends, kept).select("tile", "a", "b", F.col("nodes").alias("n2"))
-    place = tiled.select(F.col("source").alias("node"), F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")).alias("p")).distinct()
+    pairs = saved(random_pairs(e))
+    place = e.groupBy(F.col("source").alias("node")).agg(F.min("ax").alias("x"), F.min("ay").alias("y"))
 
-    def line(df, nodes, out):
-        each = df.select("tile", F.posexplode(nodes).alias("i", "node")).join(place, "node")
-        return each.groupBy("tile").agg(F.array_sort(F.collect_list(F.struct("i", "p"))).alias("s")).select("tile", F.col("s.p").alias(out))
+    def ways(edges, out):
+        found = paths_within(pairs, edges, LONGEST).join(pairs, ["a", "b"])
+        each = found.select("i", F.posexplode("nodes").alias("k", "node")).join(place, "node")
+        return each.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("k", F.struct("x", "y").alias("p")))).alias("s")).select("i", F.col("s.p").alias(out))
 
-    both = line(one, "n1", "a").join(line(two, "n2", "b"), "tile")
-    got = geometry.line_pair_distances(both, "tile")
-    return got.select("tile", *[F.round(c, 3).alias(c) for c in ("frechet", "hausdorff", "modified", "vertical")])
+    both = ways(e, "a").join(ways(sets.share_of(e, "edge_id", 0.9, 4), "b"), "i")
+    got = pairs.select("i", "a", "b").join(geometry.line_pair_distances(both, "i"), "i", "left")
+    return got.select(F.col("i").cast("long").alias("i"), F.col("a").alias("origin"), F.col("b").alias("destination"), *[F.round(c, 3).alias(c) for c in ("frechet", "hausdorff", "modified", "vertical")])
 
 
 @query("EV-10", sql("edges crossings", DIRECTED + ", c AS (SELECT edge_id, count(*) AS n FROM crossings GROUP BY edge_id), dd AS (SELECT DISTINCT edge_id FROM f)\nSELECT e.edge_id, CASE WHEN dd.edge_id IS NOT NULL THEN 'detected' WHEN e.weight = 7 THEN 'false' WHEN e.length < 95 THEN 'short' WHEN coalesce(c.n, 0) < 10 THEN 'rare' ELSE 'missed' END AS kind FROM edges e LEFT JOIN dd USING (edge_id) LEFT JOIN c USING (edge_id)"))
@@ -345,7 +414,7 @@ def smallest_boxes(spark, d):
     return got.select("grp", "n", thousandths(F.col("x")).alias("x"), thousandths(F.col("y")).alias("y"))
 
 
-@query("GE-17")
+@query("GE-17", sql("edges", MAPS + ", " + inside_sql("g", "o", [15]) + "\nSELECT edge_id, round(inside / length, 4) AS share FROM in_"))
 def zone_intervals(spark, d):
     from trackloom.operators.evaluation import covered
 
@@ -376,3 +445,34 @@ def callbacks(spark, d):
     return matching.match_trips(metric_trips(spark, d), metric_edges(spark, d), 80.0, emit=lambda m: max(0.0, 1 - m / 80))
 
 
+
+
+@query("UX-03", sql("gps edges", BOXES.replace("83044.98918812413e0 AS x,", "83044.98918812413e0 + 5 AS x,").replace("111070.34306591158e0 AS y FROM gps", "111070.34306591158e0 - 5 AS y FROM gps") + "\nSELECT event_id, edge_id FROM p JOIN e ON x BETWEEN x0 - 30 AND x1 + 30 AND y BETWEEN y0 - 30 AND y1 + 30"))
+def geometry_hooks(spark, d):
+    """Candidates with geometries of observations and of states of one's own: the first moved by five metres, the second a road's box."""
+    boxed = lambda e: e.select("edge_id", F.least("ax", "bx").alias("x0"), F.least("ay", "by").alias("y0"), F.greatest("ax", "bx").alias("x1"), F.greatest("ay", "by").alias("y1"))
+    moved = lambda p: p.withColumns({"x": F.col("x") + 5.0, "y": F.col("y") - 5.0})
+    return matching.boxed_candidates(metric_points(spark, d), metric_edges(spark, d), 30.0, moved, boxed).select("event_id", "edge_id")
+
+
+@query("UX-04", sql("edges", f"SELECT edge_id, {k(hav('lat1', 'lon1', 'lat2', 'lon2'))} AS dist FROM edges"))
+def native_kernel(spark, d):
+    """A numpy kernel over Arrow batches."""
+    from trackloom.operators.matching import with_kernel_distance
+
+    return with_kernel_distance(edges(spark, d), ("lat1", "lon1", "lat2", "lon2"), "dist").select("edge_id", thousandths(F.col("dist")).alias("dist"))
+
+
+@query("OR-03", f"SELECT * FROM (VALUES ('south', {S}e0), ('west', {WE}e0), ('north', {N}e0), ('east', {E}e0)) v(name, value)")
+def area_parameters(spark, d):
+    """What an application asks its user for: the parameters of an area, as a table."""
+    return spark.createDataFrame(list(zip(("south", "west", "north", "east"), BOX, strict=True)), "name string, value double")
+
+
+@query("OR-04", "SELECT * FROM (VALUES ('sessions', 'seconds', '10.0'), ('sessions', 'metres', '100.0'), ('sessions', 'speed', '25.0'), ('sessions', 'least_metres', '5.0'), ('clean', 'seconds', '20.0'), ('clean', 'most', '170.0'), ('clean', 'least', '5.0'), ('clean', 'fastest', '26.0'), ('clean', 'slowest', '2.0'), ('match', 'reach', '150.0'), ('match', 'keep', '300'), ('score', 'degrees', '20.0'), ('score', 'length', '50.0')) v(stage, argument, given)")
+def stage_arguments(spark, d):
+    """The stages of the command line with their typed arguments and defaults."""
+    from trackloom.stages import STAGES
+
+    rows = [(name, a, str(v)) for name, stage in STAGES.items() for a, v in stage.arguments.items()]
+    return spark.createDataFrame(rows, "stage string, argument string, given string")

@@ -150,3 +150,17 @@ def sql(names: str, body: str) -> str:
             if x not in want:
                 want.append(x)
     return "WITH " + ",\n".join(CTE[n] for n in want) + "\n" + body
+
+
+def recursive(text: str) -> str:
+    """A query whose CTEs may refer to themselves."""
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def roots(pairs: str, most: int, out: str = "roots") -> str:
+    """CTEs ``out`` (node, root): the smallest node of each component of the pairs (a, b), after ``most`` steps, which must be at least a component's width."""
+    return (
+        f"both_{out} AS (SELECT a, b FROM {pairs} UNION SELECT b, a FROM {pairs} UNION SELECT a, a FROM {pairs} UNION SELECT b, b FROM {pairs}), "
+        f"step_{out} AS (SELECT 0 AS i, a AS node, a AS root FROM (SELECT DISTINCT a FROM both_{out}) UNION ALL SELECT l.i + 1, p.a, min(l.root) FROM step_{out} l JOIN both_{out} p ON p.b = l.node WHERE l.i < {most} GROUP BY l.i, p.a), "
+        f"{out} AS (SELECT node, root FROM step_{out} WHERE i = {most})"
+    )

@@ -21,14 +21,14 @@ STATE = "viterbi string, next long"
 
 
 def packed(v: Viterbi) -> str:
-    return json.dumps({"v": list(v.v.items()), "path": list(v.path.items())})
+    return json.dumps({"v": list(v.v.items()), "back": [list(came.items()) for came in v.back]})
 
 
 def unpacked(text: str, lookup: Callable, prior: dict, keep: int) -> Viterbi:
     raw = json.loads(text)
     v = Viterbi(lookup, prior, keep)
     v.v = {s: p for s, p in raw["v"]}
-    v.path = {s: list(p) for s, p in raw["path"]}
+    v.back.extend(dict(came) for came in raw["back"])
     return v
 
 

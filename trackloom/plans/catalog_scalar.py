@@ -248,7 +248,18 @@ def smooth(spark, d):
     return summary(geometry.smooth(lines(spark, d), 30.0))
 
 
-@query("GE-07")
+SPLIT = (
+    ", v AS (SELECT id, ax AS x1, ay AS y1, bx AS x2, s.by AS y2 FROM s), "
+    "m AS (SELECT p.id AS a, q.id AS b, p.x1 AS px, p.y1 AS py, p.x2 AS qx, p.y2 AS qy, q.x1 AS rx, q.y1 AS ry, q.x2 AS tx, q.y2 AS ty FROM v p JOIN v q ON p.id < q.id AND greatest(p.x1, p.x2) >= least(q.x1, q.x2) AND greatest(q.x1, q.x2) >= least(p.x1, p.x2) AND greatest(p.y1, p.y2) >= least(q.y1, q.y2) AND greatest(q.y1, q.y2) >= least(p.y1, p.y2)), "
+    "o AS (SELECT *, (px - qx) * (ry - ty) - (py - qy) * (rx - tx) AS den FROM m WHERE ((rx - px) * (ty - py) - (ry - py) * (tx - px) > 0) <> ((rx - qx) * (ty - qy) - (ry - qy) * (tx - qx) > 0) AND ((qx - px) * (ry - py) - (qy - py) * (rx - px) > 0) <> ((qx - px) * (ty - py) - (qy - py) * (tx - px) > 0)), "
+    "c AS (SELECT a, b, ((px * qy - py * qx) * (rx - tx) - (px - qx) * (rx * ty - ry * tx)) / den AS x, ((px * qy - py * qx) * (ry - ty) - (py - qy) * (rx * ty - ry * tx)) / den AS y FROM o), "
+    "cu AS (SELECT a AS id, x, y FROM c UNION ALL SELECT b, x, y FROM c), "
+    "pt AS (SELECT id, x1 AS x, y1 AS y, -1e0 AS f FROM v UNION ALL SELECT id, x2, y2, 2e0 FROM v UNION ALL SELECT id, x, y, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) FROM cu JOIN v USING (id)), "
+    "pc AS (SELECT *, row_number() OVER w - 1 AS piece, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM pt WINDOW w AS (PARTITION BY id ORDER BY f, x, y))\n"
+)
+
+
+@query("GE-07", sql("points2d", SEGMENTS.rstrip() + SPLIT + f"SELECT id, piece, {u('x')} AS ax, {u('y')} AS ay, {u('nx')} AS bx, {u('ny')} AS \"by\" FROM pc WHERE nx IS NOT NULL"))
 def split_lines(spark, d):
     own = geometry.split_at_crossings(segments(spark, d), "id", 10.0)
     return own.select("id", "piece", *[micro(F.col(c)).alias(c) for c in ("ax", "ay", "bx", "by")])
@@ -270,7 +281,7 @@ def stretch(spark, d):
     return own.select("edge_id", thousandths(F.element_at("p", 1)["x"]).alias("x"), thousandths(F.element_at("p", -1)["y"]).alias("y"))
 
 
-@query("GE-10")
+@query("GE-10", sql("edges", ", e AS (SELECT edge_id, 0 AS \"end\", lon1 * 83044.98918812413e0 AS x, lat1 * 111070.34306591158e0 AS y FROM edges UNION ALL SELECT edge_id, 1, lon2 * 83044.98918812413e0, lat2 * 111070.34306591158e0 FROM edges), t AS (SELECT e.* FROM e JOIN links l USING (edge_id) WHERE l.source < l.target), b AS (SELECT *, CAST(floor(x) AS BIGINT) AS bx FROM t), ha AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM b o WHERE o.bx BETWEEN b.bx - 1 AND b.bx + 1 AND abs(o.y - b.y) <= 1 AND (o.edge_id <> b.edge_id OR o.\"end\" <> b.\"end\") AND sqrt((o.x - b.x) * (o.x - b.x) + (o.y - b.y) * (o.y - b.y)) <= 1)), be AS (SELECT h.edge_id, h.\"end\", min(sqrt((o.x - h.x) * (o.x - h.x) + (o.y - h.y) * (o.y - h.y))) AS d FROM ha h JOIN b o ON o.bx BETWEEN h.bx - 121 AND h.bx + 121 AND o.y BETWEEN h.y - 120 AND h.y + 120 AND o.edge_id <> h.edge_id WHERE sqrt((o.x - h.x) * (o.x - h.x) + (o.y - h.y) * (o.y - h.y)) <= 120 GROUP BY ALL), le AS (SELECT edge_id, sqrt(pow((lon1 - lon2) * 83044.98918812413e0, 2) + pow((lat1 - lat2) * 111070.34306591158e0, 2)) AS far FROM edges WHERE source < target)\nSELECT edge_id, 2 + count(d) AS n, CAST(round(any_value(far) + coalesce(sum(d), 0)) AS BIGINT) AS length FROM le LEFT JOIN be USING (edge_id) GROUP BY edge_id"))
 def snap(spark, d):
     return summary(geometry.snapped(road_lines(spark, d), "edge_id", 1.0, 120.0), "edge_id")
 

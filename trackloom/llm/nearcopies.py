@@ -10,17 +10,26 @@ similar pairs are found by prefix filtering:
   and two texts of similarity t share one in both prefixes. The order bears on the
   cost alone;
 * of the texts that share a shingle each is held against the one of the smallest
-  node, unless lengths and places of the shingle rule similarity out. Counts of
-  shingles in ``SLOTS`` slots bound what two sets can share, and pairs whose bound
-  is too low go; what is left is compared by whole sets of shingles;
+  node, its head, unless lengths and places of the shingle rule similarity out. A
+  text's most frequent head comes first, and others only if they aren't connected then;
+* parities of the shingles in slots bound from below in how many shingles two sets
+  differ, and pairs whose bound is too high go; what is left, few but similar
+  pairs, is compared by whole sets of shingles;
 * texts that share a shingle and aren't connected by then are compared with each
   other, so a large group of near copies costs a pair a member, not all pairs.
 
 No pair is left out by size of text or group; so components are those of all
 links. Shingles and sets of them are known by 64-bit hashes. Null and empty texts
 have no shingle and are linked by fingerprint only; texts of fewer words than a
-shingle are one shingle. No shingle sets or links reach the driver, but the common
-shingles of the sample, ``COMMON`` at most.
+shingle are one shingle. Rows equal in id and text are one document, of which one
+row stays; extra columns stay; empty tables give empty results. Very long texts
+are shingled whole; only their table of parities is bounded, by ``MOST_BITS``.
+
+No shingle sets or links reach the driver, but the common shingles of the sample,
+``COMMON`` at most. Prefixes are shuffled once, by shingle. A shingle that isn't
+common in the sample is in few texts, so its texts meet in one task; the texts of
+common ones are told the smallest node by a broadcast of at most ``COMMON`` rows and
+don't meet.
 """
 
 from __future__ import annotations
@@ -36,14 +45,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from trackloom.llm import simhash
-from trackloom.llm.common import row_key, small_batches, stage_table
+from trackloom.llm.common import held, keep_one, lookup_side, row_key, small_batches, stage_table
 
 WORDS = 5
 SIMILARITY = 0.8
-#: Texts sampled for the order, the least of them that make a shingle common, and the number of common shingles kept.
-SAMPLE, LEAST, COMMON = 10_000, 4, 50_000
-#: Slots of the counts, two bytes each.
-SLOTS = 128
+#: For the order: texts sampled, at least and as one of so many; the least of them that make a shingle common; common shingles kept.
+SAMPLE, SAMPLE_ONE_IN, LEAST, COMMON = 10_000, 4, 4, 100_000
+#: Bits of parities: a power of two of at least twice the size of a set, within these.
+LEAST_BITS, MOST_BITS = 64, 1 << 16
+#: A shingle's place in the low bits of a long, the size of its set above.
+PLACE = 1 << 31
 
 
 def shingles(text: str | None, words: int = WORDS, seed: int = simhash.SEED) -> np.ndarray:
@@ -57,28 +68,46 @@ def shingles(text: str | None, words: int = WORDS, seed: int = simhash.SEED) ->
     return np.unique(np.fromiter((digest(b" ".join(g), seed) for g in zip(*(w[k:] for k in range(words)), strict=False)), np.uint64, len(w) - words + 1))
 
 
-def prefix(own: np.ndarray, common: np.ndarray, often: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
-    """The first shingles of a set; ``often`` says how late each of ``common``, which is sorted, comes."""
+def prefix(own: np.ndarray, common: np.ndarray, often: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, int]:
+    """The first shingles of a set, and how many of them aren't common; ``often`` says how late each of ``common``, which is sorted, comes."""
     n = len(own)
     if not n:
-        return own
-    level = np.zeros(n, np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-        level = np.where(common[at] == own, often[at], 0)
+        return own, 0
     # the small amount keeps rounding from shortening a prefix
-    return own[np.lexsort((own, level))][: n - math.ceil(similarity * n - 1e-9) + 1]
-
-
-def slots(own: np.ndarray) -> bytes:
-    """How many of a set fall in each slot. Past two bytes, all ones: no bound for the slot."""
-    return np.minimum(np.bincount((own % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS), 0xFFFF).astype(np.uint16).tobytes()
-
-
-def bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The most that the sets of each two rows of counts can share; without bound, a number over any size."""
-    open_ = ((a == 0xFFFF) & (b == 0xFFFF)).any(axis=1)
-    return np.where(open_, 1 << 40, np.minimum(a, b).sum(axis=1, dtype=np.int64))
+    most = n - math.ceil(similarity * n - 1e-9) + 1
+    if not len(common):
+        return own[:most], most
+    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+    level = np.where(common[at] == own, often[at], 0)
+    rare = int((level == 0).sum())
+    order = np.flatnonzero(level == 0) if rare >= most else np.lexsort((own, level))
+    return own[order[:most]], min(rare, most)
+
+
+def parities(own: np.ndarray) -> bytes:
+    """Of each slot whether an odd number of the set's shingles falls in it."""
+    bits = LEAST_BITS
+    while bits < min(2 * len(own), MOST_BITS):
+        bits *= 2
+    return np.packbits(np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def apart(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """In how many shingles the sets of each two rows of parities differ, at least."""
+    out = np.zeros(len(a), np.int64)
+    kinds: dict[tuple[int, int], list[int]] = {}
+    for k, (x, y) in enumerate(zip(a, b, strict=True)):
+        kinds.setdefault((len(x), len(y)), []).append(k)
+    for (m, n), rows in kinds.items():
+        sides = []
+        for parts, size in ((a, m), (b, n)):
+            x = np.frombuffer(b"".join(parts[k] for k in rows), np.uint64).reshape(len(rows), -1)
+            while size > min(m, n):  # the halves of a longer table make one of half its bits
+                size //= 2
+                x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+            sides.append(x)
+        out[rows] = np.bitwise_count(sides[0] ^ sides[1]).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def with_shingles(df: DataFrame, text_col: str, out: str = "shingles", words: int = WORDS) -> DataFrame:
@@ -95,58 +124,79 @@ def with_shingles(df: DataFrame, text_col: str, out: str = "shingles", words: in
 def common_shingles(df: DataFrame, text_col: str, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several texts of a sample have, sorted, and the logarithm of their number."""
     n = df.count()
-    drawn = df if n <= SAMPLE else df.where(F.pmod(F.xxhash64("_k1", F.lit("sample")), F.lit(1 << 30)) < SAMPLE / n * (1 << 30))
+    most = max(SAMPLE, n // SAMPLE_ONE_IN)
+    drawn = df if n <= most else df.where(F.pmod(F.xxhash64("_k1", F.lit("sample")), F.lit(1 << 30)) < most / n * (1 << 30))
     counts = with_shingles(drawn.select(text_col), text_col, "s", words).select(F.explode("s").alias("s")).groupBy("s").count().where(F.col("count") >= LEAST)
-    got = counts.orderBy(F.desc("count"), "s").limit(COMMON).collect()
-    found = np.array([r["s"] for r in got], np.int64).view(np.uint64)
+    got = counts.orderBy(F.desc("count"), "s").limit(COMMON).toArrow()
+    found = got["s"].to_numpy().view(np.uint64)
     order = np.argsort(found)
-    return found[order], np.log2(np.array([r["count"] for r in got], np.float64)).astype(np.int64)[order]
+    return found[order], np.log2(got["count"].to_numpy().astype(np.float64)).astype(np.int64)[order]
 
 
 def marks(df: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
-    """``df`` with the fingerprint of each text, its node (the hash of its set), the size of the set, its prefix and the counts of its slots."""
-    names = ["fingerprint", "node", "size", "prefix", "slots"]
+    """``df`` with the fingerprint of each text, its node (the hash of its set), the size of the set, its prefix, how many of that aren't common, and its parities."""
+    names = ["fingerprint", "node", "size", "rare", "prefix", "parities"]
     sent = df.sparkSession.sparkContext.broadcast(common_shingles(df, text_col, words))
     small_batches(df.sparkSession)
 
-    @arrow_udf("fingerprint long, node long, size int, prefix array<long>, slots binary")
+    @arrow_udf("fingerprint long, node long, size int, rare int, prefix array<long>, parities binary")
     def marked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        held("near copies", lambda: None)
         common, often = sent.value
         for texts in batches:
             rows = texts.to_pylist()
             sets = [shingles(t, words) for t in rows]
             print_ = np.array([simhash.fingerprint(t) for t in rows], np.uint64).view(np.int64)
             node = np.array([xxhash.xxh64_intdigest(s.tobytes(), simhash.SEED) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-            first = pa.array([prefix(s, common, often, similarity).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.StructArray.from_arrays([pa.array(print_), pa.array(node), pa.array([len(s) for s in sets], pa.int32()), first, pa.array([slots(s) for s in sets], pa.binary())], names=names)
+            first = [prefix(s, common, often, similarity) for s in sets]
+            cols = [pa.array(print_), pa.array(node), pa.array([len(s) for s in sets], pa.int32()), pa.array([r for _, r in first], pa.int32())]
+            yield pa.StructArray.from_arrays([*cols, pa.array([p.view(np.int64) for p, _ in first], pa.list_(pa.int64())), pa.array([parities(s) for s in sets], pa.binary())], names=names)
 
     return df.withColumn("_m", marked(F.col(text_col))).select(*df.columns, *[F.col(f"_m.{n}").alias(n) for n in names])
 
 
-def _may(n: Column, i: Column, m: Column, j: Column, similarity: float) -> Column:
-    """Whether sets of n and m shingles that share the ones at i and j of their order can be similar: those shared are before both or after both."""
+def shared_shingles(marked: DataFrame) -> DataFrame:
+    """A row for each text of a shingle in several prefixes, but the text of the smallest node: token, node, place, and the smallest's as head, head_place."""
+    sets = marked.where("size > 0").select("node", "rare", (F.col("size").cast("long") * PLACE).alias("_size"), "prefix")
+    own = sets.select("node", "_size", F.posexplode(F.slice("prefix", F.lit(1), F.col("rare"))).alias("_at", "token")).select("token", "node", (F.col("_size") + F.col("_at")).alias("place"))
+    w = Window.partitionBy("token").orderBy("node")
+    met = own.withColumns({"head": F.first("node").over(w), "head_place": F.first("place").over(w), "_before": F.lag("node").over(w)})
+    few = met.where((F.col("node") != F.col("head")) & (F.col("node") != F.col("_before"))).drop("_before")
+
+    late = sets.where(F.size("prefix") > F.col("rare")).select("node", "rare", "_size", F.posexplode(F.slice("prefix", F.col("rare") + 1, F.size("prefix"))).alias("_at", "token")).select("token", "node", (F.col("_size") + F.col("rare") + F.col("_at")).alias("place"))
+    heads = late.groupBy("token").agg(F.min(F.struct("node", "place")).alias("h")).select("token", F.col("h.node").alias("head"), F.col("h.place").alias("head_place"))
+    many = late.join(F.broadcast(heads), "token").where("node <> head").distinct()  # COMMON heads at most
+    return few.unionByName(many.select(few.columns))
+
+
+def _may(p: str, q: str, similarity: float) -> Column:
+    """Whether sets that share the shingles at two places of their order can be similar: those shared are before both or after both."""
+    n, m = (F.expr(f"{c} div {PLACE}") for c in (p, q))
+    i, j = (F.expr(f"{c} % {PLACE}") for c in (p, q))
     shared = F.least(i, j) + F.least(n - i, m - j)
     return shared >= similarity * (n + m - shared) - 1e-9
 
 
 def _similar(pairs: DataFrame, marked: DataFrame, keyed: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose whole sets are similar."""
+
     @arrow_udf("long")
-    def most(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for sides in batches:
-            yield pa.array(bound(*(np.frombuffer(b"".join(x.to_pylist()), np.uint16).reshape(-1, SLOTS) for x in sides)))
+    def least(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for a, b in batches:
+            yield pa.array(apart(a.to_pylist(), b.to_pylist()))
 
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    held = marked.join(asked, "node", "left_semi").groupBy("node").agg(F.first("size").alias("n"), F.first("slots").alias("s"))
+    held = marked.join(asked, "node", "left_semi").groupBy("node").agg(F.first("size").alias("n"), F.first("parities").alias("p"))
     for side in ("a", "b"):
-        pairs = pairs.join(held.withColumnsRenamed({"node": side, "n": f"n{side}", "s": f"s{side}"}), side)
-    most_ = pairs.withColumn("most", F.least(most("sa", "sb"), F.least("na", "nb")))
-    pairs = stage_table(most_.where(F.col("most") >= similarity * (F.col("na") + F.col("nb") - F.col("most")) - 1e-9).select("a", "b"), "bounded-pairs")
+        pairs = pairs.join(held.withColumnsRenamed({"node": side, "n": f"n{side}", "p": f"p{side}"}), side)
+    # similar sets differ in at most (1 - t) / (1 + t) of their sizes' sum
+    pairs = pairs.where(least("pa", "pb") <= (1 - similarity) / (1 + similarity) * (F.col("na") + F.col("nb")) + 1e-9).select("a", "b")
+    pairs = stage_table(pairs, "bounded-pairs")
 
     need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    one = marked.join(need, "node", "left_semi").groupBy("node").agg(F.min(F.struct("_k1", "_k2")).alias("m")).select("node", "m.*")
-    texts = keyed.select("_k1", "_k2", text_col).join(one, ["_k1", "_k2"]).dropDuplicates(["node"])
-    sets = stage_table(with_shingles(texts.select("node", text_col), text_col, "s", words).select("node", "s"), "shingle-sets")
+    one = stage_table(marked.join(need, "node", "left_semi").groupBy("node").agg(F.min(F.struct("_k1", "_k2")).alias("m")).select("node", "m.*"), "asked")
+    texts = keyed.select("_k1", "_k2", text_col).join(lookup_side(one), ["_k1", "_k2"])
+    sets = stage_table(with_shingles(texts.select("node", text_col), text_col, "s", words).select("node", "s").dropDuplicates(["node"]), "shingle-sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(shared / (F.size("sa") + F.size("sb") - shared) >= similarity).select("a", "b")
@@ -168,32 +218,31 @@ def near_copies(keyed: DataFrame, id_col: str, text_col: str, words: int = WORDS
         near = near.join(prints.select(F.col("fingerprint").alias(side), F.col("least").alias(f"_{side}")), side)
     fingers = same.unionByName(near.select(F.col("_a").alias("a"), F.col("_b").alias("b"))).where("a <> b")
 
-    sets = marked.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    w = Window.partitionBy("token")
-    placed = sets.select("node", "size", F.posexplode("prefix").alias("at", "token"))
-    shared = stage_table(placed.withColumns({"many": F.count(F.lit(1)).over(w), "c": F.min(F.struct("node", "size", "at")).over(w)}).where("many > 1"), "shared-shingles")
-    stars = shared.where((F.col("node") != F.col("c.node")) & _may(F.col("size"), F.col("at"), F.col("c.size"), F.col("c.at"), similarity))
-    stars = stage_table(stars.select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    edges = stage_table(fingers.unionByName(_similar(stars, marked, keyed, text_col, words, similarity)), "links")
-
-    # shingles whose texts aren't all connected: those outside the largest part against all
-    parts = stage_table(_rooted(shared.where("many > 2").select("token", "node", "size", "at"), edges), "parts")
+    shared = stage_table(shared_shingles(marked), "shared-shingles")
+    stars = stage_table(shared.where(_may("place", "head_place", similarity)).groupBy(F.col("head").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n")), "pairs")
+    # each text is held against the head it shares most with first, and against others only if that leaves them apart
+    first = stage_table(stars.groupBy("b").agg(F.max(F.struct("n", "a"))["a"].alias("a")).select("a", "b"), "first-pairs")
+    edges = stage_table(fingers.unionByName(_similar(first, marked, keyed, text_col, words, similarity)), "links")
+    apart_ = _rooted(stars.join(first, ["a", "b"], "left_anti").select("a", F.col("b").alias("node")), edges).select("a", F.col("node").alias("b"), F.col("root").alias("_b"))
+    apart_ = _rooted(apart_.withColumnRenamed("a", "node"), edges).where("root <> _b").select(F.col("node").alias("a"), "b")
+    edges = stage_table(edges.unionByName(_similar(stage_table(apart_, "pairs"), marked, keyed, text_col, words, similarity)), "links")
+
+    # shingles of three texts or more that aren't all connected: those outside the largest part against all; the head has been held against each
+    often = shared.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token")
+    parts = stage_table(_rooted(shared.join(often, "token", "left_semi").select("token", "node", "place"), edges), "parts")
     top = parts.groupBy("token", "root").count().groupBy("token").agg(F.max(F.struct("count", "root"))["root"].alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("token", "top")
     y = parts.join(top, "token")
-    x = y.where("root <> top").select("token", *[F.col(c).alias(f"_{c}") for c in ("node", "size", "at", "root")])
-    open_ = x.join(y, "token").where((F.col("_root") != F.col("root")) & ((F.col("root") == F.col("top")) | (F.col("_node") < F.col("node"))) & _may(F.col("_size"), F.col("_at"), F.col("size"), F.col("at"), similarity))
-    pairs = stage_table(open_.select(F.least("_node", "node").alias("a"), F.greatest("_node", "node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
+    x = y.where("root <> top").select("token", *[F.col(c).alias(f"_{c}") for c in ("node", "place", "root")])
+    open_ = x.join(y, "token").where((F.col("_root") != F.col("root")) & ((F.col("root") == F.col("top")) | (F.col("_node") < F.col("node"))) & _may("_place", "place", similarity))
+    pairs = stage_table(open_.select(F.least("_node", "node").alias("a"), F.greatest("_node", "node").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     more = stage_table(_similar(pairs, marked, keyed, text_col, words, similarity), "links")
     return _rooted(marked.select(id_col, "_k1", "_k2", "node"), edges.unionByName(more)).select(id_col, "_k1", "_k2", "root")
 
 
 def without_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """``df`` with one row of each component: the one with the smallest id, null ids last; of rows that share it, one.
+    """``df`` with one row of each component: the one with the smallest id, null ids last; of rows that share it, one (see ``keep_one``).
 
     Columns of ``df`` must not begin with _k.
     """
     keyed = df.select("*", *row_key(id_col, text_col))
-    found = near_copies(keyed, id_col, text_col, words, similarity)
-    first = found.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("_k1").alias("k1"), F.col("_k2").alias("k2"))).alias("m"))
-    kept = stage_table(first.select(F.col("m.k1").alias("_k1"), F.col("m.k2").alias("_k2")), "kept")
-    return keyed.join(kept, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).drop("_k1", "_k2")
+    return keep_one(keyed, near_copies(keyed, id_col, text_col, words, similarity), id_col)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -116,6 +119,9 @@ def held(key, make: Callable):
     """
     if key not in _HELD:
         _HELD.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # gives freed memory back where the C library can
+            ctypes.CDLL(None).malloc_trim(0)
         _HELD[key] = make()
     return _HELD[key]
 

@@ -34,10 +34,10 @@ from trackloom.llm.common import TwoAges, held, small_batches
 MARK = "▁"
 
 #: Words whose encodings a worker remembers, twice over at most; longer words are encoded anew.
-MEMO = 120_000
+MEMO = 50_000
 MEMO_CHARS = 48
 #: Pairs of tokens whose compatibility a worker remembers, twice over at most.
-MEMO_PAIRS = 120_000
+MEMO_PAIRS = 60_000
 
 
 def merged_by_rank(symbols: list[str], rank: dict[str, int]) -> list[tuple[str, str, str]]:

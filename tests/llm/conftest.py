@@ -65,9 +65,27 @@ def write(folder, docs, labels, bench, **extra):
     pq.write_table(table, folder / "documents.parquet", row_group_size=64)
     pq.write_table(pa.table({"doc_id": pa.array([x[0] for x in labels], pa.int64()), "quality": pa.array([x[1] for x in labels], pa.int32()), "toxic": pa.array([x[2] for x in labels], pa.int32())}), folder / "labels.parquet")
     pq.write_table(pa.table({"item_id": pa.array([x[0] for x in bench], pa.int64()), "text": pa.array([x[1] for x in bench], pa.string())}), folder / "benchmark.parquet")
+    vecs = embeddings() if docs else []
+    pq.write_table(pa.table({"vec_id": pa.array([v[0] for v in vecs], pa.int64()), "embedding": pa.array([v[1] for v in vecs], pa.list_(pa.float32())), "label": pa.array([v[2] for v in vecs], pa.int32()), **{k: pa.array([v] * len(vecs)) for k, v in extra.items()}}), folder / "embeddings.parquet", row_group_size=100)
     return str(folder)
 
 
+def embeddings(n=460, dims=6, seed=8):
+    """Vectors around four centres, a third of them copies of one; and odd ones."""
+    rnd = random.Random(seed)
+    mid = [[rnd.gauss(0, 0.5) for _ in range(dims)] for _ in range(4)]
+    out = [(i, mid[0] if i % 3 == 0 else [m + rnd.gauss(0, 0.2) for m in mid[i % 4]], i % 10 if i % 5 else 3) for i in range(n)]
+    odd = [None, [], [0.1] * (dims - 1), [float("nan")] + [0.0] * (dims - 1), [float("-inf")] + [0.0] * (dims - 1), [None] + [0.0] * (dims - 1)]
+    out += [(1000 + 50 * k, x, 1) for k, x in enumerate(odd)]
+    out += [(2000, mid[1], None), (2050, [0.0] * dims, 4), (2051, [-0.0] * dims, 4), (2100, [-m for m in mid[0]], 2), out[7], out[50], (None, mid[1], 6), (None, mid[2], 7)]
+    return out
+
+
+@pytest.fixture(scope="session")
+def vecs():
+    return embeddings()
+
+
 @pytest.fixture(scope="session")
 def rows():
     return corpus()
@@ -86,5 +104,5 @@ def sf_empty(tmp_path_factory):
 @pytest.fixture(scope="session")
 def sf_clash(rows, tmp_path_factory):
     """The same corpus with columns that are named like those of the operators."""
-    names = ("score", "predicted", "held_out", "n_tokens", "fingerprint", "component_id", "removed", "n_lines", "n_hit", "items", "spans", "kept", "_k1", "_words", "toxicity", "root", "starts", "lang_pred", "secrets", "anchor")
+    names = ("score", "predicted", "held_out", "n_tokens", "fingerprint", "component_id", "removed", "n_lines", "n_hit", "items", "spans", "kept", "_k1", "_words", "toxicity", "root", "starts", "lang_pred", "secrets", "anchor", "x", "id", "key", "list", "sketch", "next_text", "_bucket", "deviation")
     return write(tmp_path_factory.mktemp("clash"), *rows, **{n: "own" for n in names})

@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackloom.llm import decontam, langid, linededup, quality, secrets, shards, simhash, spbpe, tokencount, toxicity
+from trackloom.llm import decontam, langid, linededup, negatives, quality, secrets, shards, simhash, sketch, spbpe, succession, tokencount, toxicity, vectors, whitening
 from trackloom.llm.common import crc_fold, new_path, read_table
 
 PIECE_MODEL = "piece_bpe_32k.model"
 BYTE_MODEL = "byte_bpe_50k.json"
 TOKEN_LIMIT = 512
+#: Components that a row is whitened to, and the size from which on 256 times a component doesn't fit a long with room to spare.
+COMPONENTS, WHOLE = 4, float(1 << 52)
 
 
 def held_out(folds: int, fold: int):
@@ -89,5 +91,36 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text beside itself with the second half put in from the next document, and beside that document."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    paired = succession.with_next(docs, "doc_id", ("text",), {"text": "next_text", "sketch": "next_sketch"}, lambda df: sketch.with_sketch(df))
+    half = F.floor(F.length("text") / 2).cast("int")
+    edited = paired.select("*", F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
+    both = sketch.with_sketch(edited, "edited", "edited_sketch")
+    near = {"near_edited": sketch.resemblance("sketch", "edited_sketch"), "near_next": sketch.resemblance("sketch", "next_sketch"), "kept_in_edited": sketch.containment("sketch", "edited_sketch"), "n_shingles": sketch.distinct(F.col("sketch"))}
+    return both.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), sketch.spelled("sketch").alias("fingerprint"), sketch.spelled("edited_sketch").alias("edited_fingerprint"), *[c.alias(n) for n, c in near.items()])
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = read_table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = vectors.integer_vectors(own, "embedding").select(F.col("vec_id").alias("id"), moved.alias("label"), "x")
+    return negatives.mine(rows, F.col("id") % 50 == 0)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    rows = vectors.integer_vectors(own, "embedding", most=WHOLE).select("vec_id", "x")
+    made = whitening.fit(rows)
+    if made is None:
+        return spark.createDataFrame([], "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double")
+    model, once = made
+    explained = F.array(*map(F.lit, model.explained(COMPONENTS)))
+    spread = whitening.apply(rows, model, COMPONENTS, ("vec_id",)).select("vec_id", "deviation", F.posexplode("whitened").alias("k", "whitened"))
+    error = whitening.identity_error(once, model, COMPONENTS)
+    return spread.select("vec_id", (F.col("k") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", F.get(explained, F.col("k")).alias("explained"), F.lit(error).alias("identity_error"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_sentencepiece, op4_language, op5_secrets, op6_quality, op7_decontamination, op8_sharding, op9_simhash, op10_token_count)}
+    return {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_sentencepiece, op4_language, op5_secrets, op6_quality, op7_decontamination, op8_sharding, op9_simhash, op10_token_count, op11_fingerprints, op12_hard_negatives, op13_whitening)}

@@ -235,15 +235,34 @@ def test_frechet_walk_in_a_graph():
     assert freespace.least_distance(path, cut, "frechet", 1600) > 20
 
 
+def length_of(edges):
+    return sum(math.dist(e[:2], e[2:]) for e in edges)
+
+
 def test_incremental_map():
     first, second = np.array([[0.0, 0], [100, 0], [200, 0]]), np.array([[0.0, 2], [100, 3], [100, 100]])
-    g = incremental.constructed([first, second], 10.0)
-    ends = {frozenset((g.place[a], g.place[b])) for a, b in g.edges.values()}
-    assert any((100.0, 100.0) in e for e in ends)
-    total = sum(math.dist(g.place[a], g.place[b]) for a, b in g.edges.values())
-    assert 285 < total < 305  # the stretch that both drove is there once
-    again = incremental.constructed([first, first, first[::-1]], 10.0)
-    assert sum(math.dist(again.place[a], again.place[b]) for a, b in again.edges.values()) == pytest.approx(200, abs=1)
+    got = incremental.constructed([first, second], 10.0).edges()
+    assert any((100.0, 100.0) in (e[:2], e[2:]) for e in got)
+    # the stretch that both drove is there once; and a connecting edge of the reach's length
+    assert length_of(got) == pytest.approx(200 + 90 + 10, abs=0.2) and len(got) == 4
+    again = incremental.constructed([first, first, first[::-1]], 10.0).edges()
+    assert length_of(again) == pytest.approx(200, abs=1e-9) and len(again) == 2
+    above = incremental.constructed([first, first], 10.0, [np.zeros(3), np.full(3, 20.0)], 4.0).edges()
+    assert length_of(above) == pytest.approx(400)
+    assert incremental.constructed([first[:1], np.zeros((0, 2)), np.zeros((3, 2))], 10.0).edges() == []
+
+
+def test_tube_intervals_agree():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        a, b = rng.integers(-5, 6, (2, 2)).astype(float)
+        c, d = rng.integers(-5, 6, (2, 20, 2)).astype(float)
+        if (a == b).all():
+            continue
+        lo, hi = incremental.tube_intervals(a, b, c, d, 2.0)
+        for k in range(20):
+            one = curves.tube_interval(a, b, c[k], d[k], 2.0)
+            assert (one is None and lo[k] > hi[k]) or one == pytest.approx((lo[k], hi[k]), abs=1e-9)
 
 
 # clusters

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackloom.functions import codec, geo
-from trackloom.operators import cluster, graph, raster, sets, trajectories
+from trackloom.operators import cluster, common_map, graph, raster, sets, trajectories
 from trackloom.operators.raster import Grid
 from trackloom.plans.catalog_basic import TRACES, segments
 from trackloom.plans.catalog_scalar import BEARING
@@ -267,22 +267,18 @@ def walk_points(spark, d):
     return graph.walk_points(own, starts, 1000.0, 100.0).select("start", "n", thousandths(F.col("x")).alias("x"), thousandths(F.col("y")).alias("y"))
 
 
-def tiled_trips(spark, d, size):
-    """Trips in groups of so many, each a map of its own: these trips cross the whole area, so tiles of the ground would cut them up."""
-    t = metric_trips(spark, d)
-    return t.withColumn("tile", F.floor(F.col("trip") / size))
-
-
 @query("GR-15")
 def incremental_map(spark, d):
-    """Maps of groups of trips, built one trip after another."""
-    got = cluster.built_map(tiled_trips(spark, d, 4), 150.0)
-    return got.select("tile", "edge", *[F.round(c, 2).alias(c) for c in ("ax", "ay", "bx", "by")])
+    """One map of all trips, laid one after another."""
+    got = common_map.edges(*common_map.laid(metric_trips(spark, d), 150.0))
+    return got.select("trip", "seq", *[F.round(c, 2).alias(c) for c in ("ax", "ay", "bx", "by")])
 
 
 @query("GR-16")
 def edge_splits(spark, d):
-    return cluster.built_map(tiled_trips(spark, d, 2), 300.0).groupBy("tile").agg(F.count(F.lit(1)).alias("edges"))
+    """Laid segments that later trips met, with the number of edges that this cut them into."""
+    got = common_map.edges(*common_map.laid(metric_trips(spark, d), 300.0))
+    return got.groupBy("trip", "seq").agg(F.count(F.lit(1)).alias("edges")).where("edges > 1")
 
 
 def bearing_points(spark, d):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -37,3 +37,10 @@ def shared_path(spark: SparkSession, label: str) -> str:
         if named is None:
             named = spark._trackloom_folder = "file://" + tempfile.mkdtemp(prefix="trackloom-")
     return f"{named.rstrip('/')}/trackloom/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to a shared folder and read again: later plans begin there, however many rounds went before."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -70,7 +70,7 @@ def test_fit_of_a_bent_line():
     xy = np.stack([t, np.where(t < 50, 0.0, (t - 50) * 0.2)], 1)
     knots = curves.piecewise_fit(xy, 5)
     assert len(knots) == 5 and curves.to_segments(xy, knots).max() < 1.5
-    assert [curves.knots_for(np.array([[0.0, 0], [s, 0]] * n)) for s, n in ((400, 20), (250, 20), (100, 20), (20, 20), (400, 1))] == [6, 4, 3, 2, 2]
+    assert [curves.knots_for(np.array([[0.0, 0], [s, 0]] * n)) for s, n in ((800, 20), (500, 20), (200, 20), (40, 20), (800, 1))] == [6, 4, 3, 2, 2]
 
 
 @settings(max_examples=100, deadline=None)
@@ -283,7 +283,22 @@ def test_density_clusters():
     assert len(set(label[:15])) == 1 and len(set(label[15:30])) == 1 and label[0] != label[15] and label[-1] == -1
 
 
-def test_midpoints_and_contraction():
+def test_midpoints():
     assert len(cluster.midpoints(np.zeros(2), np.array([35.0, 0]), 10)) == 5
-    place, tree = cluster.contracted(np.array([[0.0, 0], [10, 1], [10, -1], [20, 0]]), [(0, 1), (0, 2), (1, 3), (2, 3)], 0, 15, 5)
-    assert len(tree) == 2 and np.isnan(place[1]).all() and place[4].tolist() == [10, 0]
+
+
+def test_knots_by_distance_from_the_mean():
+    box = np.stack(np.meshgrid(np.linspace(0, 200, 10), np.linspace(0, 150, 6)), -1).reshape(-1, 2)  # 125 m from the mean, 250 across
+    assert [curves.knots_for(box * f) for f in (0.3, 1, 2, 4)] == [2, 3, 4, 6] and curves.knots_for(np.repeat(box[:1], 9, axis=0)) == 2
+
+
+def test_ball_and_contraction():
+    place = {k: (10.0 * k, 0.0) for k in range(8)} | {20: (0.0, 15.0)}
+    links = [(k, k + 1) for k in range(7)] + [(0, 20)]
+    near = {k: {b if a == k else a for a, b in links if k in (a, b)} for k in place}
+    # walks by breadth: 0, 1, 20, 2 lie below 25; 3, at 30, ends it
+    assert cluster.ball(0, place, near, lambda q: True, 25.0) == ([0, 1, 20, 2], True)
+    assert cluster.ball(6, place, near, lambda q: q > 4, 25.0) == ([6, 5, 7], False)
+    gone, came = cluster.contract_all([0, 6], place, {k: set(v) for k, v in near.items()}, set(place), 25.0, 3)
+    assert gone == {0, 2, 20} and came == {(1, 3)}
+    assert cluster.contract_all([0], place, {k: set(v) for k, v in near.items()}, set(place), 25.0, 4) == (set(), set())

@@ -216,6 +216,8 @@ def test_chains_and_walks(spark):
     e = frame(spark, [(1, 2), (2, 3), (3, 4), (4, 5), (4, 6), (10, 11), (11, 12), (12, 10)], "source long, target long")
     got = {(r.source, r.target, r.edges) for r in graph.chains(e).collect()}
     assert got == {(1, 4, 3), (4, 5, 1), (4, 6, 1), (None, None, 3)}
+    far = frame(spark, [(1, (1 << 31) + 5), (2, 5), (10**10, 10**10 + 1), (10**10 + 1, -(10**17))], "source long, target long")
+    assert {(r.source, r.target, r.edges) for r in graph.chains(far).collect()} == {(1, (1 << 31) + 5, 1), (2, 5, 1), (-(10**17), 10**10, 2)}
     assert sorted(tuple(r.nodes) for r in graph.walks(e.where("source < 5"), 2).collect()) == [(1, 2, 3), (2, 3, 4), (3, 4, 5), (3, 4, 6)]
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import deque
 
 import numpy as np
 
@@ -21,47 +22,57 @@ def representatives(xy: np.ndarray, bearing: np.ndarray, order: np.ndarray, radi
     return np.array(out, int)
 
 
-def contracted(xy: np.ndarray, links: list[tuple[int, int]], start: int, radius: float, delta: float) -> tuple[np.ndarray, set[tuple[int, int]]]:
-    """Breadth-first contraction of a point graph into a road tree.
+Place = tuple[float, float]
 
-    From each node reached, in order, its unvisited neighbours within ``radius`` that
-    lie within ``delta`` of each other are replaced by their centre, which is linked
-    to the node and visited next. Returns places of the remaining nodes (indices from
-    the first ``len(xy)`` on are centres; others are NaN) and the links between them.
+
+def ball(seed: int, place: dict[int, Place], near: dict[int, set[int]], free, reach: float) -> tuple[list[int], bool]:
+    """Free nodes met from a seed in order of breadth, by walks shorter than ``reach``; and whether a free node at a walk of ``reach`` or more ended that.
+
+    Walks go by straight lengths along the links by which nodes were met.
+    """
+    met, queue, taken = {seed}, deque([(seed, 0.0)]), []
+    while queue:
+        p, far = queue.popleft()
+        if far >= reach:
+            return taken, True
+        taken.append(p)
+        for q in sorted(near.get(p, ())):
+            if q not in met and free(q):
+                met.add(q)
+                queue.append((q, far + math.dist(place[p], place[q])))
+    return taken, False
+
+
+def centre_member(nodes: list[int], place: dict[int, Place]) -> int:
+    """The node nearest the mean of all, the smallest of equally near ones."""
+    xy = np.array([place[p] for p in nodes])
+    far = np.round(np.hypot(*(xy - xy.mean(axis=0)).T), 9)
+    return min(zip(far, nodes, strict=True))[1]
+
+
+def contract_all(seeds: list[int], place: dict[int, Place], near: dict[int, set[int]], free: set[int], reach: float, delta: int) -> tuple[set[int], set[tuple[int, int]]]:
+    """Seeds in turn, those that are still free, take their balls; a ball that was ended and has more than ``delta`` nodes becomes its centre member, linked to all neighbours of the ball.
+
+    ``near`` and ``free`` are changed. Returns the nodes that went and the links that came.
     """
-    place = [tuple(map(float, p)) for p in xy]
-    near: dict[int, set[int]] = {i: set() for i in range(len(xy))}
-    for a, b in links:
-        near[a].add(b)
-        near[b].add(a)
-    gone, seen, tree = set(), set(), set()
-    starts = [start, *range(len(xy))]
-    for s in starts:
-        if s in seen or s in gone:
+    gone, links = set(), set()
+    for s in seeds:
+        if s not in free:
             continue
-        queue = [s]
-        seen.add(s)
-        while queue:
-            u = queue.pop(0)
-            around = sorted(v for v in near[u] if v not in seen and v not in gone and math.dist(place[u], place[v]) <= radius)
-            while around:
-                v = around.pop(0)
-                group = [v, *[w for w in around if math.dist(place[v], place[w]) <= delta]]
-                around = [w for w in around if w not in group]
-                if len(group) > 1:
-                    c = len(place)
-                    place.append(tuple(sum(place[g][k] for g in group) / len(group) for k in (0, 1)))
-                    near[c] = set().union(*(near[g] for g in group)) - set(group)
-                    for w in near[c]:
-                        near[w].add(c)
-                    gone.update(group)
-                    v = c
-                seen.add(v)
-                tree.add((u, v))
-                queue.append(v)
-    out = np.array(place, float)
-    out[sorted(gone)] = np.nan
-    return out, tree
+        taken, ended = ball(s, place, near, free.__contains__, reach)
+        free.difference_update(taken)
+        if ended and len(taken) > delta:
+            c = centre_member(taken, place)
+            around = set().union(*(near[p] for p in taken)) - set(taken)
+            for p in taken:
+                for q in near.pop(p):
+                    near[q].discard(p) if q in near else None
+            near[c] = around
+            gone.update(set(taken) - {c})
+            for q in around:
+                near.setdefault(q, set()).add(c)
+                links.add((min(c, q), max(c, q)))
+    return gone, {x for x in links if not set(x) & gone}
 
 
 def turn_clusters(xy: np.ndarray, entry: np.ndarray, leave: np.ndarray, extent: np.ndarray, degrees: float = 15.0) -> np.ndarray:

@@ -148,14 +148,14 @@ def paths_within(pairs: DataFrame, edges: DataFrame, limit: float, size: float =
 
 
 def chains(edges: DataFrame) -> DataFrame:
-    """Undirected edges (source, target) contracted over nodes of degree two: chain, source, target, edges, where chain is its smallest edge.
+    """Undirected edges (source, target) contracted over nodes of degree two: chain, source, target, edges, where chain is its smallest edge, a pair (s, t).
 
     Edges that share a node of degree two are one component; ends are the nodes of
     it with other degrees. Rings without such a node have no ends.
     """
     from trackloom.operators.aggregates import degrees
 
-    own = edges.select(F.least("source", "target").alias("s"), F.greatest("source", "target").alias("t")).distinct().withColumn("e", F.col("s") * F.lit(1 << 31) + F.col("t"))
+    own = edges.select(F.least("source", "target").alias("s"), F.greatest("source", "target").alias("t")).distinct().withColumn("e", F.struct("s", "t"))  # a pair: ids may be any longs
     deg = degrees(edges)
     ends = own.select("e", F.explode(F.array("s", "t")).alias("node_id"))
     through = ends.join(deg.where("degree = 2"), "node_id").groupBy("node_id").agg(F.min("e").alias("a"), F.max("e").alias("b")).where("a < b")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from trackloom.functions import plane
-from trackloom.kernels import curves, planegraph
+from trackloom.kernels import curves
+from trackloom.operators import plane_graphs as plane_graphs_of
 from trackloom.plans.registry import query
 from trackloom.plans.relations import micro, points2d, sql, u
 
@@ -29,19 +29,25 @@ def plane_functions(spark, d):
     return own.select("id", micro(F.col("s")).alias("area"), micro(plane.polygon_centroid(poly)["x"]).alias("cx"), plane.is_ccw(a, b, c).alias("turn"), micro(plane.line_distance(c, plane.line(a, b))).alias("off"), micro(plane.bounds(poly)["x0"]).alias("x0"), micro(plane.bounds(poly)["y1"]).alias("y1"))
 
 
-@query("GR-17")
-def plane_graphs(spark, d):
-    """Edges of four graphs over blocks of points; the tests hold them against their definitions."""
+PLANE = ", pt AS (SELECT min(id) AS id, x, y FROM points2d GROUP BY x, y), pr AS (SELECT a.id AS a, b.id AS b, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS length FROM pt a JOIN pt b ON a.id < b.id)"
+#: The circles through a and b have their centres on a line; each other point rules out all beyond one place on it.
+EMPTY = ", ct AS (SELECT pr.a, pr.b, (bx - ax) * (c.y - ay) - (b_y - ay) * (c.x - ax) AS side, (c.x - ax) * (c.x - bx) + (c.y - ay) * (c.y - b_y) AS dot FROM pr JOIN pt c ON c.id <> pr.a AND c.id <> pr.b), de AS (SELECT a, b, bool_and(dot >= 0) AS gabriel FROM ct GROUP BY a, b HAVING coalesce(max(-dot / side) FILTER (side > 0), -1e300) <= coalesce(min(-dot / side) FILTER (side < 0), 1e300))\n"
 
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        xy = pdf[["x", "y"]].to_numpy(float)
-        graphs = {"tree": planegraph.spanning_tree(xy), "delaunay": planegraph.triangle_edges(planegraph.delaunay(xy)), "gabriel": planegraph.gabriel(xy), "nearest": planegraph.nearest_graph(xy, 2)}
-        rows = [(pdf["block"].iloc[0], kind, int(pdf["id"][a]), int(pdf["id"][b])) for kind, es in graphs.items() for a, b in sorted(es)]
-        return pd.DataFrame(rows, columns=["block", "graph", "a", "b"])
 
-    own = points2d(spark, d).withColumn("block", F.floor(F.col("id") / 200))
-    return own.select("block", "id", "x", "y").groupBy("block").applyInPandas(each, "block long, graph string, a long, b long")
+@query("GR-17", sql("points2d", PLANE + EMPTY + f"SELECT a, b, gabriel, {u('length')} AS length FROM de JOIN pr USING (a, b)"))
+def plane_graphs(spark, d):
+    """Delaunay edges of all points, marked where they are in the Gabriel graph."""
+    own = plane_graphs_of.placed(points2d(spark, d))
+    got = plane_graphs_of.edges_of(plane_graphs_of.delaunay(own), own)
+    return got.select("a", "b", "gabriel", micro(F.col("length")).alias("length"))
+
+
+@query("GR-17-tree")
+def whole_tree(spark, d):
+    """The minimum spanning tree of all points."""
+    own = plane_graphs_of.placed(points2d(spark, d))
+    got = plane_graphs_of.spanning_tree(plane_graphs_of.edges_of(plane_graphs_of.delaunay(own), own))
+    return got.select("a", "b", micro(F.col("length")).alias("length"))
 
 
 @query("GE-23-hulls")

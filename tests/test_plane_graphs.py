@@ -51,3 +51,34 @@ def test_grids_and_repeated_points(spark):
     assert plane_graphs.delaunay(few).collect() == [] and plane_graphs.delaunay(few.limit(0)).collect() == []
     odd = spark.createDataFrame([(1, None, 1.0), (None, 1.0, 1.0), (2, float("nan"), 0.0)], "id long, x double, y double")
     assert plane_graphs.placed(odd).collect() == []
+
+
+def cell_by_hand(xy, k, box):
+    x0, y0, x1, y1 = box
+    cell = np.array([[x0, y0], [x1, y0], [x1, y1], [x0, y1]], float)
+    for j in range(len(xy)):
+        if j != k:
+            cell = planegraph.nearer_part(cell, xy[k], xy[j])
+    x, y = cell.T
+    return abs((x * np.roll(y, -1) - y * np.roll(x, -1)).sum() / 2)
+
+
+def test_cells_fill_the_box(spark):
+    xy, box = clustered(), (-50.0, -20.0, 1100.0, 1010.0)
+    got = {r.id: r for r in plane_graphs.voronoi_cells(frame(spark, xy), box, 40).collect()}
+    assert sum(r.area for r in got.values()) == pytest.approx(1150 * 1030, rel=1e-6)
+    for k in range(0, len(xy), 9):
+        assert got[k].area == pytest.approx(cell_by_hand(xy, k, box), rel=1e-4, abs=1e-4)
+    two = plane_graphs.voronoi_cells(frame(spark, [(0, 0), (10, 0)]), (-10.0, 0.0, 20.0, 10.0)).collect()
+    assert [r.area for r in sorted(two)] == [150.0, 150.0]
+
+
+def test_relative_neighbours_and_centroids(spark):
+    xy = clustered()
+    df = frame(spark, xy)
+    edges = plane_graphs.edges_of(plane_graphs.delaunay(df), df)
+    assert {(r.a, r.b) for r in plane_graphs.relative_neighbours(edges, df).collect()} == planegraph.relative_neighbours(xy)
+    germs = df.where("id % 20 = 0")
+    got = {r.id: (r.x, r.y) for r in plane_graphs.centroidal(germs, df.withColumnRenamed("id", "sample"), 2, 10.0).collect()}
+    want = planegraph.relaxed(xy[::20], xy, 2)
+    assert all(got[20 * k] == pytest.approx(tuple(w)) for k, w in enumerate(want)) and len(got) == len(want)

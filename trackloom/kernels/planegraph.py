@@ -157,3 +157,16 @@ def clipped_polygon(poly: np.ndarray, window: np.ndarray) -> np.ndarray:
                 new.append(p)
         out = new
     return np.array(out, float).reshape(-1, 2)
+
+
+def nearer_part(poly: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Part of a convex polygon that is at least as near to ``p`` as to ``q``."""
+    side = (poly - (p + q) / 2) @ (q - p)
+    out = []
+    for k in range(len(poly)):
+        s, t = side[k - 1], side[k]
+        if (s <= 0) != (t <= 0):
+            out.append(poly[k - 1] + (poly[k] - poly[k - 1]) * (s / (s - t)))
+        if t <= 0:
+            out.append(poly[k])
+    return np.array(out, float).reshape(-1, 2)

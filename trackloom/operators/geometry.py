@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,9 @@ from trackloom.functions import geo
 from trackloom.kernels import curves
 from trackloom.operators.joins import cell, nearest, within_box
 
+#: Groups whose hulls a task holds at once.
+MOST_GROUPS = 1000
+
 
 def _cells(df: DataFrame, size: float, ends: tuple[str, str, str, str], margin: float = 0.0) -> DataFrame:
     ax, ay, bx, by = (F.col(c) for c in ends)
@@ -180,3 +183,29 @@ def grouped_points(df: DataFrame, key: str, f: Callable[[np.ndarray], np.ndarray
     return df.select(key, order, "x", "y").groupBy(key).applyInPandas(each, f"{key} {kind}, n long, x double, y double")
 
 
+def hull_members(df: DataFrame, key: str, order: str = "id") -> DataFrame:
+    """Rows (key, order, x, y) that may be corners of their group's convex hull: the corners of the hulls that each task sees.
+
+    Hull and smallest box of a group are those of these rows, a few from each task
+    however many points the group has.
+    """
+
+    def corners(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) < 4:
+            return pdf
+        kept = set(map(tuple, curves.hull(pdf[["x", "y"]].to_numpy(float))))
+        return pdf[[p in kept for p in zip(pdf["x"], pdf["y"], strict=True)]]
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for pdf in batches:
+            for k, own in pdf.groupby(key, sort=False, dropna=False):
+                held[k] = corners(own if k not in held else pd.concat([held[k], own]))
+            if len(held) > MOST_GROUPS:  # many groups: what is held goes on
+                yield pd.concat(held.values())
+                held = {}
+        if held:
+            yield pd.concat(held.values())
+
+    own = df.select(key, order, "x", "y")
+    return own.mapInPandas(each, own.schema)

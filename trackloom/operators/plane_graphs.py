@@ -208,3 +208,72 @@ def spanning_tree(edges: DataFrame, few: int = FEW) -> DataFrame:
         roots = written(graph.components(taken.select(F.col("p").alias("a"), F.col("q").alias("b"))), "tree-roots")
         rooted = lambda k, df: df.join(roots.select(F.col("node").alias(k), F.col("root").alias(f"{k}_")), k).drop(k).withColumnRenamed(f"{k}_", k)
         left = written(rooted("q", rooted("p", left)).where("p != q").select("a", "b", "length", "p", "q"), "tree-edges")
+
+
+def relative_neighbours(edges: DataFrame, points: DataFrame) -> DataFrame:
+    """Those of the Delaunay edges (a, b, length) with no point closer to both ends than they are to each other.
+
+    A point that breaks this for an edge lies within its length of one end; candidates are
+    the points in the cells around the edge's middle, of the size of the longest edge of its class.
+    """
+    place = lambda k: points.select(F.col("id").alias(k), F.col("x").alias(f"{k}x"), F.col("y").alias(f"{k}y"))
+    own = edges.select("a", "b", "length").where("gabriel") if "gabriel" in edges.columns else edges.select("a", "b", "length")
+    own = own.join(place("a"), "a").join(place("b"), "b").withColumn("level", F.ceil(F.log2("length")).cast("int"))
+    size = F.pow(F.lit(2.0), F.col("level"))
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    asked = own.withColumn("_d", around).withColumns({"_cx": F.floor((F.col("ax") + F.col("bx")) / 2 / size) + F.col("_d.i"), "_cy": F.floor((F.col("ay") + F.col("by")) / 2 / size) + F.col("_d.j")})
+    levels = own.select("level").distinct()  # one for each doubling of length
+    dealt = points.join(F.broadcast(levels)).select("level", F.col("id").alias("c"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.floor(F.col("x") / size).alias("_cx"), F.floor(F.col("y") / size).alias("_cy"))
+    met = asked.join(dealt, ["level", "_cx", "_cy"]).where((F.col("c") != F.col("a")) & (F.col("c") != F.col("b")))
+    far = F.greatest(F.hypot(F.col("cx") - F.col("ax"), F.col("cy") - F.col("ay")), F.hypot(F.col("cx") - F.col("bx"), F.col("cy") - F.col("by")))
+    return edges.join(own.select("a", "b"), ["a", "b"], "left_semi").join(met.where(far < F.col("length") * (1 - 1e-12)).select("a", "b").distinct(), ["a", "b"], "left_anti")
+
+
+def voronoi_cells(points: DataFrame, box: tuple[float, float, float, float], tile: int = TILE) -> DataFrame:
+    """The part of ``box`` (x0, y0, x1, y1) nearest to each point (id, x, y): id, area, corners (array of x, y, anticlockwise).
+
+    A cell is the box cut along the bisectors to the point's Delaunay neighbours alone.
+    Points without neighbours, as there are fewer than three, are cut along those to all.
+    """
+    own = placed(points)
+    triangles = written(delaunay(own, tile), "cell-triangles")
+    if triangles.isEmpty():  # fewer than three points, or all in a line
+        line = own.count()
+        if line > 2:
+            raise ValueError("points in a line have no triangles")
+        pairs = own.select(F.col("id").alias("a")).join(own.select(F.col("id").alias("b"))).where("a != b")
+    else:
+        sides = triangles.select(F.explode(F.array(*[F.struct(F.col(p).alias("a"), F.col(q).alias("b")) for p in "abc" for q in "abc" if p != q])).alias("e"))
+        pairs = sides.select("e.*").distinct()
+    other = own.select(F.col("id").alias("b"), "x", "y")
+    around = pairs.join(other, "b").groupBy(F.col("a").alias("id")).agg(F.collect_list(F.struct("x", "y")).alias("near"))  # as many as the cell has sides
+    sites = own.join(around, "id", "left").select("id", "x", "y", F.coalesce(F.transform("near", lambda p: p["x"]), F.array().cast("array<double>")).alias("nx"), F.coalesce(F.transform("near", lambda p: p["y"]), F.array().cast("array<double>")).alias("ny"))
+    x0, y0, x1, y1 = box
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = np.array([[x0, y0], [x1, y0], [x1, y1], [x0, y1]], float)
+        for pdf in batches:
+            rows = []
+            for i, x, y, nx, ny in pdf.itertuples(index=False):
+                cell, p = frame, np.array([x, y])
+                for q in sorted(zip(nx, ny, strict=True), key=lambda q: math.dist(p, q)):
+                    cell = planegraph.nearer_part(cell, p, np.array(q))
+                turned = np.roll(cell, -1, axis=0)
+                area = float((cell[:, 0] * turned[:, 1] - cell[:, 1] * turned[:, 0]).sum() / 2) if len(cell) > 2 else 0.0
+                rows.append((i, area, [{"x": float(u), "y": float(v)} for u, v in cell]))
+            yield pd.DataFrame(rows, columns=["id", "area", "corners"])
+
+    return sites.mapInPandas(each, "id long, area double, corners array<struct<x:double,y:double>>")
+
+
+def centroidal(germs: DataFrame, samples: DataFrame, rounds: int, reach: float) -> DataFrame:
+    """Germs (id, x, y) moved, a round at a time, to the mean of the samples (sample, x, y) that are nearest to them; germs without samples stay."""
+    from trackloom.operators import joins
+
+    seen = samples.select("sample", F.col("x").alias("sx"), F.col("y").alias("sy"))
+    now = written(germs.select("id", "x", "y"), "germs")
+    for _ in range(rounds):
+        own = joins.nearest(seen, now, "sample", "id", ("sx", "sy"), ("x", "y"), reach).select("sample", "id")
+        moved = own.join(seen, "sample").groupBy("id").agg(F.avg("sx").alias("mx"), F.avg("sy").alias("my"))
+        now = written(now.join(moved, "id", "left").select("id", F.coalesce("mx", "x").alias("x"), F.coalesce("my", "y").alias("y")), "germs")
+    return now

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import plane
 from trackloom.kernels import curves
+from trackloom.operators import geometry
 from trackloom.operators import plane_graphs as plane_graphs_of
 from trackloom.plans.registry import query
 from trackloom.plans.relations import micro, points2d, sql, u
@@ -50,9 +51,30 @@ def whole_tree(spark, d):
     return got.select("a", "b", micro(F.col("length")).alias("length"))
 
 
+@query("GR-17-relative", sql("points2d", PLANE + f"\nSELECT a, b, {u('length')} AS length FROM pr WHERE NOT EXISTS (SELECT 1 FROM pt c WHERE c.id <> a AND c.id <> b AND sqrt((c.x - ax) * (c.x - ax) + (c.y - ay) * (c.y - ay)) < length * (1 - 1e-12) AND sqrt((c.x - bx) * (c.x - bx) + (c.y - b_y) * (c.y - b_y)) < length * (1 - 1e-12))"))
+def relative_graph(spark, d):
+    """Pairs of points with no third one closer to both."""
+    own = plane_graphs_of.placed(points2d(spark, d))
+    got = plane_graphs_of.relative_neighbours(plane_graphs_of.edges_of(plane_graphs_of.delaunay(own), own), own)
+    return got.select("a", "b", micro(F.col("length")).alias("length"))
+
+
+@query("GR-17-cells")
+def cells(spark, d):
+    """Voronoi cells of all points in a box that holds them."""
+    got = plane_graphs_of.voronoi_cells(points2d(spark, d), (-100.0, -100.0, 100.0, 100.0))
+    return got.select("id", F.size("corners").cast("long").alias("corners"), micro(F.col("area")).alias("area"))
+
+
+@query("GR-17-centroidal", sql("points2d", ", g AS (SELECT id, x, y FROM points2d WHERE grp = 0), r AS (SELECT p.id AS s, p.x, p.y, g.id FROM points2d p JOIN g ON true QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY sqrt((p.x - g.x) * (p.x - g.x) + (p.y - g.y) * (p.y - g.y)), g.id) = 1), h AS (SELECT g.id, coalesce(avg(r.x), any_value(g.x)) AS x, coalesce(avg(r.y), any_value(g.y)) AS y FROM g LEFT JOIN r ON r.id = g.id GROUP BY g.id)\n" + f"SELECT id, {u('x')} AS x, {u('y')} AS y FROM h"))
+def centroidal_round(spark, d):
+    """A round of centroidal tessellation: the points of one group move to the mean of all points nearest to them."""
+    own = points2d(spark, d)
+    got = plane_graphs_of.centroidal(own.where("grp = 0"), own.withColumnRenamed("id", "sample"), 1, 4.0)
+    return got.select("id", micro(F.col("x")).alias("x"), micro(F.col("y")).alias("y"))
+
+
 @query("GE-23-hulls")
 def hulls(spark, d):
-    from trackloom.operators.geometry import grouped_points
-
-    got = grouped_points(points2d(spark, d), "grp", curves.hull, "id")
+    got = geometry.grouped_points(geometry.hull_members(points2d(spark, d), "grp"), "grp", curves.hull, "id")
     return got.select("grp", "n", micro(F.col("x")).alias("x"), micro(F.col("y")).alias("y"))

@@ -148,7 +148,7 @@ def chained(spark, d):
 @query("RA-18")
 def skeleton_lines(spark, d):
     own = raster.blobs(thinning(spark, d)).withColumn("id", F.col("row") * 100_000 + F.col("col")).select("blob", "id", F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"))
-    return cluster.fitted(own, "blob", "id").select("blob", "n", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+    return cluster.fitted(own, "blob").select("blob", "n", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
 @query("GR-01", sql("nodes links", "SELECT node_id FROM nodes WHERE node_id IN (SELECT source FROM links) OR node_id IN (SELECT target FROM links)"))
@@ -345,7 +345,7 @@ def density_clusters(spark, d):
 
 @query("CV-01")
 def piecewise_fit(spark, d):
-    return cluster.fitted(points2d(spark, d), "grp", "id").select("grp", "n", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+    return cluster.fitted(points2d(spark, d), "grp").select("grp", "n", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
 # files: each query writes its relation, reads it again and returns what it read

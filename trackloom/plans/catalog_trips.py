@@ -410,7 +410,7 @@ def average_vertical(spark, d):
 def smallest_boxes(spark, d):
     from trackloom.kernels import curves
 
-    got = geometry.grouped_points(points2d(spark, d), "grp", curves.smallest_box, "id")
+    got = geometry.grouped_points(geometry.hull_members(points2d(spark, d), "grp"), "grp", curves.smallest_box, "id")
     return got.select("grp", "n", thousandths(F.col("x")).alias("x"), thousandths(F.col("y")).alias("y"))
 
 

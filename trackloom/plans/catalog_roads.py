@@ -332,7 +332,7 @@ def turn_types(spark, d):
 def turn_clusters(spark, d):
     """Held against the sequential choice over all turns in the tests."""
     own = turns(spark, d).select(F.col("event_id").alias("id"), (F.col("lon") * 83044.98918812413).alias("x"), (F.col("lat") * 111070.34306591158).alias("y"), "heading_in", "heading_out", (20 + F.col("value") % 60).alias("extent"))
-    return cluster.intersections(own).select("cluster", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "n")
+    return cluster.intersections(own).select("cluster", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "n", "crossings")
 
 
 NEAR60 = ", p AS (SELECT event_id AS id, lon * 83044.98918812413e0 AS x, lat * 111070.34306591158e0 AS y, value % 360 AS bearing FROM gps), nr AS (SELECT p.id AS a, q.id AS b FROM p JOIN p q ON q.x BETWEEN p.x - 30 AND p.x + 30 AND q.y BETWEEN p.y - 30 AND p.y + 30 WHERE sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) <= 30 AND least(abs(p.bearing - q.bearing) % 360, 360 - abs(p.bearing - q.bearing) % 360) <= 20), co AS (SELECT a AS id FROM nr GROUP BY a HAVING count(*) >= 3), pr AS (SELECT a, b FROM nr WHERE a < b AND a IN (SELECT id FROM co) AND b IN (SELECT id FROM co)), "

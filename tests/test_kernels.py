@@ -10,7 +10,8 @@ from hypothesis import strategies as st
 
 from trackloom.kernels import cluster, curves, freespace, incremental, matching
 from trackloom.kernels import raster as pixels
-from trackloom.operators.graph import dijkstra, refined, route, spread_points
+from trackloom.operators.graph import dijkstra, route, spread_points
+from trackloom.operators.short_edges import collapsed_in_turn
 from trackloom.sources import png, shapefile
 
 A, B = np.array([[0.0, 0], [1, 0], [2, 0]]), np.array([[0.0, 1], [1, 2], [2, 1]])
@@ -215,14 +216,13 @@ def test_spread_points():
     assert spread_points(heads, place, 1, 100, 4).tolist() == [[0, 0], [4, 0], [8, 0]]
 
 
-def test_refined_collapses_unless_traces_suffer():
-    place = {1: (0.0, 0.0), 2: (30.0, 0.0), 3: (200.0, 0.0), 4: (-200.0, 0.0)}
-    edges = {(1, 2), (2, 3), (1, 4)}
-    new, kept = refined(place, edges, [])
-    assert len(kept) == 2 and new[1] == (15.0, 0.0)
-    bent = {1: (0.0, 0.0), 2: (0.0, 49.0), 3: (200.0, 49.0), 4: (-200.0, 0.0)}
-    trace = np.array([(x, 0.0) for x in range(-200, 1, 10)] + [(x, 49.0) for x in range(0, 201, 10)])
-    assert len(refined(bent, edges, [trace], 50, 5.0)[1]) == 3
+def test_short_edges_collapse_unless_traces_suffer():
+    place, edges = {1: (0.0, 0.0), 2: (30.0, 0.0), 3: (200.0, 0.0), 4: (-200.0, 0.0)}, {1: (1, 2), 2: (2, 3), 3: (1, 4)}
+    assert collapsed_in_turn(place, edges, {}, 50.0, 12.0) == [1]
+    assert edges == {2: (1, 3), 3: (1, 4)} and place[1] == (15.0, 0.0)
+    bent, edges = {1: (0.0, 0.0), 2: (0.0, 49.0), 3: (200.0, 49.0), 4: (-200.0, 0.0)}, {1: (1, 2), 2: (2, 3), 3: (1, 4)}
+    trace = np.array([(x, 0.0) for x in range(-200, 1, 10)])
+    assert collapsed_in_turn(bent, edges, {3: [trace]}, 50.0, 5.0) == [1] and len(edges) == 3
 
 
 def test_frechet_walk_in_a_graph():

@@ -251,40 +251,6 @@ def pruned(traces: DataFrame, most_rmse: float, least_traces: int = 2) -> DataFr
     return supported(kept, "segment_id", "trace_id", least_traces)
 
 
-def refined(place: dict[int, tuple[float, float]], edges: set[tuple[int, int]], traces: list[np.ndarray], most: float = 50.0, worst: float = 12.0) -> tuple[dict[int, tuple[float, float]], set[tuple[int, int]]]:
-    """Short edges collapsed to their middles, shortest first; undone if any trace near them fits worse than ``worst`` (RMSE) afterwards."""
-    from trackloom.kernels.curves import to_segments
-
-    place, edges, tried = dict(place), {tuple(sorted(e)) for e in edges}, set()
-
-    def length(e: tuple[int, int]) -> float:
-        return math.dist(place[e[0]], place[e[1]])
-
-    while True:
-        short = sorted((length(e), e) for e in edges if e not in tried and length(e) <= most)
-        if not short:
-            return place, edges
-        e = short[0][1]
-        tried.add(e)
-        a, b = e
-        middle = tuple((p + q) / 2 for p, q in zip(place[a], place[b], strict=True))
-        new_place = {n: p for n, p in place.items() if n != b} | {a: middle}
-        new_edges = {tuple(sorted((a if x == b else x for x in f))) for f in edges if f != e}
-        new_edges = {f for f in new_edges if f[0] != f[1]}
-        near = [f for f in new_edges if a in f]
-        segs = [np.array([new_place[f[0]], new_place[f[1]]]) for f in (near or [])]
-        ok = True
-        if segs:
-            for t in traces:
-                d = np.min([to_segments(t, s) for s in segs], axis=0)
-                if d.min() <= most and math.sqrt(float(np.mean(d[d <= most] ** 2))) > worst:
-                    ok = False
-                    break
-        if ok:
-            place, edges = new_place, new_edges
-            tried = {tuple(sorted(a if x == b else x for x in f)) for f in tried}
-
-
 def callbacks(df: DataFrame, key: str, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """A user's function on each group."""
     return df.groupBy(key).applyInPandas(f, schema)

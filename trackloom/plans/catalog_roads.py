@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackloom.functions import codec, geo
-from trackloom.operators import cluster, common_map, graph, raster, road_trees, sets, trajectories
+from trackloom.operators import cluster, common_map, graph, matching, raster, road_trees, sets, short_edges, trajectories, way_comparison
 from trackloom.operators.raster import Grid
 from trackloom.plans.catalog_basic import TRACES, segments
 from trackloom.plans.catalog_scalar import BEARING
@@ -179,21 +179,14 @@ def coalesced(spark, d):
 
 @query("GR-05")
 def refined(spark, d):
-    """Per tile: short edges collapsed where traces allow."""
-    import numpy as np
-    import pandas as pd
-
-    e = metric_edges(spark, d).where("source < target").withColumn("tile", F.floor(F.col("ax") / 1000) * 100_000 + F.floor(F.col("ay") / 1000))
-
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        place = {}
-        for r in pdf.itertuples(index=False):
-            place[r.source], place[r.target] = (r.ax, r.ay), (r.bx, r.by)
-        traces = [np.array([[r.ax, r.ay], [r.bx, r.by]]) for r in pdf.itertuples(index=False) if r.length > 110]
-        new, kept = graph.refined(place, {(r.source, r.target) for r in pdf.itertuples(index=False)}, traces, 96.0, 12.0)
-        return pd.DataFrame({"tile": [pdf["tile"].iloc[0]], "nodes": [len({n for x in kept for n in x})], "edges": [len(kept)]})
-
-    return e.select("tile", "source", "target", "length", "ax", "ay", "bx", "by").groupBy("tile").applyInPandas(each, "tile long, nodes long, edges long")
+    """The whole map with links up to 96 m collapsed where the positions snapped to the links around allow it: a trace is what a route leaves on a link."""
+    e = metric_edges(spark, d).where("source < target")
+    azimuth = trajectories.motion(gps(spark, d), "route_id").select(F.col("event_id").alias("point_id"), "azimuth")
+    own = metric_trips(spark, d)
+    seen = matching.snapped(own.join(azimuth, "point_id"), e).join(own, "point_id").select("edge_id", F.col("trip").alias("trace"), "x", "y")
+    nodes_ = way_comparison.nodes_of(e)
+    got, _ = short_edges.collapse(nodes_, e.select("edge_id", F.col("source").alias("a"), F.col("target").alias("b")), seen, 96.0, 40.0)
+    return got.select("edge_id", "a", "b", *[F.round(c, 2).alias(c) for c in ("ax", "ay", "bx", "by")])
 
 
 @query("GR-06")

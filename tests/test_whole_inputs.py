@@ -9,7 +9,7 @@ import pytest
 from trackloom.kernels import cluster as cluster_kernels
 from trackloom.kernels import curves, freespace
 from trackloom.kernels import raster as raster_kernels
-from trackloom.operators import cluster, evaluation, graph, joins, matching, raster
+from trackloom.operators import cluster, evaluation, graph, joins, matching, raster, road_trees
 
 
 def near_by_hand(left, right, k):
@@ -235,17 +235,17 @@ def test_sticks_that_share_edges(spark):
 
 
 def test_road_trees_like_the_kernel(spark):
-    rows = [(t, 100 * t + i, x, y, b) for t in (1, 2) for i, x, y, b in scattered_points(t, 60, 300)]
+    rows = [(1, i, x, y, b) for i, x, y, b in scattered_points(1, 120, 400)]
     df = spark.createDataFrame(rows, "tile long, id long, x double, y double, bearing double")
     pairs = cluster.adjacent(df, 60.0, 400.0)
-    got = cluster.road_tree(df, pairs, 60.0, 30.0).collect()
-    for t in (1, 2):
-        own = [r for r in rows if r[0] == t]
-        at = {r[1]: k for k, r in enumerate(own)}
-        links = [(at[p.a], at[p.b]) for p in pairs.collect() if p.a in at and p.b in at]
-        place, tree = cluster_kernels.contracted(np.array([r[2:4] for r in own]), links, 0, 60.0, 30.0)
-        want = sorted(tuple(round(float(v), 6) for v in (*place[a], *place[b])) for a, b in tree if not np.isnan(place[[a, b]]).any())
-        assert sorted(tuple(round(v, 6) for v in (r.ax, r.ay, r.bx, r.by)) for r in got if r.tile == t) == want
+    got, _ = road_trees.contracted(df, pairs, 60.0, 3)
+    place, near = {r[1]: r[2:4] for r in rows}, {r[1]: set() for r in rows}
+    for p in pairs.collect():
+        near[p.a].add(p.b)
+        near[p.b].add(p.a)
+    gone, _ = cluster_kernels.contract_all(sorted(place, key=lambda i: (i * 2654435761) % 2**32), place, near, set(place), 60.0, 3)
+    assert {(r.a, r.b) for r in got.collect()} == {(a, b) for a, c in near.items() if a not in gone for b in c if a < b}
+    assert len(gone) > 20
 
 
 def test_stage_commands():

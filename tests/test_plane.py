@@ -3,13 +3,13 @@
 import math
 
 import numpy as np
+import plain_graphs as g
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from trackloom.functions import plane
-from trackloom.kernels import planegraph as g
 from trackloom.kernels.curves import pairwise
 
 POINTS = st.lists(st.tuples(st.integers(-50, 50), st.integers(-50, 50)), min_size=4, max_size=14, unique=True).map(lambda p: np.array(p, float) + np.arange(2 * len(p)).reshape(-1, 2) ** 2 * 1e-4)

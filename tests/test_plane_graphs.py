@@ -3,9 +3,9 @@
 import math
 
 import numpy as np
+import plain_graphs as planegraph
 import pytest
 
-from trackloom.kernels import planegraph
 from trackloom.operators import plane_graphs
 
 

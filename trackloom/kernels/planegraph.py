@@ -25,25 +25,32 @@ def delaunay(xy: np.ndarray) -> set[tuple[int, int, int]]:
         ux, uy = (cy * (bx * bx + by * by) - by * (cx * cx + cy * cy)) / d, (bx * (cx * cx + cy * cy) - cx * (bx * bx + by * by)) / d
         return ax + ux, ay + uy, ux * ux + uy * uy
 
-    start = (n, n + 1, n + 2)
-    tri = {start: circle(start)}
+    # all triangles ever made, with their circles; those that went have none
+    made: list[tuple[int, int, int]] = [(n, n + 1, n + 2)]
+    circles = np.full((64, 3), -1.0)
+    circles[0] = circle(made[0])
     seen: set[tuple[float, float]] = set()
     for i in range(n):
         x, y = map(float, p[i])
         if (x, y) in seen:
             continue
         seen.add((x, y))
-        bad = [t for t, (cx, cy, r) in tri.items() if (x - cx) ** 2 + (y - cy) ** 2 < r * (1 - 1e-12)]
+        own = circles[: len(made)]
+        bad = np.flatnonzero((x - own[:, 0]) ** 2 + (y - own[:, 1]) ** 2 < own[:, 2] * (1 - 1e-12))
         count: dict[tuple[int, int], int] = {}
-        for t in bad:
+        for k in bad.tolist():
+            t = made[k]
             for a, b in ((t[0], t[1]), (t[1], t[2]), (t[0], t[2])):
                 count[(a, b)] = count.get((a, b), 0) + 1
-            del tri[t]
+        own[bad, 2] = -1.0
         for (a, b), k in count.items():
             if k == 1:
                 t = tuple(sorted((a, b, i)))
-                tri[t] = circle(t)
-    return {t for t in tri if t[2] < n}
+                if len(made) == len(circles):
+                    circles = np.concatenate([circles, np.full((len(circles), 3), -1.0)])
+                circles[len(made)] = circle(t)
+                made.append(t)
+    return {made[k] for k in np.flatnonzero(circles[: len(made), 2] >= 0).tolist() if made[k][2] < n}
 
 
 def nearer_part(poly: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:

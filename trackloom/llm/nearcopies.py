@@ -155,16 +155,19 @@ def marks(df: DataFrame, text_col: str, words: int, similarity: float) -> DataFr
     return df.withColumn("_m", marked(F.col(text_col))).select(*df.columns, *[F.col(f"_m.{n}").alias(n) for n in names])
 
 
-def shared_shingles(marked: DataFrame) -> DataFrame:
-    """A row for each text of a shingle in several prefixes, but the text of the smallest node: token, node, place, and the smallest's as head, head_place."""
-    sets = marked.where("size > 0").select("node", "rare", (F.col("size").cast("long") * PLACE).alias("_size"), "prefix")
+def shared_shingles(sets: DataFrame) -> DataFrame:
+    """A row for each text of a shingle in several prefixes, but the text of the smallest node: token, node, place, and the smallest's as head, head_place.
+
+    ``sets`` has each node once or, where rows are repeated, a few times.
+    """
+    sets = sets.where("size > 0").select("node", "rare", (F.col("size").cast("long") * PLACE).alias("_size"), "prefix")
     own = sets.select("node", "_size", F.posexplode(F.slice("prefix", F.lit(1), F.col("rare"))).alias("_at", "token")).select("token", "node", (F.col("_size") + F.col("_at")).alias("place"))
     w = Window.partitionBy("token").orderBy("node")
     met = own.withColumns({"head": F.first("node").over(w), "head_place": F.first("place").over(w), "_before": F.lag("node").over(w)})
     few = met.where((F.col("node") != F.col("head")) & (F.col("node") != F.col("_before"))).drop("_before")
 
     late = sets.where(F.size("prefix") > F.col("rare")).select("node", "rare", "_size", F.posexplode(F.slice("prefix", F.col("rare") + 1, F.size("prefix"))).alias("_at", "token")).select("token", "node", (F.col("_size") + F.col("rare") + F.col("_at")).alias("place"))
-    heads = late.groupBy("token").agg(F.min(F.struct("node", "place")).alias("h")).select("token", F.col("h.node").alias("head"), F.col("h.place").alias("head_place"))
+    heads = late.groupBy("token").agg(F.min("node").alias("head"), F.min_by("place", "node").alias("head_place"))
     many = late.join(F.broadcast(heads), "token").where("node <> head").distinct()  # COMMON heads at most
     return few.unionByName(many.select(few.columns))
 
@@ -177,7 +180,7 @@ def _may(p: str, q: str, similarity: float) -> Column:
     return shared >= similarity * (n + m - shared) - 1e-9
 
 
-def _similar(pairs: DataFrame, marked: DataFrame, keyed: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
+def _similar(pairs: DataFrame, sets: DataFrame, owners: DataFrame, keyed: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose whole sets are similar."""
 
     @arrow_udf("long")
@@ -186,57 +189,70 @@ def _similar(pairs: DataFrame, marked: DataFrame, keyed: DataFrame, text_col: st
             yield pa.array(apart(a.to_pylist(), b.to_pylist()))
 
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    held = marked.join(asked, "node", "left_semi").groupBy("node").agg(F.first("size").alias("n"), F.first("parities").alias("p"))
+    known = sets.join(asked, "node", "left_semi").groupBy("node").agg(F.first("size").alias("n"), F.first("parities").alias("p"))
     for side in ("a", "b"):
-        pairs = pairs.join(held.withColumnsRenamed({"node": side, "n": f"n{side}", "p": f"p{side}"}), side)
+        pairs = pairs.join(known.withColumnsRenamed({"node": side, "n": f"n{side}", "p": f"p{side}"}), side)
     # similar sets differ in at most (1 - t) / (1 + t) of their sizes' sum
     pairs = pairs.where(least("pa", "pb") <= (1 - similarity) / (1 + similarity) * (F.col("na") + F.col("nb")) + 1e-9).select("a", "b")
     pairs = stage_table(pairs, "bounded-pairs")
 
     need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    one = stage_table(marked.join(need, "node", "left_semi").groupBy("node").agg(F.min(F.struct("_k1", "_k2")).alias("m")).select("node", "m.*"), "asked")
+    one = stage_table(owners.join(need, "node", "left_semi"), "asked")
     texts = keyed.select("_k1", "_k2", text_col).join(lookup_side(one), ["_k1", "_k2"])
-    sets = stage_table(with_shingles(texts.select("node", text_col), text_col, "s", words).select("node", "s").dropDuplicates(["node"]), "shingle-sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    whole = stage_table(with_shingles(texts.select("node", text_col), text_col, "s", words).select("node", "s").dropDuplicates(["node"]), "shingle-sets")
+    both = pairs.join(whole.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(whole.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(shared / (F.size("sa") + F.size("sb") - shared) >= similarity).select("a", "b")
 
 
-def _rooted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``nodes`` with the root of each node's component; nodes without edges are their own."""
-    roots = simhash.components(edges).withColumnRenamed("root", "_r")
-    return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("_r", "node")).drop("_r")
+def _joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """``roots`` (node, root) of all nodes, after the edges (a, b) have joined what they had as components."""
+    for side in ("a", "b"):
+        edges = edges.join(roots.withColumnsRenamed({"node": side, "root": f"_{side}"}), side)
+    new = edges.where("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct()
+    moved = simhash.components(stage_table(new, "links")).select(F.col("node").alias("root"), F.col("root").alias("_r"))
+    return stage_table(roots.join(lookup_side(moved), "root", "left").select("node", F.coalesce("_r", "root").alias("root")), "roots")
 
 
 def near_copies(keyed: DataFrame, id_col: str, text_col: str, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """One row per row of ``keyed``: the id, _k1, _k2 (see ``row_key``) and the root of its component."""
     marked = stage_table(marks(keyed.select(id_col, text_col, "_k1", "_k2"), text_col, words, similarity).drop(text_col), "marks")
-    prints = stage_table(marked.groupBy("fingerprint").agg(F.min("node").alias("least")), "classes")
-    same = marked.select("node", "fingerprint").distinct().join(prints, "fingerprint").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    # equal sets are one node, so what follows holds copies once: in the row of the smallest key
+    keys = marked.groupBy("node", "fingerprint").agg(F.min("_k1").alias("_k1"), F.min_by("_k2", F.col("_k1")).alias("_k2"))
+    keys = stage_table(keys, "nodes")
+    prints = stage_table(keys.groupBy("fingerprint").agg(F.min("node").alias("least")), "classes")
+    owners = stage_table(keys.groupBy("node").agg(F.min("_k1").alias("_k1"), F.min_by("_k2", F.col("_k1")).alias("_k2")), "owners")
+    sets = stage_table(marked.select("node", "_k1", "_k2", "size", "rare", "prefix", "parities").join(owners, ["node", "_k1", "_k2"], "left_semi").drop("_k1", "_k2"), "sets")
+
+    same = keys.join(prints, "fingerprint").select(F.col("least").alias("a"), F.col("node").alias("b"))
     near = simhash.links(prints.select("fingerprint"))
     for side in ("a", "b"):
         near = near.join(prints.select(F.col("fingerprint").alias(side), F.col("least").alias(f"_{side}")), side)
     fingers = same.unionByName(near.select(F.col("_a").alias("a"), F.col("_b").alias("b"))).where("a <> b")
 
-    shared = stage_table(shared_shingles(marked), "shared-shingles")
+    def similar(pairs: DataFrame) -> DataFrame:
+        return _similar(pairs, sets, owners, keyed, text_col, words, similarity)
+
+    shared = stage_table(shared_shingles(sets), "shared-shingles")
     stars = stage_table(shared.where(_may("place", "head_place", similarity)).groupBy(F.col("head").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n")), "pairs")
     # each text is held against the head it shares most with first, and against others only if that leaves them apart
     first = stage_table(stars.groupBy("b").agg(F.max(F.struct("n", "a"))["a"].alias("a")).select("a", "b"), "first-pairs")
-    edges = stage_table(fingers.unionByName(_similar(first, marked, keyed, text_col, words, similarity)), "links")
-    apart_ = _rooted(stars.join(first, ["a", "b"], "left_anti").select("a", F.col("b").alias("node")), edges).select("a", F.col("node").alias("b"), F.col("root").alias("_b"))
-    apart_ = _rooted(apart_.withColumnRenamed("a", "node"), edges).where("root <> _b").select(F.col("node").alias("a"), "b")
-    edges = stage_table(edges.unionByName(_similar(stage_table(apart_, "pairs"), marked, keyed, text_col, words, similarity)), "links")
+    roots = _joined(owners.select("node", F.col("node").alias("root")), fingers.unionByName(similar(first)))
+    left = stars.join(first, ["a", "b"], "left_anti").select("a", "b")
+    for side in ("a", "b"):
+        left = left.join(roots.withColumnsRenamed({"node": side, "root": f"_{side}"}), side)
+    roots = _joined(roots, similar(stage_table(left.where("_a <> _b").select("a", "b"), "pairs")))
 
     # shingles of three texts or more that aren't all connected: those outside the largest part against all; the head has been held against each
     often = shared.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token")
-    parts = stage_table(_rooted(shared.join(often, "token", "left_semi").select("token", "node", "place"), edges), "parts")
+    parts = stage_table(shared.join(often, "token", "left_semi").select("token", "node", "place").join(roots, "node"), "parts")
     top = parts.groupBy("token", "root").count().groupBy("token").agg(F.max(F.struct("count", "root"))["root"].alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("token", "top")
     y = parts.join(top, "token")
     x = y.where("root <> top").select("token", *[F.col(c).alias(f"_{c}") for c in ("node", "place", "root")])
     open_ = x.join(y, "token").where((F.col("_root") != F.col("root")) & ((F.col("root") == F.col("top")) | (F.col("_node") < F.col("node"))) & _may("_place", "place", similarity))
     pairs = stage_table(open_.select(F.least("_node", "node").alias("a"), F.greatest("_node", "node").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    more = stage_table(_similar(pairs, marked, keyed, text_col, words, similarity), "links")
-    return _rooted(marked.select(id_col, "_k1", "_k2", "node"), edges.unionByName(more)).select(id_col, "_k1", "_k2", "root")
+    roots = _joined(roots, similar(pairs))
+    return marked.select(id_col, "_k1", "_k2", "node").join(roots, "node").select(id_col, "_k1", "_k2", "root")
 
 
 def without_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:

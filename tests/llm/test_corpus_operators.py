@@ -83,6 +83,13 @@ def test_links_against_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_replicas_at_anchors_are_not_broadcast(spark):
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 1 << 20
+    found = simhash.links(spark.range(1000).select(F.xxhash64("id").alias("fingerprint")))
+    assert found.collect() is not None
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_components_of_a_long_chain(spark):
     ids = list(range(60))
     random.Random(4).shuffle(ids)

@@ -170,7 +170,8 @@ def links(prints: DataFrame, col: str = "fingerprint", threshold: int = THRESHOL
         raise ValueError("the covering is made for a threshold of at most 2")
     own = prints.select(F.col(col).cast("long"))
     home, visit = _at_anchors(own, 0, "a"), _at_anchors(own, threshold, "b")
-    return home.join(visit, "anchor").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)).select("a", "b")
+    # the planner takes the replicas for as few as the fingerprints, and would send them all to the driver to broadcast them
+    return home.join(visit.hint("merge"), "anchor").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from test_corpus_queries import brute_components, brute_print
 from trackloom.llm import nearcopies, simhash
@@ -57,3 +59,37 @@ def test_stage_drops_copies_with_changed_words(spark, sf):
     assert (simhash.fingerprint(pair[0]) ^ simhash.fingerprint(pair[1])).bit_count() > simhash.THRESHOLD
     df = spark.createDataFrame(list(enumerate(pair)), "doc_id long, text string")
     assert [r.doc_id for r in corpus_pipeline.drop_copies(spark, df, sf).collect()] == [0]
+
+
+def test_cells_find_partners_and_join_roots_once():
+    rnd = random.Random(7)
+    base = [f"w{k}" for k in range(200)]
+    own = [changed(base, set(rnd.sample(range(200), rnd.randint(0, 6)))) for _ in range(300)]
+    sets = [nearcopies.shingles(t) for t in own]
+    right, root = np.array([k % 2 == 1 for k in range(300)]), np.array([k if k % 5 else 0 for k in range(300)])
+    similar = {(a, b) for a in range(0, 300, 2) for b in range(1, 300, 2) if root[a] != root[b] and 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))}
+    place = np.array([len(s) * nearcopies.PLACE for s in sets])
+    hit = nearcopies.may_meet(right, place, root, [nearcopies.parities(s) for s in sets], 0.8)
+    assert all(hit[a] and hit[b] for a, b in similar)
+    found = nearcopies.joining_links(right, root, np.array([len(s) for s in sets]), np.concatenate(sets).view(np.int64), 0.8)
+    assert set(found) <= similar and len(found) < len(set(root.tolist())) < len(similar)
+    parts = [simple_components(root.tolist(), pairs) for pairs in (found, similar)]
+    assert parts[0] == parts[1]
+
+
+def simple_components(root, pairs):
+    label = list(root)
+    for a, b in pairs:
+        old, new = label[a], label[b]
+        label = [new if x == old else x for x in label]
+    return {frozenset(k for k, x in enumerate(label) if x == y) for y in label}
+
+
+def test_cells_cut_by_batches():
+    import pyarrow as pa
+
+    keys = [(1, 0, 0)] * 3 + [(1, 0, 1)] * 4 + [(2, 0, 0)] * 5
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*keys, strict=True)], names=list(nearcopies.CELL))
+    for step in (1, 2, 5, 12):
+        got = [c.num_rows for c in nearcopies.each_cell(batch.slice(k, step) for k in range(0, 12, step))]
+        assert got == [3, 4, 5]

@@ -16,7 +16,12 @@ similar pairs are found by prefix filtering:
   differ, and pairs whose bound is too high go; what is left, few but similar
   pairs, is compared by whole sets of shingles;
 * texts that share a shingle and aren't connected by then are compared with each
-  other, so a large group of near copies costs a pair a member, not all pairs.
+  other in blocks: what a task is given are rows of texts, not of pairs. By places and
+  parities a first pass tells which texts may have a partner in their cell (two blocks
+  of a shingle's texts); a second one compares their whole sets and gives only links that
+  join components, fewer than the cell has texts. Shingles of the same texts are one.
+  Blocks are bounded by bytes, so a large group is dealt to many tasks; only the
+  comparisons of texts that stay unconnected are as many as their pairs.
 
 No pair is left out by size of text or group; so components are those of all
 links. Shingles and sets of them are known by 64-bit hashes. Null and empty texts
@@ -55,6 +60,9 @@ SAMPLE, SAMPLE_ONE_IN, LEAST, COMMON = 10_000, 4, 4, 100_000
 LEAST_BITS, MOST_BITS = 64, 1 << 16
 #: A shingle's place in the low bits of a long, the size of its set above.
 PLACE = 1 << 31
+#: Bytes of parities in a block of texts that share a shingle; pairs compared at once.
+BLOCK_BYTES, PAIRS = 1 << 18, 1 << 14
+CELL = ("token", "i", "j")
 
 
 def shingles(text: str | None, words: int = WORDS, seed: int = simhash.SEED) -> np.ndarray:
@@ -180,6 +188,13 @@ def _may(p: str, q: str, similarity: float) -> Column:
     return shared >= similarity * (n + m - shared) - 1e-9
 
 
+def _whole(need: DataFrame, owners: DataFrame, keyed: DataFrame, text_col: str, words: int) -> DataFrame:
+    """The whole set, s, of each node that ``need`` has."""
+    one = stage_table(owners.join(need, "node", "left_semi"), "asked")
+    texts = keyed.select("_k1", "_k2", text_col).join(lookup_side(one), ["_k1", "_k2"])
+    return stage_table(with_shingles(texts.select("node", text_col), text_col, "s", words).select("node", "s").dropDuplicates(["node"]), "shingle-sets")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, owners: DataFrame, keyed: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose whole sets are similar."""
 
@@ -196,15 +211,130 @@ def _similar(pairs: DataFrame, sets: DataFrame, owners: DataFrame, keyed: DataFr
     pairs = pairs.where(least("pa", "pb") <= (1 - similarity) / (1 + similarity) * (F.col("na") + F.col("nb")) + 1e-9).select("a", "b")
     pairs = stage_table(pairs, "bounded-pairs")
 
-    need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    one = stage_table(owners.join(need, "node", "left_semi"), "asked")
-    texts = keyed.select("_k1", "_k2", text_col).join(lookup_side(one), ["_k1", "_k2"])
-    whole = stage_table(with_shingles(texts.select("node", text_col), text_col, "s", words).select("node", "s").dropDuplicates(["node"]), "shingle-sets")
+    whole = _whole(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), owners, keyed, text_col, words)
     both = pairs.join(whole.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(whole.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(shared / (F.size("sa") + F.size("sb") - shared) >= similarity).select("a", "b")
 
 
+def each_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of one cell after the other; rows come sorted by cell."""
+    open_: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in CELL], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for at, end in zip(cuts, cuts[1:], strict=False):
+            key = tuple(keys[at])
+            if open_ and key != last:
+                yield pa.concat_batches(open_)
+                open_ = []
+            open_.append(batch.slice(at, end - at))
+            last = key
+    if open_:
+        yield pa.concat_batches(open_)
+
+
+def may_meet(right: np.ndarray, place: np.ndarray, root: np.ndarray, parts: list[bytes], similarity: float) -> np.ndarray:
+    """Which rows of a cell have a partner on the other side, of another root, that places and parities don't rule out."""
+    size, at, hit = place // PLACE, place % PLACE, np.zeros(len(place), bool)
+    width, pos = np.array([len(p) for p in parts]), np.zeros(len(parts), np.int64)
+    full, half = {}, {}
+    for w in np.unique(width):
+        rows = np.flatnonzero(width == w)
+        pos[rows] = np.arange(len(rows))
+        x = full[w] = np.frombuffer(b"".join(parts[k] for k in rows), np.uint64).reshape(len(rows), -1)
+        half[w] = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :] if x.shape[1] > 1 else x
+    a, b = np.flatnonzero(~right), np.flatnonzero(right)
+    step = max(1, PAIRS // max(1, len(b)))
+    for k in range(0, len(a), step):
+        x, y = a[k : k + step, None], b[None, :]
+        shared = np.minimum(at[x], at[y]) + np.minimum((size - at)[x], (size - at)[y])
+        i, j = np.nonzero((root[x] != root[y]) & (shared >= similarity * (size[x] + size[y] - shared) - 1e-9))
+        x, y = a[k + i], b[j]
+        # sizes alike enough have tables of one width, or of twice the width
+        for v in np.unique(width[x]):
+            for w in (v // 2, v, 2 * v):
+                own = np.flatnonzero((width[x] == v) & (width[y] == w))
+                if len(own):
+                    p, q = x[own], y[own]
+                    differ = np.bitwise_count((half if v > w else full)[v][pos[p]] ^ (half if w > v else full)[w][pos[q]]).sum(axis=1, dtype=np.int64)
+                    ok = differ <= (1 - similarity) / (1 + similarity) * (size[p] + size[q]) + 1e-9
+                    hit[p[ok]] = hit[q[ok]] = True
+    return hit
+
+
+def joining_links(right: np.ndarray, root: np.ndarray, sizes: np.ndarray, flat: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Rows of a cell that are similar across its sides, of all such pairs as many as join the roots that any of them join."""
+    _, label = np.unique(root, return_inverse=True)
+    b = np.flatnonzero(right)
+    starts = np.cumsum(sizes) - sizes
+    values, own = np.unique(flat, return_inverse=True)
+    inside = np.concatenate([own[starts[k] : starts[k] + sizes[k]] for k in b]) if len(b) else own[:0]
+    first = np.cumsum(sizes[b]) - sizes[b]
+    marked, out = np.zeros(len(values), np.int64), []
+    for a in np.flatnonzero(~right) if len(b) else ():
+        if (label[b] == label[a]).all():
+            continue
+        mine = own[starts[a] : starts[a] + sizes[a]]
+        marked[mine] = 1
+        shared = np.add.reduceat(marked[inside], first)
+        marked[mine] = 0
+        found = b[(shared / (sizes[a] + sizes[b] - shared) >= similarity) & (label[b] != label[a])]
+        parts, at = np.unique(label[found], return_index=True)
+        out += [(int(a), int(c)) for c in found[at]]
+        label[np.isin(label, parts)] = label[a]
+    return out
+
+
+def _met_in_cells(shared: DataFrame, roots: DataFrame, sets: DataFrame, owners: DataFrame, keyed: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) that join what similar texts of one shingle are still apart; each has been held against the shingle's head."""
+    often = shared.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token")
+    parts = stage_table(shared.join(often, "token", "left_semi").select("token", "node", "place").join(roots, "node"), "parts")
+    size = F.expr(f"place div {PLACE}")
+    name = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"_h{k}") for k in (1, 2)]
+    kinds = parts.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.greatest(size / 2, F.lit(8)) + 32).alias("bytes"), *name)
+    tops = kinds.groupBy("token").agg(F.max(F.struct("n", "root", "bytes")).alias("m"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), *[F.bit_xor(h).alias(h) for h in ("_h1", "_h2")]).where("kinds > 1")
+    blocks = lambda b: F.ceil(b / BLOCK_BYTES).cast("int")
+    tops = tops.select("token", "_h1", "_h2", "n", F.col("m.root").alias("top"), F.greatest(F.lit(1), blocks(F.col("bytes") - F.col("m.bytes"))).alias("_x"), blocks(F.col("bytes")).alias("_y"))
+    # of shingles of the same texts one is enough
+    once = tops.groupBy("_h1", "_h2", "n").agg(F.min_by(F.struct("token", "top", "_x", "_y"), "token").alias("t")).select("t.*")
+    y = stage_table(parts.join(stage_table(once, "tops"), "token"), "unconnected")
+    block = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
+    cols = ["node", "place", "root", "token"]
+    # those outside the largest part against all
+    left = y.where("root <> top").select(*cols, block("_x").alias("i"), F.explode(F.sequence(F.lit(0), F.col("_y") - 1)).alias("j"), F.lit(False).alias("right"))
+    right = y.select(*cols, F.explode(F.sequence(F.lit(0), F.col("_x") - 1)).alias("i"), block("_y").alias("j"), F.lit(True).alias("right"))
+    known = sets.join(y.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("parities").alias("p"))
+    small_batches(shared.sparkSession)
+
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in each_cell(batches):
+            side, place, root = (cell.column(c).to_numpy(zero_copy_only=False) for c in ("right", "place", "root"))
+            hit = may_meet(side, place, root, cell.column("p").to_pylist(), similarity)
+            if hit.any():
+                yield cell.select(["node", "root", *CELL, "right"]).filter(pa.array(hit))
+
+    dealt = left.unionByName(right).join(known, "node").select("node", "place", "root", *CELL, "right", "p").repartition(*CELL).sortWithinPartitions(*CELL)
+    met = stage_table(dealt.mapInArrow(narrowed, "node long, root long, token long, i int, j int, right boolean"), "cells")
+    named = met.groupBy(*CELL).agg(*[F.bit_xor(F.xxhash64("node", "right", F.lit(k))).alias(f"_h{k}") for k in (1, 2)], F.count(F.lit(1)).alias("n"))
+    once = named.groupBy("_h1", "_h2", "n").agg(F.min(F.struct(*CELL)).alias("c")).select("c.*")
+    left = stage_table(met.join(once, list(CELL)), "cells")
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in each_cell(batches):
+            side, node, root = (cell.column(c).to_numpy(zero_copy_only=False) for c in ("right", "node", "root"))
+            s = cell.column("s")
+            found = joining_links(side, root, s.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), s.flatten().to_numpy(zero_copy_only=False), similarity)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(node[[f[k] for f in found]]) for k in (0, 1)], names=["a", "b"])
+
+    whole = _whole(left.select("node").distinct(), owners, keyed, text_col, words)
+    return left.join(whole, "node").select("node", "root", *CELL, "right", "s").repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(linked, "a long, b long")
+
+
 def _joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """``roots`` (node, root) of all nodes, after the edges (a, b) have joined what they had as components."""
     for side in ("a", "b"):
@@ -243,15 +373,7 @@ def near_copies(keyed: DataFrame, id_col: str, text_col: str, words: int = WORDS
         left = left.join(roots.withColumnsRenamed({"node": side, "root": f"_{side}"}), side)
     roots = _joined(roots, similar(stage_table(left.where("_a <> _b").select("a", "b"), "pairs")))
 
-    # shingles of three texts or more that aren't all connected: those outside the largest part against all; the head has been held against each
-    often = shared.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token")
-    parts = stage_table(shared.join(often, "token", "left_semi").select("token", "node", "place").join(roots, "node"), "parts")
-    top = parts.groupBy("token", "root").count().groupBy("token").agg(F.max(F.struct("count", "root"))["root"].alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("token", "top")
-    y = parts.join(top, "token")
-    x = y.where("root <> top").select("token", *[F.col(c).alias(f"_{c}") for c in ("node", "place", "root")])
-    open_ = x.join(y, "token").where((F.col("_root") != F.col("root")) & ((F.col("root") == F.col("top")) | (F.col("_node") < F.col("node"))) & _may("_place", "place", similarity))
-    pairs = stage_table(open_.select(F.least("_node", "node").alias("a"), F.greatest("_node", "node").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    roots = _joined(roots, similar(pairs))
+    roots = _joined(roots, stage_table(_met_in_cells(shared, roots, sets, owners, keyed, text_col, words, similarity).distinct(), "pairs"))
     return marked.select(id_col, "_k1", "_k2", "node").join(roots, "node").select(id_col, "_k1", "_k2", "root")
 
 

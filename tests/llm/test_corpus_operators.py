@@ -83,6 +83,16 @@ def test_links_against_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_single_characters_need_no_comparison():
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    table, sp = spbpe.PrefixTable(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    asked, plain = [], table.compatible
+    table.compatible = lambda a, b: asked.append(b) or plain(a, b)
+    for text in ("qzxv wkjq zzzz", "aaaa    bbb▁▁c", "xqéßjq 日本語 😀q", "Unverständlichkeiten oeuvre"):
+        assert table.encode(text) == sp.encode(text)
+    assert asked and all(len(table.piece[b]) > 1 for b in asked)
+
+
 def test_replicas_at_anchors_are_not_broadcast(spark):
     assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 1 << 20
     found = simhash.links(spark.range(1000).select(F.xxhash64("id").alias("fingerprint")))

@@ -37,7 +37,7 @@ MARK = "▁"
 MEMO = 50_000
 MEMO_CHARS = 48
 #: Pairs of tokens whose compatibility a worker remembers, twice over at most.
-MEMO_PAIRS = 60_000
+MEMO_PAIRS = 100_000
 
 
 def merged_by_rank(symbols: list[str], rank: dict[str, int]) -> list[tuple[str, str, str]]:
@@ -142,7 +142,7 @@ class PrefixTable:
             if end < done:
                 continue  # this prefix has its last token
             before = last[end + 1 - size]
-            if before >= 0:
+            if before >= 0 and size > 1:
                 key = before * width + t
                 ok = known.get(key)
                 if ok is None:
@@ -153,7 +153,8 @@ class PrefixTable:
                     known, known_before = pairs.young, pairs.old
                 if not ok:
                     continue
-            # else the word begins with the token, or a character without a piece, with which nothing merges, comes before
+            # else the word begins with the token, or a character without a piece, with which nothing merges, comes before;
+            # or a single character is left, since longer tokens come first: one of them must be the last
             done = end + 1
             last[done] = t
         ids, k, piece = [], len(word), self.piece

@@ -7,6 +7,7 @@ import numpy as np
 import corpus_pipeline
 from test_corpus_queries import brute_components, brute_print
 from trackloom.llm import nearcopies, simhash
+from trackloom.llm.common import row_key
 
 
 def changed(words, at):
@@ -93,3 +94,18 @@ def test_cells_cut_by_batches():
     for step in (1, 2, 5, 12):
         got = [c.num_rows for c in nearcopies.each_cell(batch.slice(k, step) for k in range(0, 12, step))]
         assert got == [3, 4, 5]
+
+
+def test_fingerprint_links_of_the_stage_keep_replicas_from_the_driver(spark, monkeypatch):
+    plans, plain = [], simhash.links
+
+    def seen(prints, *more):
+        found = plain(prints, *more)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(simhash, "links", seen)
+    own = [(k, " ".join(f"w{k}x{i}" for i in range(20))) for k in range(30)]
+    keyed = spark.createDataFrame(own, "doc_id long, text string").select("*", *row_key("doc_id", "text"))
+    nearcopies.near_copies(keyed, "doc_id", "text")
+    assert plans and not any("Broadcast" in p for p in plans)

@@ -6,7 +6,7 @@ import numpy as np
 
 import corpus_pipeline
 from test_corpus_queries import brute_components, brute_print
-from trackloom.llm import nearcopies, simhash
+from trackloom.llm import common, nearcopies, simhash
 from trackloom.llm.common import row_key
 
 
@@ -109,3 +109,21 @@ def test_fingerprint_links_of_the_stage_keep_replicas_from_the_driver(spark, mon
     keyed = spark.createDataFrame(own, "doc_id long, text string").select("*", *row_key("doc_id", "text"))
     nearcopies.near_copies(keyed, "doc_id", "text")
     assert plans and not any("Broadcast" in p for p in plans)
+
+
+def test_tables_that_grow_with_the_documents_stay_from_the_driver(spark, monkeypatch):
+    plans, plain = {}, common.stage_table
+
+    def seen(df, label):
+        plans.setdefault(label, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, label)
+
+    for module in (common, nearcopies):
+        monkeypatch.setattr(module, "stage_table", seen)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)  # as if there were more rows to look up
+    own = list(enumerate(texts(random.Random(3))[:30]))
+    got = nearcopies.without_near_copies(spark.createDataFrame(own + own[9:12], "doc_id long, text string"))
+    plans["result"] = [got._jdf.queryExecution().executedPlan().toString()]
+    del plans["shared-shingles"]  # common shingles of the sample are bounded
+    assert {"sets", "bounded-pairs", "roots", "cells", "set-apart", "result"} <= set(plans)
+    assert [k for k, own in plans.items() if any("Broadcast" in p for p in own)] == []

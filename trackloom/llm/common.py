@@ -78,7 +78,15 @@ def row_key(*cols: str) -> list[Column]:
 
 def lookup_side(df: DataFrame) -> DataFrame:
     """``df``, a written table of a few numbers a row, marked for broadcast if it has few rows; beyond, joins with it are shuffled."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else shuffled(df)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df``, a table that grows with the documents, marked so that joins with it are shuffled.
+
+    The planner goes by the size of files, several times less than what a broadcast takes in the driver.
+    """
+    return df.hint("merge")
 
 
 def keep_one(keyed: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
@@ -92,7 +100,7 @@ def keep_one(keyed: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
     keys = stage_table(found.groupBy("_k1", "_k2").agg(F.first("root").alias("root"), F.first(id_col).alias("_i"), F.count(F.lit(1)).alias("_n")), "keys")
     first = keys.groupBy("root").agg(F.min(F.struct(F.col("_i").isNull().alias("last"), "_i", "_k1", "_k2")).alias("m"))
     kept = first.select(F.col("m._k1").alias("_k1"), F.col("m._k2").alias("_k2"), F.lit(True).alias("_kept"))
-    judged = stage_table(keys.join(kept, ["_k1", "_k2"], "left").where("_kept IS NULL OR _n > 1").select("_k1", "_k2", F.col("_kept").isNotNull().alias("_again")), "set-apart")
+    judged = stage_table(keys.join(shuffled(kept), ["_k1", "_k2"], "left").where("_kept IS NULL OR _n > 1").select("_k1", "_k2", F.col("_kept").isNotNull().alias("_again")), "set-apart")
     cols = [F.col(f"`{c}`") for c in keyed.columns if c not in ("_k1", "_k2")]
     once = keyed.join(lookup_side(judged), ["_k1", "_k2"], "left_anti").select(*cols)
     again = judged.where("_again")
@@ -101,7 +109,7 @@ def keep_one(keyed: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
     plain = [F.col(f"`{f.name}`") for f in keyed.schema.fields if not f.dataType.simpleString().count("map<")]
     rows = keyed.join(lookup_side(again.select("_k1", "_k2")), ["_k1", "_k2"]).withColumn("_h", F.xxhash64(*plain))
     least = rows.groupBy("_k1", "_k2").agg(F.min("_h").alias("_h"))
-    return once.unionByName(rows.join(least, ["_k1", "_k2", "_h"]).dropDuplicates(["_k1", "_k2"]).select(*cols))
+    return once.unionByName(rows.join(shuffled(least), ["_k1", "_k2", "_h"]).dropDuplicates(["_k1", "_k2"]).select(*cols))
 
 
 def crc_fold(id_col: str, folds: int) -> Column:

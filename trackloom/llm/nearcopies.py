@@ -31,7 +31,8 @@ row stays; extra columns stay; empty tables give empty results. Very long texts
 are shingled whole; only their table of parities is bounded, by ``MOST_BITS``.
 
 No shingle sets or links reach the driver, but the common shingles of the sample,
-``COMMON`` at most. Prefixes are shuffled once, by shingle. A shingle that isn't
+``COMMON`` at most, and rows to look up while they are few (``lookup_side``). Tables of
+nodes, sets and pairs are joined by shuffles, also where the planner takes them for small. Prefixes are shuffled once, by shingle. A shingle that isn't
 common in the sample is in few texts, so its texts meet in one task; the texts of
 common ones are told the smallest node by a broadcast of at most ``COMMON`` rows and
 don't meet.
@@ -50,7 +51,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from trackloom.llm import simhash
-from trackloom.llm.common import held, keep_one, lookup_side, row_key, small_batches, stage_table
+from trackloom.llm.common import held, keep_one, lookup_side, row_key, shuffled, small_batches, stage_table
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -190,7 +191,7 @@ def _may(p: str, q: str, similarity: float) -> Column:
 
 def _whole(need: DataFrame, owners: DataFrame, keyed: DataFrame, text_col: str, words: int) -> DataFrame:
     """The whole set, s, of each node that ``need`` has."""
-    one = stage_table(owners.join(need, "node", "left_semi"), "asked")
+    one = stage_table(owners.join(shuffled(need), "node", "left_semi"), "asked")
     texts = keyed.select("_k1", "_k2", text_col).join(lookup_side(one), ["_k1", "_k2"])
     return stage_table(with_shingles(texts.select("node", text_col), text_col, "s", words).select("node", "s").dropDuplicates(["node"]), "shingle-sets")
 
@@ -204,15 +205,15 @@ def _similar(pairs: DataFrame, sets: DataFrame, owners: DataFrame, keyed: DataFr
             yield pa.array(apart(a.to_pylist(), b.to_pylist()))
 
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    known = sets.join(asked, "node", "left_semi").groupBy("node").agg(F.first("size").alias("n"), F.first("parities").alias("p"))
+    known = sets.join(shuffled(asked), "node", "left_semi").groupBy("node").agg(F.first("size").alias("n"), F.first("parities").alias("p"))
     for side in ("a", "b"):
-        pairs = pairs.join(known.withColumnsRenamed({"node": side, "n": f"n{side}", "p": f"p{side}"}), side)
+        pairs = pairs.join(shuffled(known.withColumnsRenamed({"node": side, "n": f"n{side}", "p": f"p{side}"})), side)
     # similar sets differ in at most (1 - t) / (1 + t) of their sizes' sum
     pairs = pairs.where(least("pa", "pb") <= (1 - similarity) / (1 + similarity) * (F.col("na") + F.col("nb")) + 1e-9).select("a", "b")
     pairs = stage_table(pairs, "bounded-pairs")
 
     whole = _whole(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), owners, keyed, text_col, words)
-    both = pairs.join(whole.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(whole.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    both = pairs.join(shuffled(whole.select(F.col("node").alias("a"), F.col("s").alias("sa"))), "a").join(shuffled(whole.select(F.col("node").alias("b"), F.col("s").alias("sb"))), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(shared / (F.size("sa") + F.size("sb") - shared) >= similarity).select("a", "b")
 
@@ -292,7 +293,7 @@ def joining_links(right: np.ndarray, root: np.ndarray, sizes: np.ndarray, flat:
 def _met_in_cells(shared: DataFrame, roots: DataFrame, sets: DataFrame, owners: DataFrame, keyed: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
     """Links (a, b) that join what similar texts of one shingle are still apart; each has been held against the shingle's head."""
     often = shared.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token")
-    parts = stage_table(shared.join(often, "token", "left_semi").select("token", "node", "place").join(roots, "node"), "parts")
+    parts = stage_table(shared.join(shuffled(often), "token", "left_semi").select("token", "node", "place").join(shuffled(roots), "node"), "parts")
     size = F.expr(f"place div {PLACE}")
     name = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"_h{k}") for k in (1, 2)]
     kinds = parts.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.greatest(size / 2, F.lit(8)) + 32).alias("bytes"), *name)
@@ -301,13 +302,13 @@ def _met_in_cells(shared: DataFrame, roots: DataFrame, sets: DataFrame, owners:
     tops = tops.select("token", "_h1", "_h2", "n", F.col("m.root").alias("top"), F.greatest(F.lit(1), blocks(F.col("bytes") - F.col("m.bytes"))).alias("_x"), blocks(F.col("bytes")).alias("_y"))
     # of shingles of the same texts one is enough
     once = tops.groupBy("_h1", "_h2", "n").agg(F.min_by(F.struct("token", "top", "_x", "_y"), "token").alias("t")).select("t.*")
-    y = stage_table(parts.join(stage_table(once, "tops"), "token"), "unconnected")
+    y = stage_table(parts.join(shuffled(stage_table(once, "tops")), "token"), "unconnected")
     block = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
     cols = ["node", "place", "root", "token"]
     # those outside the largest part against all
     left = y.where("root <> top").select(*cols, block("_x").alias("i"), F.explode(F.sequence(F.lit(0), F.col("_y") - 1)).alias("j"), F.lit(False).alias("right"))
     right = y.select(*cols, F.explode(F.sequence(F.lit(0), F.col("_x") - 1)).alias("i"), block("_y").alias("j"), F.lit(True).alias("right"))
-    known = sets.join(y.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("parities").alias("p"))
+    known = sets.join(shuffled(y.select("node").distinct()), "node", "left_semi").groupBy("node").agg(F.first("parities").alias("p"))
     small_batches(shared.sparkSession)
 
     def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,11 +318,11 @@ def _met_in_cells(shared: DataFrame, roots: DataFrame, sets: DataFrame, owners:
             if hit.any():
                 yield cell.select(["node", "root", *CELL, "right"]).filter(pa.array(hit))
 
-    dealt = left.unionByName(right).join(known, "node").select("node", "place", "root", *CELL, "right", "p").repartition(*CELL).sortWithinPartitions(*CELL)
+    dealt = left.unionByName(right).join(shuffled(known), "node").select("node", "place", "root", *CELL, "right", "p").repartition(*CELL).sortWithinPartitions(*CELL)
     met = stage_table(dealt.mapInArrow(narrowed, "node long, root long, token long, i int, j int, right boolean"), "cells")
     named = met.groupBy(*CELL).agg(*[F.bit_xor(F.xxhash64("node", "right", F.lit(k))).alias(f"_h{k}") for k in (1, 2)], F.count(F.lit(1)).alias("n"))
     once = named.groupBy("_h1", "_h2", "n").agg(F.min(F.struct(*CELL)).alias("c")).select("c.*")
-    left = stage_table(met.join(once, list(CELL)), "cells")
+    left = stage_table(met.join(shuffled(once), list(CELL)), "cells")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in each_cell(batches):
@@ -332,13 +333,13 @@ def _met_in_cells(shared: DataFrame, roots: DataFrame, sets: DataFrame, owners:
                 yield pa.RecordBatch.from_arrays([pa.array(node[[f[k] for f in found]]) for k in (0, 1)], names=["a", "b"])
 
     whole = _whole(left.select("node").distinct(), owners, keyed, text_col, words)
-    return left.join(whole, "node").select("node", "root", *CELL, "right", "s").repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(linked, "a long, b long")
+    return left.join(shuffled(whole), "node").select("node", "root", *CELL, "right", "s").repartition(*CELL).sortWithinPartitions(*CELL).mapInArrow(linked, "a long, b long")
 
 
 def _joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """``roots`` (node, root) of all nodes, after the edges (a, b) have joined what they had as components."""
     for side in ("a", "b"):
-        edges = edges.join(roots.withColumnsRenamed({"node": side, "root": f"_{side}"}), side)
+        edges = edges.join(shuffled(roots.withColumnsRenamed({"node": side, "root": f"_{side}"})), side)
     new = edges.where("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct()
     moved = simhash.components(stage_table(new, "links")).select(F.col("node").alias("root"), F.col("root").alias("_r"))
     return stage_table(roots.join(lookup_side(moved), "root", "left").select("node", F.coalesce("_r", "root").alias("root")), "roots")
@@ -352,12 +353,12 @@ def near_copies(keyed: DataFrame, id_col: str, text_col: str, words: int = WORDS
     keys = stage_table(keys, "nodes")
     prints = stage_table(keys.groupBy("fingerprint").agg(F.min("node").alias("least")), "classes")
     owners = stage_table(keys.groupBy("node").agg(F.min("_k1").alias("_k1"), F.min_by("_k2", F.col("_k1")).alias("_k2")), "owners")
-    sets = stage_table(marked.select("node", "_k1", "_k2", "size", "rare", "prefix", "parities").join(owners, ["node", "_k1", "_k2"], "left_semi").drop("_k1", "_k2"), "sets")
+    sets = stage_table(marked.select("node", "_k1", "_k2", "size", "rare", "prefix", "parities").join(shuffled(owners), ["node", "_k1", "_k2"], "left_semi").drop("_k1", "_k2"), "sets")
 
-    same = keys.join(prints, "fingerprint").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    same = keys.join(shuffled(prints), "fingerprint").select(F.col("least").alias("a"), F.col("node").alias("b"))
     near = simhash.links(prints.select("fingerprint"))
     for side in ("a", "b"):
-        near = near.join(prints.select(F.col("fingerprint").alias(side), F.col("least").alias(f"_{side}")), side)
+        near = near.join(shuffled(prints.select(F.col("fingerprint").alias(side), F.col("least").alias(f"_{side}"))), side)
     fingers = same.unionByName(near.select(F.col("_a").alias("a"), F.col("_b").alias("b"))).where("a <> b")
 
     def similar(pairs: DataFrame) -> DataFrame:
@@ -368,13 +369,13 @@ def near_copies(keyed: DataFrame, id_col: str, text_col: str, words: int = WORDS
     # each text is held against the head it shares most with first, and against others only if that leaves them apart
     first = stage_table(stars.groupBy("b").agg(F.max(F.struct("n", "a"))["a"].alias("a")).select("a", "b"), "first-pairs")
     roots = _joined(owners.select("node", F.col("node").alias("root")), fingers.unionByName(similar(first)))
-    left = stars.join(first, ["a", "b"], "left_anti").select("a", "b")
+    left = stars.join(shuffled(first), ["a", "b"], "left_anti").select("a", "b")
     for side in ("a", "b"):
-        left = left.join(roots.withColumnsRenamed({"node": side, "root": f"_{side}"}), side)
+        left = left.join(shuffled(roots.withColumnsRenamed({"node": side, "root": f"_{side}"})), side)
     roots = _joined(roots, similar(stage_table(left.where("_a <> _b").select("a", "b"), "pairs")))
 
     roots = _joined(roots, stage_table(_met_in_cells(shared, roots, sets, owners, keyed, text_col, words, similarity).distinct(), "pairs"))
-    return marked.select(id_col, "_k1", "_k2", "node").join(roots, "node").select(id_col, "_k1", "_k2", "root")
+    return marked.select(id_col, "_k1", "_k2", "node").join(shuffled(roots), "node").select(id_col, "_k1", "_k2", "root")
 
 
 def without_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:

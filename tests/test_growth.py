@@ -26,3 +26,16 @@ def test_turns_in_many_prefixes(spark, monkeypatch):
     label = cluster_kernels.turn_clusters(a[:, 1:3], a[:, 3], a[:, 4], a[:, 5])
     assert got == sorted(place_by_hand(a[label == k]) for k in set(label.tolist()))
     assert len(held) >= 6 and max(r[0] for r in got) > 6
+
+
+def test_points_thinned_in_many_prefixes(spark, monkeypatch):
+    rnd = random.Random(8)
+    once = [(rnd.uniform(0, 500), rnd.uniform(0, 500), rnd.uniform(0, 360)) for _ in range(150)]
+    rows = [(i, *once[i % 150]) for i in range(450)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, bearing double")
+    taken, plain = [], joins.first_come_near
+    monkeypatch.setattr(joins, "first_come_near", lambda own, near: taken.append(own.count()) or plain(own, near, 40, 30))
+    ids, xy, bearing = np.array([r[0] for r in rows]), np.array([r[1:3] for r in rows]), np.array([r[3] for r in rows])
+    order = np.argsort((ids * 2654435761) % 2**32, kind="stable")
+    assert sorted(r.id for r in cluster.thinned(df, 60.0, 40.0).collect()) == sorted(cluster_kernels.representatives(xy, bearing, order, 60.0, 40.0).tolist())
+    assert taken == [150]

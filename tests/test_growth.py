@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 
+from trackloom.functions import geo
 from trackloom.kernels import cluster as cluster_kernels
 from trackloom.operators import cluster, joins
 
@@ -39,3 +40,10 @@ def test_points_thinned_in_many_prefixes(spark, monkeypatch):
     order = np.argsort((ids * 2654435761) % 2**32, kind="stable")
     assert sorted(r.id for r in cluster.thinned(df, 60.0, 40.0).collect()) == sorted(cluster_kernels.representatives(xy, bearing, order, 60.0, 40.0).tolist())
     assert taken == [150]
+
+
+def test_no_crossing_from_one_place(spark):
+    """Places in columns, since a crossing of literals is folded."""
+    df = spark.createDataFrame([(1, 10.0, 10.0, 0.0, 10.0, 10.0, 90.0), (2, 10.0, 10.0, 45.0, 10.0, 11.0, 315.0)], "id long, a double, b double, c double, d double, e double, f double")
+    got = {r.id: r.m for r in df.select("id", geo.great_circle_crossing(*"abcdef").alias("m")).collect()}
+    assert got[1] is None and 10.4 < got[2].lat < 10.6

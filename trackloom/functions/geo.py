@@ -71,8 +71,9 @@ def great_circle_crossing(lat1, lon1, bearing1, lat2, lon2, bearing2) -> Column:
     def clamp(x: Column) -> Column:
         return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x))
 
-    ta = F.acos(clamp((F.sin(p2) - F.sin(p1) * F.cos(d12)) / (F.sin(d12) * F.cos(p1))))
-    tb = F.acos(clamp((F.sin(p1) - F.sin(p2) * F.cos(d12)) / (F.sin(d12) * F.cos(p2))))
+    some = lambda x: F.nullif(x, F.lit(0.0))
+    ta = F.acos(clamp((F.sin(p2) - F.sin(p1) * F.cos(d12)) / some(F.sin(d12) * F.cos(p1))))
+    tb = F.acos(clamp((F.sin(p1) - F.sin(p2) * F.cos(d12)) / some(F.sin(d12) * F.cos(p2))))
     east = F.sin(l2 - l1) > 0
     t12 = F.when(east, ta).otherwise(2 * F.pi() - ta)
     t21 = F.when(east, 2 * F.pi() - tb).otherwise(tb)

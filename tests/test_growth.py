@@ -6,7 +6,7 @@ import numpy as np
 
 from trackloom.functions import geo
 from trackloom.kernels import cluster as cluster_kernels
-from trackloom.operators import cluster, joins
+from trackloom.operators import aggregates, cluster, joins
 
 
 def test_turns_in_many_prefixes(spark, monkeypatch):
@@ -47,3 +47,20 @@ def test_no_crossing_from_one_place(spark):
     df = spark.createDataFrame([(1, 10.0, 10.0, 0.0, 10.0, 10.0, 90.0), (2, 10.0, 10.0, 45.0, 10.0, 11.0, 315.0)], "id long, a double, b double, c double, d double, e double, f double")
     got = {r.id: r.m for r in df.select("id", geo.great_circle_crossing(*"abcdef").alias("m")).collect()}
     assert got[1] is None and 10.4 < got[2].lat < 10.6
+
+
+def test_sums_at_the_bound_whatever_the_order(spark):
+    """Lists of tenths, as products of hundredths and ten, that sum to 4.5, 4.4 and 0, in many orders."""
+    rnd = random.Random(4)
+    sums = {0: [0.07, 0.09, 0.1, 0.1, 0.06, 0.03], 1: [0.07, 0.09, 0.1, 0.1, 0.06, 0.02], 2: [0.0, 0.0]}
+    rows, below = [], set()
+    for i in range(300):
+        own = [x * 10 for x in sums[i % 3]]
+        rnd.shuffle(own)
+        total = 0.0
+        for n, x in enumerate(own):
+            rows.append((i, n, x))
+            total += x
+        below |= {i} if i % 3 == 0 and total < 4.5 else set()
+    df = spark.createDataFrame(rows, "id long, n long, ep double")
+    assert below and {r.id for r in aggregates.unmatched_ids(df, "id", "ep", 9, 0.5).collect()} == {i for i in range(300) if i % 3 == 1}

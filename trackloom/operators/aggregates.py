@@ -21,6 +21,15 @@ def is_unmatched(ep: str, n: Column | int, overlap: float) -> Column:
     return F.coalesce((total > 0) & (total < n * F.lit(overlap)), F.lit(False))
 
 
+def unmatched_ids(crossings: DataFrame, key: str, ep: str, n: int, overlap: float) -> DataFrame:
+    """Keys whose sum of emission probabilities, a row each, is above 0 but below ``n * overlap``.
+
+    Summed as decimals, so that no order of rows has a say where a sum is the bound itself.
+    """
+    total = F.sum(F.col(ep).cast("decimal(38,12)"))
+    return crossings.groupBy(key).agg(total.alias("_t")).where((F.col("_t") > 0) & (F.col("_t") < F.lit(n * overlap).cast("decimal(38,12)"))).select(key)
+
+
 def mean_score(ep: str, tp: str) -> Column:
     """Mean of ep * tp, where the first tp counts as 1; null for no entries."""
     products = F.zip_with(F.col(ep), F.transform(F.col(tp), lambda x, i: F.when(i == 0, 1.0).otherwise(x)), lambda a, b: a * b)

@@ -88,7 +88,7 @@ def pseudo_trajectories(spark, d):
 
 @query("TR-09", sql("gps crossings", ", m AS (SELECT id FROM crossings GROUP BY id HAVING sum(ep) > 0 AND sum(ep) < 4.5e0)\nSELECT event_id, route_id FROM gps WHERE route_id IN (SELECT id FROM m)"))
 def unmatched_extract(spark, d):
-    bad = matches(spark, d).where(aggregates.is_unmatched("ep", 9, 0.5)).select(F.col("id").alias("route_id"))
+    bad = aggregates.unmatched_ids(crossings(spark, d), "id", "ep", 9, 0.5).withColumnRenamed("id", "route_id")
     return gps(spark, d).join(bad, "route_id", "left_semi").select("event_id", "route_id")
 
 

@@ -3,10 +3,11 @@
 import random
 
 import numpy as np
+import pytest
 
 from trackloom.functions import geo
 from trackloom.kernels import cluster as cluster_kernels
-from trackloom.kernels import curves
+from trackloom.kernels import curves, freespace
 from trackloom.operators import aggregates, cluster, geometry, joins
 
 
@@ -77,3 +78,34 @@ def test_lines_come_out_in_small_batches(spark):
     for i, p in lines:
         if p is not None:
             assert np.allclose([(q.x, q.y) for q in got[i]] or np.zeros((0, 2)), curves.smoothed(np.array(p, float).reshape(-1, 2), 30.0))
+
+
+def random_lines(seed, n):
+    """Edges of a grid with gaps, and lines over it of 1 to 7 points, still and far ones too."""
+    from tests.test_whole_inputs import street_grid
+
+    rnd = random.Random(seed)
+    segs = np.array([[s, t, *xy] for _, s, t, _, *xy in street_grid(6, seed=seed, share=rnd.choice((0.5, 0.7, 0.95)))], float)
+    lines = []
+    for _ in range(n):
+        x, y, step = rnd.uniform(0, 600) + rnd.choice((0, 0, 30, 300, 5000)), rnd.uniform(0, 600), rnd.choice((0, 20, 90))
+        lines.append(np.array([(x + step * k + rnd.uniform(-20, 20), y + rnd.uniform(-20, 20)) for k in range(rnd.choice((1, 2, 3, 4, 7)))]))
+    return segs, [*lines, np.array([(5.0, 5.0), (5.0, 5.0), (40.0, 5.0)])]
+
+
+@pytest.mark.parametrize("kind", ["frechet", "hausdorff"])
+def test_distances_of_many_lines(kind):
+    for seed in range(3):
+        segs, lines = random_lines(seed, 40)
+        for most in (1, 50, 400):
+            assert freespace.least_distances(lines, segs, kind, most) == [freespace.least_distance(xy, segs, kind, most) for xy in lines]
+
+
+def test_a_longer_reach_has_the_walks_of_a_shorter_one():
+    """A walk may come to a node only when the path is near it for the second time."""
+    for seed in (1, 5, 10):
+        segs, lines = random_lines(seed, 40)
+        for xy in lines:
+            if len(xy) > 1:
+                does = [freespace.has_walk(xy, segs, float(eps)) for eps in range(30, 100, 5)]
+                assert does == sorted(does)

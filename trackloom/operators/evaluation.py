@@ -143,7 +143,7 @@ def buffer_scores(ground: DataFrame, inferred: DataFrame, reaches: list[float],
     return both.select("completeness", "correctness", F.when(c + r > 0, 2 * c * r / (c + r)).alias("f"), "reach")
 
 
-def path_distances(paths: DataFrame, edges: DataFrame, kind: str = "frechet", most: int = 1600, size: float = 600.0) -> DataFrame:
+def path_distances(paths: DataFrame, edges: DataFrame, kind: str = "frechet", most: int = 1600, size: float = 2400.0) -> DataFrame:
     """For each path (path, points) the least whole-number distance at which the graph has a curve like it: path, distance; null beyond ``most``.
 
     kind "frechet": a walk in the graph whose Frechet distance from the path is
@@ -158,14 +158,16 @@ def path_distances(paths: DataFrame, edges: DataFrame, kind: str = "frechet", mo
     def each(limit: int):
         def run(key, own: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
             segs = graph[["source", "target", "ax", "ay", "bx", "by"]].to_numpy(float)
-            found = [freespace.least_distance(np.array([(p["x"], p["y"]) for p in line], float).reshape(-1, 2), segs, kind, limit) for line in own["points"]]
+            lines = [np.column_stack([x, y]).astype(float) for x, y in zip(own["xs"], own["ys"], strict=True)]
+            found = freespace.least_distances(lines, segs, kind, limit)
             return pd.DataFrame({"path": own["path"].to_numpy(), "distance": pd.array(found, "Int64")})
 
         return run
 
-    p = lambda c, f: f(F.transform("points", lambda q: q[c]))
+    p = lambda c, f: f(f"{c}s")
     tile = lambda x, y: F.floor(x / size) * 1_000_000 + F.floor(y / size)
-    open_ = paths.where(F.size("points") > 0).select("path", "points", tile(F.get("points", F.lit(0))["x"], F.get("points", F.lit(0))["y"]).alias("tile"))
+    open_ = paths.where(F.size("points") > 0).select("path", *[F.col(f"points.{c}").cast("array<double>").alias(f"{c}s") for c in "xy"])
+    open_ = open_.withColumn("tile", tile(F.get("xs", F.lit(0)), F.get("ys", F.lit(0))))
     boxed = open_.select("path", "tile", *[p(c, f).alias(f"{c}{n}") for c in "xy" for n, f in ((0, F.array_min), (1, F.array_max))])
     lines = edges.select("source", "target", "ax", "ay", "bx", "by")
     out, limits = None, [n for n in (50, 200) if n < most] + [most]

@@ -109,3 +109,25 @@ def test_a_longer_reach_has_the_walks_of_a_shorter_one():
             if len(xy) > 1:
                 does = [freespace.has_walk(xy, segs, float(eps)) for eps in range(30, 100, 5)]
                 assert does == sorted(does)
+
+
+def test_dense_clusters_without_their_pairs(spark, monkeypatch):
+    """Copies of places, dense cells and lone points, against one run; pairs are aggregated, so none is handed to components but one for two cells."""
+    from trackloom.operators import graph
+
+    rnd = random.Random(10)
+    once = [(rnd.gauss(0, 60), rnd.gauss(0, 60), rnd.uniform(0, 360)) for _ in range(220)] + [(rnd.uniform(-400, 400), rnd.uniform(-400, 400), rnd.uniform(0, 360)) for _ in range(120)]
+    rows = [(i, *p) for i, p in enumerate(once + once[:200] + once[:90])]
+    df = spark.createDataFrame([*rows, (9999, None, 1.0, 2.0)], "id long, x double, y double, bearing double")
+    linked, plain = [], graph.components
+    monkeypatch.setattr(graph, "components", lambda pairs: linked.append(pairs.count()) or plain(pairs))
+    for reach, turn, least in ((45.0, 50.0, 3), (25.0, 20.0, 4)):
+        got = {r.id: r.cluster for r in cluster.density_clusters(df, reach, turn, least).collect()}
+        near = [[j for j, x, y, b in rows if np.sqrt((x - u) ** 2 + (y - v) ** 2) <= reach and min(abs(b - d) % 360, 360 - abs(b - d) % 360) <= turn] for _, u, v, d in rows]
+        core = {i for i, n in enumerate(near) if len(n) >= least}
+        root = {i: i for i in core}
+        while (new := {i: min(root[j] for j in near[i] if j in core) for i in core}) != root:
+            root = new
+        want = {i: min((root[j] for j in n if j in core), default=-1) for i, n in enumerate(near)} | {9999: -1}
+        assert got == want and -1 in want.values() and len(set(want.values())) > 3
+        assert linked[-1] < sum(map(len, near)) / 8

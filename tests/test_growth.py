@@ -131,3 +131,18 @@ def test_dense_clusters_without_their_pairs(spark, monkeypatch):
         want = {i: min((root[j] for j in n if j in core), default=-1) for i, n in enumerate(near)} | {9999: -1}
         assert got == want and -1 in want.values() and len(set(want.values())) > 3
         assert linked[-1] < sum(map(len, near)) / 8
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_nearest_in_dense_cells(spark, monkeypatch, k):
+    """Many rows and copies in a cell of the first size: few of them are met."""
+    rnd = random.Random(k)
+    left = [(i, rnd.gauss(0, 5), rnd.gauss(0, 5)) for i in range(200)]
+    right = [(i, rnd.gauss(0, 5), rnd.gauss(0, 5)) for i in range(500)]
+    right += [(500 + i, *right[7][1:]) for i in range(300)]
+    met, plain = [], joins.within_distance
+    monkeypatch.setattr(joins, "within_distance", lambda *a: met.append(plain(*a)) or met[-1])
+    got = joins.nearest(spark.createDataFrame(left, "i long, x double, y double"), spark.createDataFrame(right, "j long, u double, v double"), "i", "j", ("x", "y"), ("u", "v"), 16.0, k).collect()
+    want = sorted((i, j, n + 1) for i, x, y in left for n, (_, j) in enumerate(sorted((np.sqrt((u - x) ** 2 + (v - y) ** 2), j) for j, u, v in right)[:k]))
+    assert sorted((r.i, r.j, r["rank"]) for r in got) == want
+    assert sum(m.count() for m in met) < 200 * 800 / 3

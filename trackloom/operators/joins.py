@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -74,8 +75,8 @@ def within_distance(left: DataFrame, right: DataFrame, reach: float, left_xy: tu
 def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_xy: tuple[str, str], right_xy: tuple[str, str], reach: float, k: int = 1) -> DataFrame:
     """The ``k`` nearest rows of ``right`` for each row of ``left``, all of them if there are fewer: left_id, right_id, dist, rank; of ties the smaller id.
 
-    Rows of ``right`` are counted by cells of size ``reach``, then of twice the size
-    and so on. Each row of ``left`` takes part in one join, at the first level at which the
+    Rows of ``right`` are counted by cells of size ``reach``, or smaller where these hold many, then of
+    twice the size and so on. Of rows at one place the first ``k`` take part. Each row of ``left`` takes part in one join, at the first level at which the
     nine cells around it hold ``k``, so a join meets about as many rows as are asked for,
     however far they are. It ends at cells as large as both sides together. Rows
     without a place have no neighbours.
@@ -86,14 +87,21 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left
     placed = lambda df, x, y: df.where(~F.isnan(x) & ~F.isnan(y) & F.col(x).isNotNull() & F.col(y).isNotNull())
     open_ = placed(left.select(left_id, lx, ly), lx, ly)
     right = placed(right.select(right_id, rx, ry), rx, ry)
-    counts = saved(right.groupBy(cell(F.col(rx), reach).alias("_cx"), cell(F.col(ry), reach).alias("_cy")).agg(F.count(F.lit(1)).alias("_n")))
-    n = counts.agg(F.sum("_n")).first()[0] or 0
+    # rows at one place are equally far from any other
+    place = W.partitionBy(rx, ry).orderBy(right_id)
+    right = saved(right.withColumn("_r", F.row_number().over(place)).where(F.col("_r") <= k).drop("_r"))
+    counted = lambda size: saved(right.groupBy(cell(F.col(rx), size).alias("_cx"), cell(F.col(ry), size).alias("_cy")).agg(F.count(F.lit(1)).alias("_n")))
+    counts, size = counted(reach), reach
+    n, squares = counts.agg(F.sum("_n"), F.sum(F.col("_n").cast("double") * F.col("_n"))).first()
+    n = n or 0
+    if n and squares / n > 4 * k:  # rows of the cell of a row
+        size = reach / 2 ** math.ceil(math.log(squares / n / (2 * k), 4))
+        counts = counted(size)
     ends = lambda df, x, y: df.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
     boxes = [e for e in (ends(open_, lx, ly), ends(right, rx, ry)) if e[0] is not None]
     out = None
     if n and len(boxes) == 2:
         extent = max(max(e[1 + c] for e in boxes) - min(e[c] for e in boxes) for c in (0, 2))
-        size = reach
         while True:
             last = size >= extent
             if last:
@@ -107,8 +115,12 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left
                 ready, rest = (told.where(F.col("_m").isNotNull() if r else F.col("_m").isNull()).select(left_id, lx, ly) for r in (True, False))
             # k rows lie in the nine cells, so within 2 * sqrt(2) cells; the side with few rows is dealt to several cells
             pairs = within_distance(right, ready, 2.8285 * size, right_xy, left_xy)
-            ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy(left_id).orderBy("dist", right_id))).where(F.col("rank") <= k)
-            ranked = ranked.select(left_id, right_id, "dist", "rank")
+            if k == 1:
+                best = pairs.groupBy(left_id).agg(F.min(F.struct("dist", right_id)).alias("_m"))
+                ranked = best.select(left_id, F.col(f"_m.{right_id}").alias(right_id), F.col("_m.dist").alias("dist"), F.lit(1).alias("rank"))
+            else:
+                ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy(left_id).orderBy("dist", right_id))).where(F.col("rank") <= k)
+                ranked = ranked.select(left_id, right_id, "dist", "rank")
             out = ranked if out is None else out.unionByName(ranked)
             if last or rest.isEmpty():
                 break

@@ -7,8 +7,8 @@ import pytest
 
 from trackloom.functions import geo
 from trackloom.kernels import cluster as cluster_kernels
-from trackloom.kernels import curves, freespace
-from trackloom.operators import aggregates, cluster, geometry, joins
+from trackloom.kernels import curves, freespace, planegraph
+from trackloom.operators import aggregates, cluster, geometry, joins, plane_graphs
 
 
 def test_turns_in_many_prefixes(spark, monkeypatch):
@@ -146,3 +146,22 @@ def test_nearest_in_dense_cells(spark, monkeypatch, k):
     want = sorted((i, j, n + 1) for i, x, y in left for n, (_, j) in enumerate(sorted((np.sqrt((u - x) ** 2 + (v - y) ** 2), j) for j, u, v in right)[:k]))
     assert sorted((r.i, r.j, r["rank"]) for r in got) == want
     assert sum(m.count() for m in met) < 200 * 800 / 3
+
+
+def test_no_tile_triangulates_all_points(spark, monkeypatch):
+    """Dense in the middle, with a hull far out whose circles go over most of the box."""
+    from types import SimpleNamespace
+
+    rnd = random.Random(15)
+    rows = [(i, rnd.gauss(0, 10), rnd.gauss(0, 10)) for i in range(1200)]
+    plain = planegraph.delaunay
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+
+    def few(xy):
+        if len(xy) > 800:
+            raise ValueError(f"{len(xy)} points in a tile")
+        return plain(xy)
+
+    monkeypatch.setattr(plane_graphs, "planegraph", SimpleNamespace(delaunay=few))
+    got = {(t.a, t.b, t.c) for t in plane_graphs.delaunay(df, 60).collect()}
+    assert got == plain(np.array([r[1:] for r in rows]))

@@ -3,8 +3,9 @@
 The triangulation goes by tiles of about ``TILE`` points each: strips of even numbers by x,
 cut into even numbers by y, so dense places have small tiles. A tile triangulates its own
 points and those within a halo; a triangle holds for all points if the part of its
-circumcircle inside the box of all points lies inside the tile's widened box. Tiles with
-own points in triangles that don't hold yet double their halo, in rounds. The corners of the
+circumcircle inside the box of all points lies inside the tile's widened box, or if a join finds no
+point inside the circle. Tiles with own points in triangles that don't hold yet add, of the points
+inside a circle, those that see a side under the widest angle, in rounds. The corners of the
 convex hull, found from hulls of Arrow batches, belong to every tile, so that no tile takes
 its own edge for the edge of the whole.
 
@@ -118,7 +119,7 @@ def delaunay(points: DataFrame, tile: int = TILE) -> DataFrame:
     at = F.array(*[F.lit(float(v)) for v in [whole[0], *splits[1:-1], whole[2]]])
     tiles = rows_of.select("s", "yb", F.explode(F.sequence(F.lit(0), F.size("yb"))).alias("r"))
     tiles = tiles.select("s", "r", F.get(at, F.col("s")).alias("x0"), F.get(at, F.col("s") + 1).alias("x1"), F.coalesce(F.get("yb", F.col("r") - 1), F.lit(whole[1])).alias("y0"), F.coalesce(F.get("yb", F.col("r")), F.lit(whole[3])).alias("y1"))
-    open_ = written(tiles.withColumn("h", F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) / 2), "tiles")
+    open_ = written(tiles.withColumn("h", F.least(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) / 2), "tiles")
     corners = hull_corners(own)
     sent = spark.sparkContext.broadcast((corners["id"].to_numpy(), corners[["x", "y"]].to_numpy(float), np.array(whole)))
 
@@ -134,13 +135,34 @@ def delaunay(points: DataFrame, tile: int = TILE) -> DataFrame:
         tri = np.array(sorted(planegraph.delaunay(xy)), int).reshape(-1, 3)
         tri = tri[mine[tri].any(axis=1)] if len(tri) else tri
         known = np.array([first["x0"] - first["h"], first["y0"] - first["h"], first["x1"] + first["h"], first["y1"] + first["h"]])
-        ok = _holds(*_circles(xy, tri), all_, known) if len(tri) else np.zeros(0, bool)
-        out = pd.DataFrame(np.sort(ids[tri[ok]], axis=1) if ok.any() else np.zeros((0, 3), np.int64), columns=["a", "b", "c"])
-        done = bool(ok.all())
-        out.loc[len(out)] = [0, 0, 0]  # says whether the tile is done
-        return out.assign(s=int(first["s"]), r=int(first["r"]), done=done)
+        mid, radius = _circles(xy, tri) if len(tri) else (np.zeros((0, 2)), np.zeros(0))
+        out = pd.DataFrame(np.sort(ids[tri], axis=1) if len(tri) else np.zeros((0, 3), np.int64), columns=["a", "b", "c"])
+        ends = {f"{p}{c}": xy[np.sort(tri, axis=1)[:, k], n] if len(tri) else np.zeros(0) for k, p in enumerate("abc") for n, c in enumerate("xy")}
+        holds = _holds(mid, radius, all_, known) if len(tri) else np.zeros(0, bool)
+        return out.assign(s=int(first["s"]), r=int(first["r"]), holds=holds, mx=mid[:, 0], my=mid[:, 1], radius=radius, **ends)
+
+    filled = written(own.groupBy("s", "r").agg(*[f(c).alias(f"_{c}{n}") for c in "xy" for n, f in ((0, F.min), (1, F.max))]), "tile-boxes")
+
+    def inside_circles(tri: DataFrame) -> DataFrame:
+        """Points inside the circles of triangles, from the tiles whose points' box a circle meets; of each triangle those that see a side under the widest angle."""
+        low, high = _below(at, F.col("mx") - F.col("radius")) - 1, _below(at, F.col("mx") + F.col("radius")) - 1
+        spread = tri.withColumn("_s", F.explode(F.sequence(F.greatest(low, F.lit(0)), F.greatest(F.least(high, F.lit(strips - 1)), F.greatest(low, F.lit(0))))))
+        off = lambda c: F.greatest(F.lit(0.0), F.col(f"_{c}0") - F.col(f"m{c}"), F.col(f"m{c}") - F.col(f"_{c}1"))
+        met = spread.join(filled.withColumnsRenamed({"s": "_s", "r": "_r"}), "_s").where(F.hypot(off("x"), off("y")) <= F.col("radius"))
+        points_in = met.join(own.select(F.col("s").alias("_s"), F.col("r").alias("_r"), "id", "x", "y"), ["_s", "_r"])
+        points_in = points_in.where((F.col("id") != F.col("a")) & (F.col("id") != F.col("b")) & (F.col("id") != F.col("c")))
+        square = lambda x, y: x * x + y * y
+        points_in = points_in.where(square(F.col("x") - F.col("mx"), F.col("y") - F.col("my")) < F.col("radius") * F.col("radius") * (1 - 1e-12))
+
+        def cosine(p: str, q: str) -> Column:
+            (px, py), (qx, qy) = ((F.col(f"{k}x") - F.col("x"), F.col(f"{k}y") - F.col("y")) for k in (p, q))
+            return (px * qx + py * qy) / (F.hypot(px, py) * F.hypot(qx, qy))
+
+        seen = points_in.groupBy("s", "r", "a", "b", "c").agg(*[F.min(F.struct(cosine(p, q).alias("t"), "id", "x", "y")).alias(p + q) for p, q in ("ab", "ac", "bc")])
+        return seen.select("s", "r", "a", "b", "c", F.explode(F.array("ab", "ac", "bc")).alias("p")).select("s", "r", "a", "b", "c", "p.id", "p.x", "p.y")
 
     found = []
+    more = spark.createDataFrame([], "s int, r int, id long, x double, y double")
     while not open_.isEmpty():
         wide = open_.select("s", "r", "x0", "x1", "y0", "y1", "h")
         low, high = _below(at, F.col("x0") - F.col("h")) - 1, _below(at, F.col("x1") + F.col("h")) - 1
@@ -152,11 +174,16 @@ def delaunay(points: DataFrame, tile: int = TILE) -> DataFrame:
         inside = F.col("x").between(F.col("x0") - F.col("h"), F.col("x1") + F.col("h")) & F.col("y").between(F.col("y0") - F.col("h"), F.col("y1") + F.col("h"))
         is_own = ((F.col("_s") == F.col("s")) & (F.col("_r") == F.col("r"))).alias("own")
         local = near.where(inside).select("s", "r", "x0", "x1", "y0", "y1", "h", "id", "x", "y", is_own)
-        got = written(local.groupBy("s", "r").applyInPandas(each, "a long, b long, c long, s int, r int, done boolean"), "triangles")
-        found.append(got.where("a < b").select("a", "b", "c"))
-        # a box as wide as all points is the last one
-        left = got.where("NOT done").select("s", "r").distinct()
-        open_ = written(open_.join(left, ["s", "r"]).where((F.col("x0") - F.col("h") > whole[0]) | (F.col("x1") + F.col("h") < whole[2]) | (F.col("y0") - F.col("h") > whole[1]) | (F.col("y1") + F.col("h") < whole[3])).withColumn("h", 2 * F.col("h")), "tiles")
+        added = open_.select("s", "r", "x0", "x1", "y0", "y1", "h").join(more, ["s", "r"]).withColumn("own", F.lit(False)).select(*local.columns)
+        local = local.unionByName(added).groupBy("s", "r", "x0", "x1", "y0", "y1", "h", "id", "x", "y").agg(F.max("own").alias("own"))
+        got = written(local.groupBy("s", "r").applyInPandas(each, "a long, b long, c long, s int, r int, holds boolean, mx double, my double, radius double, " + ", ".join(f"{p}{c} double" for p in "abc" for c in "xy")), "triangles")
+        # a circle that goes beyond what the tile knows holds if no point at all is inside it; those inside are added
+        wide = got.where("NOT holds AND NOT isnan(radius) AND radius < double('inf')")
+        # what a tile has been given already is inside by rounding alone
+        hits = written(inside_circles(wide).join(more.select("s", "r", "id"), ["s", "r", "id"], "left_anti"), "tile-hits")
+        found.append(got.where("holds").select("a", "b", "c").unionByName(wide.join(hits.select("s", "r", "a", "b", "c").distinct(), ["s", "r", "a", "b", "c"], "left_anti").select("a", "b", "c")))
+        more = written(more.unionByName(hits.select("s", "r", "id", "x", "y")).distinct(), "tile-more")
+        open_ = written(open_.join(hits.select("s", "r").distinct(), ["s", "r"]), "tiles")
     out = none
     for f in found:
         out = out.unionByName(f)
